@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkgauge.llm import canonical as can
 from sparkgauge.llm import consensus as cons
 from sparkgauge.llm import contract as ctr
 from sparkgauge.llm import copies as cop
@@ -50,6 +51,20 @@ def p2_tweet_splits(spark: SparkSession, d: str) -> DataFrame:
     return spl.assign_splits(table(spark, d, "emotwics_outer"), ("group_id", "conversation_id"), "item_id").drop("split_component")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    g = table(spark, d, "generation").select(F.lit("generation").alias("source_table"), "item_id", F.col("generated_text").alias("text"))
+    return g.unionByName(table(spark, d, "tweets").select(F.lit("tweets").alias("source_table"), "item_id", "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    got = can.look_alikes(_texts(spark, d), "source_table", "item_id", "text")
+    return got.select(F.col("source").alias("source_table"), F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
+
+
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d).select("source_table", "item_id", can.canonical_text(F.col("text")).alias("text"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return ctr.group_matches(table(spark, d, "crowd_matches")).where("record_id <> root_id").select("root_id", "record_id")
 
@@ -64,6 +79,6 @@ def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("kept").alias("kept_item_id"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p5_found, p6_found, p6_distinct)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p4_found, p4_canonical, p5_found, p6_found, p6_distinct)}
 
 SQL: dict[str, str] = {}
