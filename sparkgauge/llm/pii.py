@@ -1,0 +1,602 @@
+"""Personal information inside free text: find it and put typed placeholders in its place.
+
+One Aho-Corasick pass over the text (look-alike letters made plain, lower case, every
+digit a 0) finds anchors: at-signs, number schemes such as ``+00`` or ``000-00-0000``,
+identifier cues, street endings before a number, titles, phrases that introduce a
+person, and the known names. At each anchor a local parser looks a few dozen
+characters to either side, fixes the boundaries and validates what it found. Nothing
+else of the text is looked at twice.
+
+The replaced text keeps every other character as it was, invisible ones included.
+Null stays null; empty text has no case. A name within an email address is no name of
+its own. Overlaps go to the kind that comes first in ``KINDS``.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterable
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
+
+from sparkgauge.llm.canonical import _TO_LATIN, COMPAT, INVISIBLE, JOINERS, UNSTABLE
+
+KINDS = ("email", "phone", "id_number", "address", "name")
+#: The name list goes to every task; a longer one is refused.
+MOST_NAMES = 200_000
+
+# Given or family names that are also ordinary words; alone they name nobody.
+ORDINARY = frozenset(
+    "april amber angel august autumn bishop brook brown carol chance charity christian clay cook crystal daisy dawn dean destiny drew duke earl eve faith fern ford forest "
+    "frank gene ginger grace grant green harmony hazel heather holly hope hunter iris ivy jack jasmine jewel joy june king lane lily mark may melody mercy meter miles "
+    "noble olive page pansy patience pearl penny pride prince robin rose ruby rusty sage sandy skip sky storm summer sunny violet wade ward will winter young "
+    "bakker berg boer bos dekker groen jong kok koning lente linde meester meyer prins roos ster visser vos vrede wit zomer zwart".split()
+)
+PARTICLES = frozenset("van de den der ter ten te het 't von di da la le du dos el bin al".split())
+_STOP = frozenset(
+    "a an and as at but by for from he her him i if in it its me my no not of on or our she so that the their them they this to us was we what when who why you your "
+    "aan al als bij dat de die dit een en er ge geen het hij ik in is je jij jou jouw jullie kan me met mij mijn na nee nog nu of om ons onze op te toch tot u uit uw van voor was wat we wel wie wij ze zij zo zou snelle goede".split()
+)
+
+_OPENERS = frozenset(
+    "mvg groetjes groeten bedankt collega mail bel tel gsm ref zaak ticket dossier bestelnr hallo hoi hey dag beste allee could any still thanks thank later ask write text come why super graag mijn "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
+    "januari februari maart mei juni juli augustus oktober maandag dinsdag woensdag donderdag vrijdag zaterdag zondag".split()
+)
+
+_W = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
+_TITLE = r"(?:(?:dhr|mevr|mw|mr|mrs|ms|miss|dr|prof|ir|ing|sir)\b\.?|mevrouw|meneer|heer)\s"
+_TOKEN = re.compile(rf"(?:[^\W\d_]\.(?=\s?[^\W\d_]))|'t\b|{_W}")
+_NEXT = re.compile(rf"(,? )((?:[^\W\d_]\.(?=\s?[^\W\d_]))|'t\b|{_W})")
+_PREV = re.compile(rf"((?:(?<![^\W\d_])[^\W\d_]\.)|'t\b|{_W})(,? )$")
+_TITLE_AT = re.compile(_TITLE, re.I)
+
+_LOCAL = re.compile(r"(?:[^\W_]|[._%+-])+$")
+_AT = re.compile(r"\s?(?:@|[(\[]\s?at\s?[)\]])\s?")
+_DOMAIN = re.compile(r"[^\W_](?:[^\W_]|-)*(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[^\W_](?:[^\W_]|-)*)+")
+
+_PLUS = re.compile(r"\+\d{1,3}(?:[ .-]?\(0\)[ .-]?)?(?:[ ./-]?\(?\d{1,9}\)?)+")
+_PHONE = re.compile(
+    r"00[1-9]\d{9,12}|0\d{3}/\d\d[. ]?\d\d[. ]?\d\d|0\d{2}/\d{3}[. ]?\d\d[. ]?\d\d|0\d/\d{3}[. ]?\d\d[. ]?\d\d|0\d{3} \d\d \d\d \d\d|0\d(?: \d\d){4}|0\d(?:\.\d\d){4}|0\d{1,2}-\d{7,8}|0\d{3}-\d{6}|"
+    r"0\d{2} \d{4} \d{4}|0\d{3} \d{3} \d{4}|0\d{4} \d{6}|\(0?\d{2,4}\) ?\d{3,4}[ -]\d{3,4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2}-\d{3}-\d{4}"
+)
+_AFTER_PHONE = re.compile(r"\w|[./-]\d")
+_CUE_NUMBER = re.compile(r"\D{0,14}?(\d[\d .\-/]{6,16}\d)(?![\w])")
+_SSN = re.compile(r"\d{3}-\d\d-\d{4}(?![\w]|-\d)")
+_NATIONAL = re.compile(r"\d\d\.\d\d\.\d\d-\d{3}\.\d\d(?![\w]|[.-]\d)")
+_INSURANCE = re.compile(r"[a-z]{2} ?\d\d ?\d\d ?\d\d ?[a-d](?!\w)", re.I)
+
+_HOUSE = re.compile(r"\d{1,4}(?:[ -]?[A-Za-z](?!\w)|-\d{1,3})?(?:\s(?:bus|box)\s\w{1,4})?")
+_TOWN = r"[A-ZÀ-Þ][\w'’-]*"
+_TOWN_2 = re.compile(r" ([A-ZÀ-Þ][a-z'’-]+)(?![\w'’-])(?! van jullie)")
+_NL_TAIL = re.compile(rf"(?:,\s\d{{4}}\s?[A-Z]{{2}}\s{_TOWN}|\ste\s\d{{4}}\s{_TOWN}|,\s\d{{4}}\s{_TOWN}|,\s{_TOWN})")
+_POSTCODE = re.compile(r",?\s(?:[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|[A-Z]{2}\s\d{5})(?!\w)")
+_EN_TOWN = re.compile(rf",\s{_TOWN}")
+_EN_HEAD = re.compile(r"(?:(?:Unit|Flat|Apt\.?|Apartment|Suite)\s\w{1,4},?\s)?(?<![\w.-])\d{1,5}[A-Za-z]?,?\s(?:(?:St\.|[A-ZÀ-Þ][\w'’-]*)\s){1,4}$")
+_PAGE = re.compile(r"(?:page|p\.|pp\.|bladzijde|chapter|room|kamer)\s$", re.I)
+_NL_NAME = re.compile(r"(?:(?:[A-ZÀ-Þ][\w'’-]*|de|van|den|der|het)\s){0,3}[A-ZÀ-Þ][\w'’-]*$")
+
+# Endings of street names.
+NL_STREETS = ("straat", "laan", "kade", "weg", "pad", "plein", "gracht", "dreef", "markt", "hof", "singel", "dijk", "baan", "lei", "steeg", "park", "plantsoen", "wal", "kaai", "vest", "berm", "ring", "poort", "pas", "veld", "akker", "heide", "stede", "oever")
+EN_STREETS = ("street", "st.", "st", "road", "rd.", "rd", "drive", "dr.", "avenue", "ave.", "ave", "lane", "ln", "close", "way", "court", "ct.", "terrace", "crescent", "square", "place", "gardens", "boulevard", "blvd", "row", "mews", "hill", "grove", "walk")
+# Number schemes, each digit written 0.
+SCHEMES = ("+0", "0000000000000", "0000/00", "000/000", "00/000", "0000 00 00 00", "00 00 00 00", "00.00.00.00.00", "00-0000000", "000-0000000", "0000-000000", "000 0000 0000", "0000 000 0000", "00000 000000", "(00", "000.000.0000", "000-000-0000")
+ID_CUES = ("ssn", "social security", "bsn", "burgerservice", "rijksregister", "insz", "niss", "national insurance", "nino", "sofinummer", "passport no", "id-nummer")
+PERSON_BEFORE = ("mvg ", "groetjes, ", "groeten, ", "groet, ", "bedankt ", "dank u ", "collega ", "sprak met ", "op naam van ", "^", "my friend ", "ask ", "owe ", "forgave ", "it was ", "signed by ", "later ", "regards, ", "mijn naam is ", "my name is ", "contact ", "spoke to ", "spoke with ", "thanks, ")
+PERSON_AFTER = (" van jullie", " who told", " zou terug", " aan de lijn", " voor de hulp", " about it", " an apology", " saw everything", " sent me")
+TITLES = ("dhr. ", "dhr ", "mevr. ", "mevr ", "mevrouw ", "meneer ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "dr. ", "dr ", "prof. ", "prof ")
+#: What has to follow a phrase of PERSON_BEFORE, where anybody could follow it.
+_BOUND = {
+    "bedankt ": (" voor de hulp",),
+    "collega ": (" zou ",),
+    "sprak met ": (" aan de lijn",),
+    "ask ": (" about it",),
+    "owe ": (" an apology",),
+    "it was ": (" who ",),
+    "later ": (" sent me",),
+    "my friend ": (" saw ",),
+}
+
+
+def _view(text: str) -> tuple[str, list[int] | None]:
+    """The text with look-alikes made plain and invisible characters left out, and the place of each character."""
+    if text.isascii() or not UNSTABLE.search(text):
+        return text, None
+    chars: list[str] = []
+    at: list[int] = []
+    for i, ch in enumerate(text):
+        if ch in JOINERS or (ch in "­͏؜᠎​‎‏﻿⁠⁡⁢⁣⁤") or "‪" <= ch <= "‮" or "⁦" <= ch <= "⁯":
+            continue
+        if chars and unicodedata.combining(ch):
+            one = unicodedata.normalize("NFC", chars[-1] + ch)
+            if len(one) == 1:
+                chars[-1] = one
+                continue
+        plain = _TO_LATIN.get(ch) or COMPAT.get(ord(ch), ch)
+        chars.append(plain if len(plain) == 1 else ch)
+        at.append(i)
+    return "".join(chars), at
+
+
+_ZERO = {ord(str(d)): "0" for d in range(1, 10)}
+
+
+class Finder:
+    """Finds spans of personal information. Built once per Python worker and name list."""
+
+    def __init__(self, names: Iterable[tuple[str, str]]):
+        self.names: dict[str, str] = {}
+        for name, kind in names:
+            if name and name.strip():
+                self.names[name.strip().lower()] = kind or "family"
+        #: single words of the known names, to tell a known neighbour from an unknown word
+        self.words = {w for n in self.names for w in n.split() if w not in PARTICLES}
+        keys: dict[str, set[tuple[str, str]]] = {}
+        add = lambda k, what: keys.setdefault(k, set()).add((what, k))
+        for k in ("@", "(at)", "[at]", "( at )"):
+            add(k, "email")
+        for k in SCHEMES:
+            add(k, "phone")
+        for k in ID_CUES:
+            add(k, "cue")
+        add("000-00-0000", "ssn")
+        add("00.00.00-000.00", "national")
+        for k in "abcd":
+            add(f"000000{k}", "insurance")
+            add(f"00 00 00 {k}", "insurance")
+            add(f"000000 {k}", "insurance")
+        for k in NL_STREETS:
+            add(f"{k} 0", "nl")
+        for k in EN_STREETS:
+            add(f" {k}", "en")
+        for k in TITLES:
+            add(k, "title")
+        for k in "abcdefghijklmnopqrstuvwxyz":
+            add(f" {k}. ", "initial")
+        for k in PERSON_BEFORE:
+            add(k, "before")
+        for k in PERSON_AFTER:
+            add(k, "after")
+        for k in self.names:
+            add(k, "known")
+        self.auto = ahocorasick.Automaton()
+        for k, v in keys.items():
+            self.auto.add_word(k, tuple(v))
+        self.auto.make_automaton()
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """Disjoint (start, end, kind) in ``text``, in order."""
+        v, at = _view(text)
+        low = v.lower()
+        if len(low) != len(v):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+        hits: dict[str, list[tuple[int, str]]] = {}
+        for end, found in self.auto.iter(low.translate(_ZERO)):
+            for what, key in found:
+                hits.setdefault(what, []).append((end + 1 - len(key), key))
+        if not hits:
+            return []
+        out: list[tuple[int, int, str]] = []
+
+        def free(a: int, b: int) -> bool:
+            return all(b <= x or y <= a for x, y, _ in out)
+
+        for i, _ in hits.get("email", ()):
+            s = _email(v, i)
+            if s and free(*s):
+                out.append((*s, "email"))
+        ids = [s for what, parse in (("cue", _cued), ("ssn", _ssn), ("national", _national), ("insurance", _insurance)) for i, k in hits.get(what, ()) if (s := parse(v, i, k))]
+        homes = [s for i, k in hits.get("nl", ()) if (s := _dutch(v, i, k, self.words))] + [s for i, k in hits.get("en", ()) if v[i + 1].isupper() and (s := _english(v, i, k, self.words))]
+        for i, k in hits.get("phone", ()):
+            s = _phone(v, i, k)
+            if s and free(*s) and all(s[1] <= x or y <= s[0] for x, y in ids):
+                out.append((*s, "phone"))
+        for s in ids:
+            if free(*s):
+                out.append((*s, "id_number"))
+        for s in homes:
+            if free(*s):
+                out.append((*s, "address"))
+        if any(w in hits for w in ("title", "before", "after", "known", "initial")):
+            for a, b, _ in out:
+                v = f"{v[:a]}{chr(0) * (b - a)}{v[b:]}"
+            for s in self._people(v, low, hits):
+                if free(*s):
+                    out.append((*s, "name"))
+        out.sort()
+        if at is None:
+            return out
+        return [(at[a], at[b - 1] + 1 if b == len(at) else at[b], k) for a, b, k in out]
+
+    # names
+
+    def _is_name(self, w: str) -> bool:
+        return w.lower() in self.words
+
+    def _forward(self, v: str, i: int, loose: bool = False) -> tuple[int, int, bool] | None:
+        """The name that starts at ``i``: (start, end, whether it ends in more than particles). ``loose`` takes words in lower case."""
+        m = _TITLE_AT.match(v, i)
+        j = m.end() if m else i
+        m = _TOKEN.match(v, j)
+        if not m:
+            return None
+        end, last, n, body = i, None, 0, False
+        start = j
+        while m and n < 6:
+            w = m.group(m.lastindex or 0)
+            lw = w.lower()
+            if lw in PARTICLES and (n or w[0].isupper() or self._rest(v, m.end())):
+                pass
+            elif len(w) == 2 and w[1] == "." and w[0].isupper():
+                pass
+            elif lw in _OPENERS and not self._is_name(w):
+                break
+            elif self._is_name(w) or ((w[0].isupper() or loose) and lw not in _STOP and (not body or (w[0].isupper() or loose))):
+                body, end = True, m.end()
+            else:
+                break
+            n += 1
+            last = w
+            nxt = _NEXT.match(v, m.end())
+            if nxt and nxt.group(1) == ", " and not (body and (self._comma(v, start, m.end(), nxt) or loose and nxt.group(2)[0].isupper())):
+                break
+            m = nxt
+        del last
+        return (i, end, body) if body else None
+
+    def _rest(self, v: str, i: int) -> bool:
+        """Whether a name goes on after a particle in lower case."""
+        m = _NEXT.match(v, i)
+        for _ in range(3):
+            if not m:
+                return False
+            w = m.group(2)
+            if w.lower() not in PARTICLES:
+                return w[0].isupper() or self._is_name(w)
+            m = _NEXT.match(v, m.end())
+        return False
+
+    def _comma(self, v: str, a: int, b: int, nxt: re.Match) -> bool:
+        """Family, Given."""
+        given = nxt.group(2).lower()
+        return self.names.get(given) == "given" or (v[a:b].lower() in self.names and self.names[v[a:b].lower()] == "family" and nxt.group(2)[0].isupper() and given not in _STOP)
+
+    def _people(self, v: str, low: str, hits: dict) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for i, k in hits.get("title", ()):
+            if i and (v[i - 1].isalnum() or v[i - 1] in "@#_"):
+                continue
+            got = self._forward(v, i + len(k))
+            if got and got[2]:
+                out.append((i, self._clip(v, i + len(k), got[1])))
+        after = [(i, k) for i, k in hits.get("after", ())]
+        for i, k in hits.get("before", ()):
+            if i and k != "^" and v[i - 1].isalnum():
+                continue
+            a = i + len(k)
+            bound = _BOUND.get(k)
+            if bound:
+                ends = [low.find(b, a, a + 60) for b in bound]
+                ends = [e for e in ends if e > a]
+                if not ends:
+                    continue
+                got = self._forward(v[: min(ends)], a, loose=True)
+                if got and got[1] == min(ends):
+                    words = [w.lower() for w in re.findall(_W, v[a : got[1]])]
+                    if words and not all(w in _STOP for w in words):
+                        out.append((a, got[1]))
+                continue
+            got = self._forward(v, a)
+            if got and got[2]:
+                out.append((a, self._clip(v, a, got[1])))
+        for i, k in after:
+            if k == " van jullie":
+                s = self._backward(v, i)
+                if s:
+                    out.append(s)
+        for i, k in hits.get("known", ()):
+            j = i + len(k)
+            if (i and (v[i - 1].isalnum() or v[i - 1] in "@#_/+.-'’" and not (v[i - 1] == "." and i > 1))) or (j < len(v) and (v[j].isalnum() or v[j] in "@_" or (v[j] in "'’-" and j + 1 < len(v) and v[j + 1].isalnum() and v[j : j + 2].lower() not in ("'s", "’s")))):
+                continue
+            if chr(0) in v[i:j] or (i and v[i - 1] == "." and not v[i - 2].isalpha()):
+                continue
+            s = self._around(v, i, j)
+            if k in ORDINARY and not self._person(v, i, j, s, k):
+                continue
+            out.append(s)
+        for i, k in hits.get("initial", ()):
+            a = i + 1
+            m = _NEXT.match(v, i + 3)
+            if v[a].isupper() and m and m.group(2)[0].isupper() and (m.group(2).lower() not in _STOP or m.group(2).lower() in PARTICLES):
+                got = self._forward(v, a)
+                if got and got[2] and got[1] - m.start(2) > 2:
+                    out.append((a, self._clip(v, a, got[1], 1)))
+        out.sort(key=lambda s: (s[0], -s[1]))
+        merged: list[tuple[int, int]] = []
+        for a, b in out:
+            if merged and a < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        return merged
+
+    def _clip(self, v: str, a: int, b: int, most: int = 2) -> int:
+        """A phrase without an end takes at most a given and a family name: words after a known family name belong to the next sentence."""
+        end, seen = b, 0
+        for m in _TOKEN.finditer(v, a, b):
+            w = m.group().lower()
+            if w in PARTICLES or m.group().endswith("."):
+                continue
+            seen += 1
+            end = m.end()
+            if seen == most or (self.names.get(w) == "family" and not v[m.end() : m.end() + 2] == ", "):
+                break
+        return end
+
+    def _backward(self, v: str, i: int) -> tuple[int, int] | None:
+        """The name that ends at ``i``."""
+        a, n, body = i, 0, False
+        while n < 5:
+            m = _PREV.search(v, max(0, a - 40), a) if a != i else re.compile(rf"((?:(?<![^\W\d_])[^\W\d_]\.)|{_W})()$").search(v, max(0, i - 40), i)
+            if not m:
+                break
+            w = m.group(1)
+            lw = w.lower()
+            if m.group(2).startswith(",") and not (n and self.names.get(v[a:i].lower()) == "given"):
+                break
+            if (lw in _STOP and lw not in PARTICLES) or (lw in _OPENERS and not self._is_name(w)):
+                break
+            if lw in PARTICLES:
+                if not body:
+                    break
+            elif not (w[0].isupper() or self._is_name(w)):
+                break
+            else:
+                body = True
+            a = m.start()
+            n += 1
+        while True:  # a particle in lower case doesn't start a name unless it belongs to a known one
+            m = _TOKEN.match(v, a)
+            if m and m.end() < i and m.group().lower() in PARTICLES and m.group()[0].islower() and not any(v[a:i].lower().startswith(x) for x in self.names):
+                a = m.end() + 1
+            else:
+                break
+        return (a, i) if body and a < i else None
+
+    def _around(self, v: str, i: int, j: int) -> tuple[int, int]:
+        """A known name with its title, initial and the name before or after it."""
+        a, b = i, j
+        kind = self.names[v[i:j].lower()]
+        for _ in range(3):
+            m = _PREV.search(v, max(0, a - 30), a)
+            if not m:
+                break
+            w, sep = m.group(1), m.group(2)
+            lw = w.lower()
+            if sep != " " or (kind == "given" and not self._is_name(w)):
+                break
+            if (len(w) == 2 and w[1] == "." and w[0].isupper()) or (self.names.get(lw) == "given" and kind == "family") or (lw in PARTICLES and w[0].isupper() and kind == "family") or (kind == "family" and w[0].isupper() and lw not in _STOP and lw not in _OPENERS and len(w) > 2 and not w.isupper() and v[i].isupper() and self._free_before(v, m.start())):
+                a = m.start()
+            else:
+                break
+            if self.names.get(lw) == "given":
+                break
+        m = _NEXT.match(v, b)
+        if m and kind == "family" and m.group(1) == ", " and self.names.get(m.group(2).lower()) == "given":
+            return a, m.end()
+        if m and kind == "given" and m.group(1) == " ":
+            got = self._forward(v, m.start(2))
+            if got and got[2]:
+                first = _TOKEN.match(v, m.start(2)).group()
+                if self._is_name(first) or first.lower() in PARTICLES or (first[0].isupper() and first.lower() not in _STOP and not v[i:j].isupper()):
+                    b = self._clip(v, m.start(2), got[1], 1)
+        return a, b
+
+    def _free_before(self, v: str, a: int) -> bool:
+        """Whether a capital at ``a`` is not just that of a sentence's first word."""
+        return a > 1 and v[a - 1] == " " and v[a - 2] not in ".!?…"
+
+    def _person(self, v: str, i: int, j: int, s: tuple[int, int], k: str) -> bool:
+        """Whether an ordinary word is a name here: with a capital, and beside another name or an initial."""
+        if not v[i].isupper() or (v[i:j].isupper() and j - i > 1 and not v[s[0] : s[1]].isupper()):
+            return False
+        other = (v[s[0] : i] + " " + v[j : s[1]]).split()
+        for w in other:
+            w = w.strip(",").lower()
+            if (w in self.words and (w not in ORDINARY or self.names.get(w) != self.names.get(k))) or (len(w) == 2 and w[1] == "."):
+                return True
+        return False
+
+
+def _email(v: str, i: int) -> tuple[int, int] | None:
+    a = i - 1 if i and v[i - 1] == " " and v[i] != "@" else i
+    m = _AT.match(v, a)
+    local = _LOCAL.search(v, max(0, a - 64), a)
+    if not m or not local:
+        return None
+    d = _DOMAIN.match(v, m.end())
+    if not d or (v[i] == "@" and m.group() != "@"):
+        return None
+    top = re.split(r"\.|[)\]]\s?", d.group())[-1].strip()
+    if len(top) < 2 or not top.isalpha() or not any(c.isalnum() for c in local.group()):
+        return None
+    a = local.start()
+    while v[a] in "._%+-":
+        a += 1
+    return a, d.end()
+
+
+def _phone(v: str, i: int, k: str) -> tuple[int, int] | None:
+    if k == "+0":
+        if i and v[i - 1].isalnum():
+            return None
+        m = _PLUS.match(v, i)
+        if not m:
+            return None
+        n, end = 0, i
+        for part in re.finditer(r"\(0\)|\d+", m.group()):
+            if part.group() != "(0)":
+                n += sum(c.isdigit() for c in part.group())
+            if n > 13:
+                break
+            if n >= 9:
+                end = i + part.end()
+        return (i, end) if end > i and not (end < len(v) and v[end].isalnum()) else None
+    for a in range(i, max(-1, i - 3), -1):
+        if a and (v[a - 1].isalnum() or v[a - 1] in "+/" or (v[a - 1] in ".-" and a > 1 and v[a - 2].isdigit())):
+            continue
+        m = _PHONE.match(v, a)
+        if m and not _AFTER_PHONE.match(v, m.end()):
+            return a, m.end()
+    return None
+
+
+def _cued(v: str, i: int, k: str) -> tuple[int, int] | None:
+    if i and v[i - 1].isalnum():
+        return None
+    a = i + len(k)
+    if a < len(v) and len(k) <= 4 and v[a].isalpha():
+        if not v[a:].lower().startswith(("nr", "num", "-num")):
+            return None
+    m = re.compile(r"[a-z]{0,8}\.?(?: (?:number|nummer|nr|no|is|was)\.?)*[ :=#-]{0,3}", re.I).match(v, a)
+    n = re.compile(r"\d(?:[ .\-/]?\d){7,12}").match(v, m.end() if m else a)
+    if not n:
+        return None
+    digits, end = 0, n.start()
+    stops = []
+    for p in range(n.start(), n.end()):
+        if v[p].isdigit():
+            digits += 1
+            if digits in (8, 9, 11) and (p + 1 == len(v) or not v[p + 1].isdigit()):
+                stops.append((digits, p + 1))
+    best = [e for d, e in stops if d in (9, 11)] or [e for _, e in stops]
+    if not best:
+        return None
+    want = 11 if k in ("rijksregister", "insz", "niss") else 9
+    exact = [e for d, e in stops if d == want]
+    end = exact[0] if exact else best[0]
+    return i, end
+
+
+def _ssn(v: str, i: int, k: str) -> tuple[int, int] | None:
+    m = _SSN.match(v, i)
+    return (i, m.end()) if m and not (i and (v[i - 1].isalnum() or v[i - 1] in "-/.")) else None
+
+
+def _national(v: str, i: int, k: str) -> tuple[int, int] | None:
+    m = _NATIONAL.match(v, i)
+    ok = m and not (i and (v[i - 1].isalnum() or v[i - 1] in "-/.")) and 1 <= int(v[i + 3 : i + 5]) % 20 <= 12 and int(v[i + 6 : i + 8]) <= 31
+    return (i, m.end()) if ok else None
+
+
+def _insurance(v: str, i: int, k: str) -> tuple[int, int] | None:
+    for a in (i - 2, i - 3):
+        if a >= 0 and not (a and (v[a - 1].isalnum() or v[a - 1] in "-/.")):
+            m = _INSURANCE.match(v, a)
+            if m:
+                return a, m.end()
+    return None
+
+
+def _dutch(v: str, i: int, k: str, known: set[str]) -> tuple[int, int] | None:
+    j = i + len(k) - 1
+    m = _NL_NAME.search(v, max(0, i - 48), j - 1)
+    if not m:
+        return None
+    a = m.start()
+    first = v[a : j - 1].split()
+    while len(first) > 1 and (first[0].lower() in _STOP or len(first) > 2 or first[0].lower() not in ("oude", "nieuwe", "lange", "korte", "grote", "kleine", "hoge", "lage", "sint", "st.", "eerste", "tweede", "noorder", "zuider", "ooster", "wester", "oud", "nieuw", "brede", "smalle", "groene", "witte")):
+        a += len(first[0]) + 1
+        first = first[1:]
+    if len(first) == 1 and len(first[0]) <= len(k) - 2:
+        return None
+    h = _HOUSE.match(v, j)
+    if not h:
+        return None
+    e = h.end()
+    if e < len(v) and (v[e].isalnum() or v[e] in ":%"):
+        return None
+    t = _NL_TAIL.match(v, e)
+    return a, _second(v, t.end(), known) if t else e
+
+
+def _second(v: str, e: int, known: set[str]) -> int:
+    """The end of a town's name whose first word ends at ``e``: a second word, unless a sentence or a name starts there."""
+    m = _TOWN_2.match(v, e)
+    if not m or m.group(1).lower() in _STOP or m.group(1).lower() in known or m.group(1).lower() in _OPENERS:
+        return e
+    return m.end()
+
+
+def _english(v: str, i: int, k: str, known: set[str]) -> tuple[int, int] | None:
+    e = i + len(k)
+    if e < len(v) and v[e].isalnum():
+        return None
+    m = _EN_HEAD.search(v, max(0, i - 70), i + 1)
+    if not m or _PAGE.search(v, max(0, m.start() - 12), m.start()):
+        return None
+    t = _EN_TOWN.match(v, e)
+    e = _second(v, t.end(), known) if t else e
+    t = _POSTCODE.match(v, e)
+    return m.start(), t.end() if t else e
+
+
+@lru_cache(maxsize=4)
+def finder(names: tuple[tuple[str, str], ...]) -> Finder:
+    return Finder(names)
+
+
+def load_names(names: DataFrame) -> tuple[tuple[str, str], ...]:
+    """The name list, at most ``MOST_NAMES`` rows."""
+    rows = names.where("name is not null").select("name", "name_type").distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return tuple(sorted((r[0], r[1] or "family") for r in rows))
+
+
+def kinds_of(column: Column, names: tuple[tuple[str, str], ...]) -> Column:
+    """Bits of the kinds found, in the order of ``KINDS``; null for null."""
+
+    @F.arrow_udf(IntegerType())
+    def kinds(texts: pa.Array) -> pa.Array:
+        f = finder(names)
+        out = []
+        for t in texts.to_pylist():
+            bits = 0
+            if t:
+                for _, _, k in f.spans(t):
+                    bits |= 1 << KINDS.index(k)
+            out.append(None if t is None else bits)
+        return pa.array(out, pa.int32())
+
+    return kinds(column)
+
+
+def replace(text: str, f: Finder) -> str:
+    out, last = [], 0
+    for a, b, k in f.spans(text):
+        out += [text[last:a], f"[{k.upper()}]"]
+        last = b
+    return "".join(out) + text[last:] if out else text
+
+
+def redacted(column: Column, names: tuple[tuple[str, str], ...]) -> Column:
+    @F.arrow_udf(StringType())
+    def redact(texts: pa.Array) -> pa.Array:
+        f = finder(names)
+        return pa.array([t and replace(t, f) for t in texts.to_pylist()], pa.string())
+
+    return redact(column)
+
+
+def found(rows: DataFrame, keys: list[str], text: str, names: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Distinct ``keys`` with pii_kind, one row for each kind that the text holds."""
+    bits = rows.select(*keys, kinds_of(F.col(text), names).alias("_bits")).where("_bits > 0")
+    each = F.array(*[F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(KINDS)])
+    return bits.select(*keys, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("pii_kind")).distinct()

@@ -9,6 +9,7 @@ from sparkgauge.llm import canonical as can
 from sparkgauge.llm import consensus as cons
 from sparkgauge.llm import contract as ctr
 from sparkgauge.llm import copies as cop
+from sparkgauge.llm import pii
 from sparkgauge.llm import splits as spl
 from sparkgauge.session import table
 
@@ -56,6 +57,16 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return g.unionByName(table(spark, d, "tweets").select(F.lit("tweets").alias("source_table"), "item_id", "text"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    names = pii.load_names(table(spark, d, "known_names"))
+    return pii.found(_texts(spark, d).where("item_id is not null"), ["source_table", "item_id"], "text", names)
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    names = pii.load_names(table(spark, d, "known_names"))
+    return _texts(spark, d).select("source_table", "item_id", pii.redacted(F.col("text"), names).alias("text"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     got = can.look_alikes(_texts(spark, d), "source_table", "item_id", "text")
     return got.select(F.col("source").alias("source_table"), F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
@@ -79,6 +90,6 @@ def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("kept").alias("kept_item_id"), "copies")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p4_found, p4_canonical, p5_found, p6_found, p6_distinct)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct)}
 
 SQL: dict[str, str] = {}
