@@ -10,7 +10,9 @@ from sparkgauge.llm import consensus as cons
 from sparkgauge.llm import contract as ctr
 from sparkgauge.llm import copies as cop
 from sparkgauge.llm import leaks as lks
+from sparkgauge.llm import packing as pck
 from sparkgauge.llm import pii
+from sparkgauge.llm import segments as seg
 from sparkgauge.llm import splits as spl
 from sparkgauge.session import table
 
@@ -91,6 +93,10 @@ def p6_distinct(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("kept").alias("kept_item_id"), "copies")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pck.containers(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "eval_id", "text")
 
@@ -101,6 +107,15 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return lks.without_leaks(docs, p8_found(spark, d), "doc_id").select("doc_id", "source", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p8_found, p8_clean)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = seg.oversized(table(spark, d, "documents"), "doc_id", "text")
+    return cut.where("piece = 1").select("doc_id").distinct()
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return seg.pieces(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces)}
 
 SQL: dict[str, str] = {}
