@@ -107,7 +107,7 @@ def consensus(df: DataFrame, item: str, annotator: str, label: str, max_rounds:
         scored = scored.groupBy("item", F.col("label").alias("c")).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("n"))
         items = scored.groupBy("item").agg(
             _best("score", "n", "c").alias("consensus"),
-            F.max(F.round("score", 9)).alias("score"),
+            F.max("score").alias("score"),
             F.sum("score").alias("all_score"),
             F.sum("n").alias("votes"),
             F.count(F.lit(1)).alias("classes"),

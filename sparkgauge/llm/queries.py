@@ -118,4 +118,24 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces)}
 
-SQL: dict[str, str] = {}
+_BARE = "lower(regexp_replace({}, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
+_PAIRED = f"""SELECT DISTINCT item_id, least(a, b) || chr(0) || greatest(a, b) || length(least(a, b)) AS k
+FROM (SELECT item_id, {_BARE.format("generated_text")} AS a, {_BARE.format("hidden_emo_text")} AS b
+      FROM generation WHERE item_id IS NOT NULL AND generated_text IS NOT NULL AND hidden_emo_text IS NOT NULL)"""
+
+
+def _crossing(name: str, key: str) -> str:
+    return f"SELECT '{name}' AS split_table, '{key}' AS key_field, {key} AS key_value FROM {name} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(DISTINCT test_fold) > 1"
+
+
+SQL: dict[str, str] = {
+    "p2_found": " UNION ALL ".join(_crossing(*x) for x in (("crowd_full_outer", "group_id"), ("crowd_full_outer", "writer_id"), ("emotwics_outer", "group_id"), ("emotwics_outer", "conversation_id"))),
+    "p5_found": """WITH RECURSIVE e AS (
+  SELECT matched_field AS f, left_id AS a, right_id AS b FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL
+  UNION SELECT matched_field, right_id, left_id FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL),
+r AS (SELECT f, a AS record_id, a AS seen FROM e UNION SELECT r.f, r.record_id, e.b FROM r JOIN e ON e.f = r.f AND e.a = r.seen)
+SELECT min(seen) AS root_id, record_id FROM r GROUP BY f, record_id HAVING min(seen) <> record_id""",
+    "p6_found": f"""WITH p AS ({_PAIRED}), g AS (SELECT k, min(item_id) AS kept FROM p GROUP BY k)
+SELECT g.kept AS kept_item_id, p.item_id FROM p JOIN g USING (k) WHERE p.item_id <> g.kept""",
+    "p6_distinct": f"SELECT min(item_id) AS kept_item_id, count(*) AS copies FROM ({_PAIRED}) GROUP BY k",
+}
