@@ -17,16 +17,16 @@ from sparkgauge.operators.skew import hot_join
 from sparkgauge.session import Scratch
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, rows: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return hot_join(both.where("v > u"), least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return hot_join(both.where("v > u"), least, "u", rows=rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(e: DataFrame) -> DataFrame:
+def _small(e: DataFrame, rows: int) -> DataFrame:
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = hot_join(down, least, "u")
+    linked = hot_join(down, least, "u", rows=rows)
     pairs = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return pairs.where("u <> v").distinct()
 
@@ -38,8 +38,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     live = s.keep(given.where("u <> v"))
     seen = None
     for _ in range(max_rounds):
-        big = s.keep(_large(live))
-        after = s.keep(_small(big))
+        big = s.keep(_large(live, s.rows(live)))
+        after = s.keep(_small(big, s.rows(big)))
         s.drop(big)
         mark = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         s.drop(live)
@@ -90,5 +90,6 @@ def duplicate_components(items: DataFrame, item: str, identity: str, text: Colum
     rows = items.where(F.col(item).isNotNull()).select(tag("i", F.col(item)).alias("i"), tag("w", F.col(identity)).alias("w"), tag("t", text).alias("t")).distinct()
     links = rows.select(F.col("i").alias("u"), F.explode(F.array("i", "w", "t")).alias("v")).where("v is not null")
     placed = components(links).where("node like 'i%'").select(F.substring("node", 2, 1 << 30).alias(item), "root")
+    s = Scratch(items.sparkSession, "named")
     named = member_digests(placed, "root", item).select("root", F.concat(F.lit("component-"), F.substring("digest", 1, 16)).alias("group_id"))
-    return hot_join(placed, named, "root").select(item, "group_id")
+    return s.keep(hot_join(placed, named, "root").select(item, "group_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkgauge.functions.vocab import SEED
 from sparkgauge.operators import checks
 from sparkgauge.operators.components import duplicate_components
+from sparkgauge.session import Scratch
 
 #: Hash parts of a profile; places within a profile are exact and no window spans more than one part.
 PARTS = 64
@@ -85,6 +86,7 @@ def label_columns(df: DataFrame, label: str, names: Sequence[str]) -> tuple[Data
 def nested_folds(items: DataFrame, group: str, classes: Sequence[str], outer: int = 5, inner: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(group, test_fold) and (outer_fold, group, validation_fold), the inner folds over each outer training part."""
     o = group_folds(items, group, classes, outer, seed).withColumnRenamed("fold", "test_fold")
+    o = Scratch(items.sparkSession, "outer").keep(o)
     with_outer = items.join(o, group)
     parts = None
     for f in range(outer):
@@ -98,6 +100,7 @@ def writer_splits(generation: DataFrame, text, names: Sequence[str], outer: int
     """Outer and inner folds of the writers' items by label, components kept together."""
     comp = duplicate_components(generation, "item_id", "writer_id", text)
     rows, cols = label_columns(generation.select("item_id", "writer_id", "y_writer").join(comp, "item_id"), "y_writer", names)
+    rows = Scratch(generation.sparkSession, "folds").keep(rows)
     o, i = nested_folds(rows, "group_id", cols, outer, inner, seed)
     keys = rows.select("item_id", "group_id", "writer_id")
     return keys.join(o, "group_id"), i.join(keys, "group_id")
@@ -106,8 +109,9 @@ def writer_splits(generation: DataFrame, text, names: Sequence[str], outer: int
 def tweet_splits(tweets: DataFrame, text, columns: Sequence[str], outer: int = 5, inner: int = 3, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The same for tweets over a group's greatest indicator of each label."""
     comp = duplicate_components(tweets, "item_id", "conversation_id", text)
-    rows = tweets.select("item_id", "conversation_id", *columns).join(comp, "item_id")
-    top = rows.groupBy("group_id").agg(*[F.max(c).alias(c) for c in columns])
+    s = Scratch(tweets.sparkSession, "folds")
+    rows = s.keep(tweets.select("item_id", "conversation_id", *columns).join(comp, "item_id"))
+    top = s.keep(rows.groupBy("group_id").agg(*[F.max(c).alias(c) for c in columns]))
     o, i = nested_folds(top, "group_id", list(columns), outer, inner, seed)
     keys = rows.select("item_id", "group_id", "conversation_id")
     return keys.join(o, "group_id"), i.join(keys, "group_id")

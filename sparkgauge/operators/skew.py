@@ -11,26 +11,27 @@ HOT_SHARE = 1 / 500
 HOT_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS, rows: int | None = None) -> list:
     """Values of ``key`` that hold more than ``share`` of the rows and more than ``least`` rows.
 
     Counts are exact and combined map-side. At most ``1 / share`` values reach the driver.
+    ``rows``, if known, is the number of rows or a bound on it and saves counting a small table.
     """
-    total = df.count()
+    total = df.count() if rows is None or rows > least else rows
     if total <= least:
         return []
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return [r[0] for r in counts.where((F.col("n") > least) & (F.col("n") > total * share)).select(key).collect() if r[0] is not None]
 
 
-def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+def hot_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", hot: list | None = None, rows: int | None = None) -> DataFrame:
     """Join ``big`` to ``small``, which has at most one row for each key, with ``how`` inner or left.
 
     Rows of hot keys (``hot``, else counted here) meet a broadcast of at most
     ``1 / HOT_SHARE`` rows of ``small``; the rest take one shuffle join. Rows with a
     null key match nothing.
     """
-    hot = hot_keys(big, key) if hot is None else hot
+    hot = hot_keys(big, key, rows=rows) if hot is None else hot
     if not hot:
         return big.join(small, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -79,7 +79,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/sg-{label}-{uuid.uuid4().hex[:12]}"
-        self._n, self._path = 0, {}
+        self._n, self._path, self._rows = 0, {}, {}
         _made.add((spark, self.root))
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -90,8 +90,15 @@ class Scratch:
         self._path[id(out)] = (out, path)
         return out
 
+    def rows(self, df: DataFrame) -> int:
+        """Rows of a kept table, from its files' footers."""
+        if id(df) not in self._rows:
+            self._rows[id(df)] = df.count()
+        return self._rows[id(df)]
+
     def drop(self, df: DataFrame) -> None:
         found = self._path.pop(id(df), None)
+        self._rows.pop(id(df), None)
         if found:
             _delete(self.spark, found[1])
 
