@@ -182,7 +182,7 @@ def look_alikes(rows: DataFrame, source: str, record: str, text: str, salts: int
     keys = s.keep(seen.select("source", "id", digest(F.coalesce("c", "t")).alias("key"), F.when(F.col("c").isNotNull(), digest(F.col("t"))).alias("raw")))
     odd = keys.where("raw is not null")
     all_of = s.keep(keys.join(odd.select("source", "key").distinct(), ["source", "key"], "left_semi").distinct())
-    hot = hot_keys(all_of, "key")
+    hot = hot_keys(all_of, "key", rows=s.rows(all_of))
     is_hot = F.col("key").isin(hot) if hot else F.lit(False)
     left = all_of.where("raw is not null").select("source", "key", F.col("id").alias("x"), F.col("raw").alias("rx"), F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
     right = all_of.select("source", "key", F.col("id").alias("y"), F.col("raw").alias("ry"), F.when(is_hot, F.pmod(F.hash("id"), F.lit(salts))).otherwise(F.lit(0)).alias("salt"))

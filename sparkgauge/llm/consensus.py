@@ -68,8 +68,8 @@ def _meet(big: DataFrame, who: DataFrame, n_who: int, hot: list) -> DataFrame:
 def consensus(df: DataFrame, item: str, annotator: str, label: str, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> Consensus:
     s = Scratch(df.sparkSession, "consensus")
     votes = s.keep(clean_votes(df, item, annotator, label))
-    hot_item = hot_keys(votes, "item")
-    hot_who = hot_keys(votes, "who")
+    hot_item = hot_keys(votes, "item", rows=s.rows(votes))
+    hot_who = hot_keys(votes, "who", rows=s.rows(votes))
     # the classes of an item: at most as many as there are labels, whatever the number of its votes
     classes = votes.groupBy("item").agg(F.collect_set("label").alias("classes"))
     edges = hot_join(votes, classes, "item", hot=hot_item).select("item", "who", F.explode("classes").alias("c"), "label")

@@ -36,14 +36,15 @@ def contract(edges: DataFrame, seed: int = 1, max_rounds: int = 200) -> DataFram
     live = s.keep(_distinct_edges(edges.select("u", "v").dropna()))
     maps = []
     for k in range(max_rounds):
-        if live.isEmpty():
+        n = s.rows(live)
+        if not n:
             break
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hook = both.groupBy("u").agg(F.min(_rank("v", seed + k)).alias("best")).select("u", F.least("best", _rank("u", seed + k))["x"].alias("r"))
         hook = s.keep(hook)
         maps.append(hook)
-        hot_v = hot_keys(live, "v")
-        half = hot_join(live, hook.withColumnRenamed("r", "ru"), "u").select("v", "ru")
+        hot_v = hot_keys(live, "v", rows=n)
+        half = hot_join(live, hook.withColumnRenamed("r", "ru"), "u", rows=n).select("v", "ru")
         full = hot_join(half, hook.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v", hot=hot_v)
         after = s.keep(_distinct_edges(full.select(F.col("ru").alias("u"), F.col("rv").alias("v"))))
         s.drop(live)
@@ -56,12 +57,12 @@ def contract(edges: DataFrame, seed: int = 1, max_rounds: int = 200) -> DataFram
     while maps:
         lower = maps.pop()
         upper = done.select(F.col("u").alias("r"), F.col("r").alias("top"))
-        merged = s.keep(hot_join(lower, upper, "r", "left").select("u", F.coalesce("top", "r").alias("r")))
+        merged = s.keep(hot_join(lower, upper, "r", "left", rows=s.rows(lower)).select("u", F.coalesce("top", "r").alias("r")))
         s.drop(lower)
         s.drop(done)
         done = merged
     least = done.groupBy("r").agg(F.min("u").alias("root"))
-    return s.keep(hot_join(done, least, "r").select(F.col("u").alias("record"), "root"))
+    return s.keep(hot_join(done, least, "r", rows=s.rows(done)).select(F.col("u").alias("record"), "root"))
 
 
 def group_matches(matches: DataFrame) -> DataFrame:

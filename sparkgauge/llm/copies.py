@@ -58,8 +58,9 @@ def _hot_sets(rows: DataFrame, hot: list) -> DataFrame:
 
 def distinct_records(df: DataFrame, fields: Sequence[str], record: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
     """(kept, copies): one row per distinct record, its least id and how many ids hold it."""
-    rows = keyed(df, fields, record, Scratch(df.sparkSession, "copies"))
-    hot = hot_keys(rows, "key", share, least)
+    s = Scratch(df.sparkSession, "copies")
+    rows = keyed(df, fields, record, s)
+    hot = hot_keys(rows, "key", share, least, s.rows(rows))
     out = _cold(rows, hot).groupBy("key").agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("copies"))
     if hot:
         out = out.unionByName(_hot_sets(rows, hot))
@@ -68,8 +69,9 @@ def distinct_records(df: DataFrame, fields: Sequence[str], record: str, share: f
 
 def copy_members(df: DataFrame, fields: Sequence[str], record: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
     """(kept, id): every copy but the kept one, with the least id of its set."""
-    rows = keyed(df, fields, record, Scratch(df.sparkSession, "copies"))
-    hot = hot_keys(rows, "key", share, least)
+    s = Scratch(df.sparkSession, "copies")
+    rows = keyed(df, fields, record, s)
+    hot = hot_keys(rows, "key", share, least, s.rows(rows))
     out = _cold(rows, hot).withColumn("kept", F.min("id").over(Window.partitionBy("key"))).select("kept", "id")
     if hot:
         near = rows.where(F.col("key").isin(hot)).join(F.broadcast(_hot_sets(rows, hot)), "key").select("kept", "id")

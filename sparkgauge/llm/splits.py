@@ -32,7 +32,7 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     known = s.keep(known.distinct())
     for _ in range(max_rounds):
         least = known.groupBy("u").agg(F.min("v").alias("m"))
-        seen = s.keep(hot_join(known, least, "u"))
+        seen = s.keep(hot_join(known, least, "u", rows=s.rows(known)))
         if seen.where("u <> m and v <> m").isEmpty():
             return s.keep(seen.select(F.col("u").alias("node"), F.col("m").alias("component")).distinct())
         sent = seen.select(F.col("m").alias("u"), "v").unionByName(seen.select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -110,4 +110,4 @@ def broken_keys(tables: Mapping[str, tuple[DataFrame, Sequence[str]]], fold: str
     placed = spans.join(key_components(tables), ["split_table", "key_field", "key_value"])
     placed = s.keep(placed)
     crossing = placed.groupBy("component").agg(F.min("lo").alias("clo"), F.max("hi").alias("chi")).where("clo < chi").select("component", F.lit(True).alias("crosses"))
-    return hot_join(placed, crossing, "component").where("lo < hi").select("split_table", "key_field", "key_value")
+    return hot_join(placed, crossing, "component", rows=s.rows(placed)).where("lo < hi").select("split_table", "key_field", "key_value")
