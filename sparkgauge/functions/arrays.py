@@ -88,7 +88,7 @@ def entropy_bits(counts: Column) -> Column:
 
 def masked_mean(vectors: Column, keep: Column) -> Column:
     """Mean of the vectors whose flag is true; null if none is."""
-    chosen = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), keep.alias("k")), lambda z: z["1"].cast("boolean")), lambda z: z["0"])
+    chosen = F.filter(vectors, lambda v, i: F.element_at(keep, i + 1).cast("boolean"))
     n = F.size(chosen)
     first = chosen[0]
     summed = F.aggregate(F.slice(chosen, 2, F.greatest(n - 1, F.lit(0))), F.transform(first, lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))

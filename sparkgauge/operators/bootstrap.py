@@ -25,8 +25,8 @@ def group_totals(paired: DataFrame, group: str, a: str, b: str, item: str = "ite
     return paired.groupBy(F.col(group).alias("g")).agg(F.min(item).alias("first"), F.count(F.lit(1)).alias("n"), F.sum(a).alias("sum_a"), F.sum(b).alias("sum_b"))
 
 
-def numbered(totals: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``totals`` with ``k`` from 0 in the given order. Ranks are exact: by range partition, then within it."""
+def numbered(totals: DataFrame, order: Sequence[str], out: str = "k") -> DataFrame:
+    """``totals`` with ``out`` from 0 in the given order. Ranks are exact: by range partition, then within it."""
     s = totals.sparkSession
     ranged = totals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     ranged = ranged.persist()
@@ -37,7 +37,7 @@ def numbered(totals: DataFrame, order: Sequence[str]) -> DataFrame:
         at += sizes[p]
     offsets = s.createDataFrame(starts or [(0, 0)], "_p int, _o bigint")
     n = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_n", n).join(F.broadcast(offsets), "_p").withColumn("k", F.col("_o") + F.col("_n")).drop("_p", "_n", "_o")
+    return ranged.withColumn("_n", n).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_o") + F.col("_n")).drop("_p", "_n", "_o")
 
 
 def hash_multiplicities(spark: SparkSession, n_groups: int, draws: int, seed: int = SEED) -> DataFrame:

@@ -163,16 +163,16 @@ def partition_agreement(df: DataFrame, truth: str, predicted: str, n_labels: int
     t = contingency(df, truth, predicted, by)
     rows = t.groupBy(*by, "a").agg(F.sum("n").alias("ra"))
     cols = t.groupBy(*by, "b").agg(F.sum("n").alias("cb"))
-    whole = t.groupBy(*by).agg(F.sum("n").alias("N"))
+    whole = t.groupBy(*by).agg(F.sum("n").alias("whole_n"))
     on = list(by)
     j = t.join(rows, [*on, "a"]).join(cols, [*on, "b"])
     j = j.join(whole, on) if on else j.crossJoin(F.broadcast(whole))
     pairs = lambda x: x * (x - 1) / 2
-    mi = j.groupBy(*by).agg(F.sum(F.col("n") / F.col("N") * F.log(F.col("N") * F.col("n") / (F.col("ra") * F.col("cb")))).alias("mi"), F.sum(pairs(F.col("n"))).alias("ij"), F.first("N").alias("N"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0.0)).alias("hits"), F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("n") / (F.col("ra") + F.col("cb"))).otherwise(0.0)).alias("f1"))
+    mi = j.groupBy(*by).agg(F.sum(F.col("n") / F.col("whole_n") * F.log(F.col("whole_n") * F.col("n") / (F.col("ra") * F.col("cb")))).alias("mi"), F.sum(pairs(F.col("n"))).alias("ij"), F.first("whole_n").alias("whole_n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0.0)).alias("hits"), F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("n") / (F.col("ra") + F.col("cb"))).otherwise(0.0)).alias("f1"))
     join_n = (lambda d: d.join(whole, on)) if on else (lambda d: d.crossJoin(F.broadcast(whole)))
-    h = lambda d, c, out: join_n(d).groupBy(*by).agg((-F.sum(F.col(c) / F.col("N") * F.log(F.col(c) / F.col("N")))).alias(f"h_{out}"), F.sum(pairs(F.col(c))).alias(f"p_{out}"))
+    h = lambda d, c, out: join_n(d).groupBy(*by).agg((-F.sum(F.col(c) / F.col("whole_n") * F.log(F.col(c) / F.col("whole_n")))).alias(f"h_{out}"), F.sum(pairs(F.col(c))).alias(f"p_{out}"))
     out = _side_by_side([mi, h(rows, "ra", "a"), h(cols, "cb", "b")], by)
-    expected = F.col("p_a") * F.col("p_b") / pairs(F.col("N"))
+    expected = F.col("p_a") * F.col("p_b") / pairs(F.col("whole_n"))
     top = (F.col("p_a") + F.col("p_b")) / 2
     mean_h = (F.col("h_a") + F.col("h_b")) / 2
     return out.select(
@@ -181,7 +181,7 @@ def partition_agreement(df: DataFrame, truth: str, predicted: str, n_labels: int
         F.when(mean_h > 0, F.col("mi") / mean_h).otherwise(1.0).alias("nmi"),
         F.when(top == expected, 1.0).otherwise((F.col("ij") - expected) / (top - expected)).alias("ari"),
         (F.col("f1") / n_labels).alias("macro_f1"),
-        (F.col("hits") / F.col("N")).alias("accuracy"),
+        (F.col("hits") / F.col("whole_n")).alias("accuracy"),
     )
 
 

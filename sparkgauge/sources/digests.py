@@ -76,4 +76,4 @@ def ordered_digest(df: DataFrame, order: Sequence[str], columns: Sequence[str] |
     from sparkgauge.operators.bootstrap import numbered
 
     cols = list(columns or df.columns)
-    return table_digest(numbered(df.select(*dict.fromkeys([*cols, *order])), list(order)), [*cols, "k"])
+    return table_digest(numbered(df.select(*dict.fromkeys([*cols, *order])), list(order), "_place"), [*cols, "_place"])
