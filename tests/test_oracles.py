@@ -9,7 +9,7 @@ import pytest
 
 from sparkgauge.plans.registry import QUERIES, SQL
 
-LIGHT = ["appraisal_probe_selections", "site_placement", "matched_nulls", "counterfactual_regressions"]
+LIGHT = ["site_placement", "matched_nulls", "counterfactual_regressions"]
 
 
 def plain(v):
