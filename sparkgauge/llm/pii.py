@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -127,6 +128,31 @@ def _view(text: str) -> tuple[str, list[int] | None]:
 _ZERO = {ord(str(d)): "0" for d in range(1, 10)}
 
 
+class _Spans:
+    """Disjoint spans in order; one that overlaps an earlier one is refused."""
+
+    def __init__(self):
+        self.rows: list[tuple[int, int, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.rows, (a, a, ""))
+        return not (i and self.rows[i - 1][1] > a) and not (i < len(self.rows) and self.rows[i][0] < b)
+
+    def add(self, a: int, b: int, kind: str) -> None:
+        if self.free(a, b):
+            insort(self.rows, (a, b, kind))
+
+    def masked(self, text: str) -> str:
+        """The text with a zero character for each one within a span."""
+        if not self.rows:
+            return text
+        out, last = [], 0
+        for a, b, _ in self.rows:
+            out += [text[last:a], chr(0) * (b - a)]
+            last = b
+        return "".join(out) + text[last:]
+
+
 class Finder:
     """Finds spans of personal information. Built once per Python worker and name list."""
 
@@ -182,37 +208,28 @@ class Finder:
                 hits.setdefault(what, []).append((end + 1 - len(key), key))
         if not hits:
             return []
-        out: list[tuple[int, int, str]] = []
-
-        def free(a: int, b: int) -> bool:
-            return all(b <= x or y <= a for x, y, _ in out)
-
+        taken, reserved = _Spans(), _Spans()
         for i, _ in hits.get("email", ()):
-            s = _email(v, i)
-            if s and free(*s):
-                out.append((*s, "email"))
+            if s := _email(v, i):
+                taken.add(*s, "email")
         ids = [s for what, parse in (("cue", _cued), ("ssn", _ssn), ("national", _national), ("insurance", _insurance)) for i, k in hits.get(what, ()) if (s := parse(v, i, k))]
-        homes = [s for i, k in hits.get("nl", ()) if (s := _dutch(v, i, k, self.words))] + [s for i, k in hits.get("en", ()) if v[i + 1].isupper() and (s := _english(v, i, k, self.words))]
+        for s in ids:
+            reserved.add(*s, "id_number")
         for i, k in hits.get("phone", ()):
             s = _phone(v, i, k)
-            if s and free(*s) and all(s[1] <= x or y <= s[0] for x, y in ids):
-                out.append((*s, "phone"))
+            if s and reserved.free(*s):
+                taken.add(*s, "phone")
         for s in ids:
-            if free(*s):
-                out.append((*s, "id_number"))
+            taken.add(*s, "id_number")
+        homes = [s for i, k in hits.get("nl", ()) if (s := _dutch(v, i, k, self.words))] + [s for i, k in hits.get("en", ()) if v[i + 1].isupper() and (s := _english(v, i, k, self.words))]
         for s in homes:
-            if free(*s):
-                out.append((*s, "address"))
+            taken.add(*s, "address")
         if any(w in hits for w in ("title", "before", "after", "known", "initial")):
-            for a, b, _ in out:
-                v = f"{v[:a]}{chr(0) * (b - a)}{v[b:]}"
-            for s in self._people(v, low, hits):
-                if free(*s):
-                    out.append((*s, "name"))
-        out.sort()
+            for s in self._people(taken.masked(v), low, hits):
+                taken.add(*s, "name")
         if at is None:
-            return out
-        return [(at[a], at[b - 1] + 1 if b == len(at) else at[b], k) for a, b, k in out]
+            return taken.rows
+        return [(at[a], at[b - 1] + 1 if b == len(at) else at[b], k) for a, b, k in taken.rows]
 
     # names
 

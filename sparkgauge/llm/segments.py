@@ -117,7 +117,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = TOKEN
         most = room
         while True:
             low, high = start + max(most // 2, overlap + 1), min(start + most, len(tokens) - 1)
-            near = np.nonzero((end_tok >= low) & (end_tok <= high))[0]
+            near = np.arange(np.searchsorted(end_tok, low), np.searchsorted(end_tok, high, side="right"))
             if len(near):
                 best = near[np.lexsort((end_tok[near], np.round(depth[near], 9)))[-1]]
                 stop = int(end_tok[best])
