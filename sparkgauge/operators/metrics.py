@@ -59,14 +59,25 @@ def items(df: DataFrame) -> DataFrame:
     )
 
 
+#: Score ranges of a class; a running sum spans one range and the ranges' totals, never a whole class.
+RANGES = 4096
+
+
 def average_precision(long: DataFrame, by: Sequence[str], score: str = "s", hit: str = "y", weight: str | None = None) -> DataFrame:
-    """Sum of precision times recall steps over falling scores, tied scores taken at once; 0 without positives."""
+    """Sum of precision times recall steps over falling scores, tied scores taken at once; 0 without positives.
+
+    Running sums are exact and in two levels: over the score ranges of a class, which are
+    at most ``RANGES`` rows, and within a range.
+    """
     w = F.col(weight) if weight else F.lit(1)
-    steps = long.groupBy(*by, score).agg(F.sum(F.col(hit) * w).alias("tp"), F.sum(w).alias("n"))
-    run = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    cum = steps.select(*by, "tp", F.sum("tp").over(run).alias("ctp"), F.sum("n").over(run).alias("cn"), F.sum("tp").over(whole).alias("pos"))
-    part = F.when((F.col("pos") > 0) & (F.col("cn") > 0), F.col("tp") / F.col("pos") * F.col("ctp") / F.col("cn")).otherwise(0.0)
+    span = F.floor(F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0)) * (RANGES - 1)).cast("int").alias("_r")
+    steps = long.groupBy(*by, score, span).agg(F.sum(F.col(hit) * w).alias("_tp"), F.sum(w).alias("_n"))
+    above = Window.partitionBy(*by).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    spans = steps.groupBy(*by, "_r").agg(F.sum("_tp").alias("_rtp"), F.sum("_n").alias("_rn"))
+    spans = spans.select(*by, "_r", F.coalesce(F.sum("_rtp").over(above), F.lit(0)).alias("_atp"), F.coalesce(F.sum("_rn").over(above), F.lit(0)).alias("_an"), F.sum("_rtp").over(Window.partitionBy(*by)).alias("_pos"))
+    run = Window.partitionBy(*by, "_r").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = steps.join(spans, [*by, "_r"]).select(*by, "_tp", (F.sum("_tp").over(run) + F.col("_atp")).alias("_ctp"), (F.sum("_n").over(run) + F.col("_an")).alias("_cn"), "_pos")
+    part = F.when((F.col("_pos") > 0) & (F.col("_cn") > 0), F.col("_tp") / F.col("_pos") * F.col("_ctp") / F.col("_cn")).otherwise(0.0)
     return cum.groupBy(*by).agg(F.sum(part).alias("average_precision"))
 
 
