@@ -22,9 +22,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkgauge.operators.bootstrap import numbered
 from sparkgauge.operators.skew import hot_join, hot_keys
 from sparkgauge.session import Scratch
 
@@ -36,6 +37,8 @@ TOLERANCE = 0.02
 ODDS = 12.0
 #: Times that the settled labels are held against all votes, after the messages have converged.
 CHECKS = 2
+#: Different labels there may be.
+MOST_LABELS = 10_000
 #: An annotator table with at most this many rows of three values is broadcast; beyond it, it is joined by shuffle.
 BROADCAST_ANNOTATORS = 200_000
 
@@ -59,10 +62,10 @@ def clean_votes(df: DataFrame, item: str, annotator: str, label: str) -> DataFra
     return v.dropna().groupBy("item", "who").agg(F.min("label").alias("label"))
 
 
-def _meet(big: DataFrame, who: DataFrame, n_who: int, hot: list) -> DataFrame:
+def _meet(big: DataFrame, who: DataFrame, n_who: int, hot: list, key: str) -> DataFrame:
     if n_who <= BROADCAST_ANNOTATORS:
-        return big.join(F.broadcast(who), "who")
-    return hot_join(big, who, "who", hot=hot)
+        return big.join(F.broadcast(who), key)
+    return hot_join(big, who, key, hot=hot)
 
 
 def consensus(df: DataFrame, item: str, annotator: str, label: str, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> Consensus:
@@ -70,40 +73,47 @@ def consensus(df: DataFrame, item: str, annotator: str, label: str, max_rounds:
     votes = s.keep(clean_votes(df, item, annotator, label))
     hot_item = hot_keys(votes, "item", rows=s.rows(votes))
     hot_who = hot_keys(votes, "who", rows=s.rows(votes))
+    who = s.keep(numbered(votes.select("who").distinct(), ["who"], "w_id").select("who", F.col("w_id").cast("int")))
+    n_who = s.rows(who)
+    names = [r[0] for r in votes.select("label").distinct().sort("label").limit(MOST_LABELS + 1).collect()]
+    if len(names) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("label")).cast("int") if names else F.lit(0)
     # the classes of an item: at most as many as there are labels, whatever the number of its votes
-    classes = votes.groupBy("item").agg(F.collect_set("label").alias("classes"))
-    edges = hot_join(votes, classes, "item", hot=hot_item).select("item", "who", F.explode("classes").alias("c"), "label")
-    edges = edges.select("item", "c", "who", F.when(F.col("c") == F.col("label"), 1.0).otherwise(-1.0).cast("float").alias("a"))
-    state = s.keep(edges.withColumn("y", F.lit(1.0).cast("float")))
-    n_who = votes.select("who").distinct().count()
+    classes = votes.groupBy("item").agg(F.collect_set(place).alias("classes"))
+    edges = hot_join(_meet(votes.withColumn("l", place), who, n_who, hot_who, "who"), classes, "item", hot=hot_item)
+    edges = edges.select("item", "w_id", "l", F.explode("classes").alias("c"))
+    edges = edges.select("item", F.col("c").cast("short").alias("c"), "w_id", F.when(F.col("c") == F.col("l"), 1.0).otherwise(-1.0).cast("float").alias("a"))
+    x = s.keep(_by_task(edges.withColumn("y", F.lit(1.0).cast("float")), hot_item))
+    hot_id = [r[0] for r in who.where(F.col("who").isin(hot_who)).select("w_id").collect()] if hot_who else []
     trust = None
     rounds = 0
     for rounds in range(1, max_rounds + 1):
-        task = state.groupBy("item", "c").agg(F.sum(F.col("a") * F.col("y")).alias("x_all"), F.count(F.lit(1)).alias("d"))
-        x = _by_task(state, task, hot_item)
-        x = x.select("item", "c", "who", "a", "x").transform(s.keep)
-        sums = x.groupBy("who").agg(F.sum(F.col("a") * F.col("x")).alias("y_all"), F.count(F.lit(1)).alias("e"))
-        sums = s.keep(sums)
-        size = sums.agg(F.sqrt(F.avg(F.pow(F.col("y_all") / (F.col("e") + PRIOR), 2))).alias("r")).first()["r"]
+        sums = x.groupBy("w_id").agg(F.sum(F.col("a") * F.col("x")).alias("y_all"), F.count(F.lit(1)).alias("e"))
+        sums = s.keep(sums.withColumn("w", F.col("y_all") / (F.col("e") + PRIOR)))
+        size = sums.agg(F.sqrt(F.avg(F.col("w") * F.col("w"))).alias("r")).first()["r"]
         if not size:
             break
-        now = s.keep(sums.select("who", "y_all", "e", (F.col("y_all") / (F.col("e") + PRIOR) / F.lit(size)).alias("w")))
+        now = s.keep(sums.select("w_id", "y_all", "e", (F.col("w") / F.lit(size)).alias("w")))
         moved = None
         if trust is not None:
-            moved = now.join(trust.select("who", F.col("w").alias("was")), "who").agg(F.sqrt(F.avg(F.pow(F.col("w") - F.col("was"), 2))).alias("m")).first()["m"]
+            moved = now.join(trust.select("w_id", F.col("w").alias("was")), "w_id").agg(F.sqrt(F.avg(F.pow(F.col("w") - F.col("was"), 2))).alias("m")).first()["m"]
         trust = now
         y = (F.col("y_all") - F.col("a") * F.col("x")) / F.greatest(F.col("e") - 1 + PRIOR, F.lit(1.0)) / F.lit(size)
-        after = s.keep(_meet(x, now.select("who", "y_all", "e"), n_who, hot_who).select("item", "c", "who", "a", y.cast("float").alias("y")))
-        s.drop(x)
-        s.drop(state)
-        state = after
-        if moved is not None and moved < tolerance:
+        state = _meet(x, now.select("w_id", "y_all", "e"), n_who, hot_id, "w_id").select("item", "c", "w_id", "a", y.cast("float").alias("y"))
+        if (moved is not None and moved < tolerance) or rounds == max_rounds:
             break
+        after = s.keep(_by_task(state, hot_item))
+        s.drop(x)
+        x = after
+    if trust is None:
+        state = x.select("item", "c", "w_id", "a", F.lit(1.0).alias("y"))
+    label_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("c").cast("int")) if names else F.lit(None).cast("string")
     settled = state.groupBy("item", "c").agg(F.sum(F.col("a") * F.col("y")).alias("score"), F.sum((F.col("a") > 0).cast("long")).alias("n")).groupBy("item")
-    settled = settled.agg(_best("score", "n", "c").alias("consensus"))
+    settled = settled.agg(_best("score", "n", "c").alias("c")).select("item", label_of.alias("consensus"))
     for _ in range(CHECKS):
         fit = s.keep(_fit(votes, s.keep(settled), hot_item))
-        scored = _meet(votes, fit.select("who", "weight"), n_who, hot_who)
+        scored = _meet(votes, fit.select("who", "weight"), n_who, hot_who, "who")
         scored = scored.groupBy("item", F.col("label").alias("c")).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("n"))
         items = scored.groupBy("item").agg(
             _best("score", "n", "c").alias("consensus"),
@@ -116,11 +126,11 @@ def consensus(df: DataFrame, item: str, annotator: str, label: str, max_rounds:
         settled = items.select("item", "consensus")
     items = s.keep(items.select("item", "consensus", "votes", "classes", (F.col("most") / F.col("votes")).alias("plain_share"), F.when(F.col("all_score") > 0, F.least(F.col("score") / F.col("all_score"), F.lit(1.0))).otherwise(F.lit(1.0) / F.col("classes")).alias("agreement")))
     fit = _fit(votes, items.select("item", "consensus"), hot_item)
-    who = fit.select("who", "judgments", "agreed", (F.col("agreed") / F.col("judgments")).alias("agreement"))
+    seen = fit.select("who", "judgments", "agreed", (F.col("agreed") / F.col("judgments")).alias("agreement"))
     if trust is None:
-        annotators = who.withColumn("reliability", F.lit(1.0))
+        annotators = seen.withColumn("reliability", F.lit(1.0))
     else:
-        annotators = who.join(trust.select("who", F.col("w").alias("reliability")), "who", "left")
+        annotators = seen.join(who.join(trust, "w_id").select("who", F.col("w").alias("reliability")), "who", "left")
     return Consensus(items, annotators, votes, rounds)
 
 
@@ -136,16 +146,22 @@ def _fit(votes: DataFrame, settled: DataFrame, hot_item: list) -> DataFrame:
     return fit.withColumn("weight", F.greatest(F.log(odds * F.lit(ODDS)), F.lit(0.0)))
 
 
-def _by_task(state: DataFrame, task: DataFrame, hot_item: list) -> DataFrame:
-    """Each edge with the mean of the other votes of its task, weighted by their annotators' messages; 0 if there is no other."""
-    others = F.col("x_all") - F.col("a") * F.col("y")
-    x = F.when(F.col("d") > 1, others / (F.col("d") - 1)).otherwise(0.0).cast("float").alias("x")
-    pick = lambda j: j.select("item", "c", "who", "a", x)
+def _by_task(state: DataFrame, hot_item: list) -> DataFrame:
+    """Each edge (item, c, w_id, a) with the mean ``x`` of the other votes of its task, weighted by their messages y; 0 if there is no other.
+
+    An item's edges meet in one place by one shuffle. Items that hold a large share of
+    the votes don't: their tasks' totals, at most 1 / HOT_SHARE items times the labels,
+    are added up in parts and broadcast.
+    """
+    votes = F.col("a") * F.col("y")
+    x = F.when(F.col("d") > 1, (F.col("x_all") - votes) / (F.col("d") - 1)).otherwise(0.0).cast("float").alias("x")
+    task = Window.partitionBy("item", "c")
+    is_hot = F.col("item").isin(hot_item) if hot_item else F.lit(False)
+    cold = state.where(~is_hot).repartition("item").withColumn("x_all", F.sum(votes).over(task)).withColumn("d", F.count(F.lit(1)).over(task)).select("item", "c", "w_id", "a", x)
     if not hot_item:
-        return pick(state.join(task, ["item", "c"]))
-    hot = F.col("item").isin(hot_item)  # at most 1 / HOT_SHARE items times the labels
-    near = state.where(hot).join(F.broadcast(task.where(hot)), ["item", "c"])
-    return pick(near).unionByName(pick(state.where(~hot).join(task.where(~hot), ["item", "c"])))
+        return cold
+    totals = state.where(is_hot).groupBy("item", "c").agg(F.sum(votes).alias("x_all"), F.count(F.lit(1)).alias("d"))
+    return cold.unionByName(state.where(is_hot).join(F.broadcast(totals), ["item", "c"]).select("item", "c", "w_id", "a", x))
 
 
 def careless(c: Consensus, least: int = 15, below: float = 0.5) -> DataFrame:
