@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,29 +22,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def log_sum_exp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.log(total(F.transform(a, lambda x: F.exp(x - top))))
+    return let(a, lambda z: let(F.array_max(z), lambda m: m + F.log(total(F.transform(z, lambda x: F.exp(x - m))))))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / total(e))
+    return let(a, lambda z: let(F.array_max(z), lambda m: let(F.transform(z, lambda x: F.exp(x - m)), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))))
 
 
 def log_softmax(a: Column) -> Column:
-    z = log_sum_exp(a)
-    return F.transform(a, lambda x: x - z)
+    return let(a, lambda z: let(log_sum_exp(z), lambda n: F.transform(z, lambda x: x - n)))
 
 
 def argmax(a: Column) -> Column:
     """First place of the greatest value, from 0."""
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(a, lambda z: F.array_position(z, F.array_max(z)) - 1).cast("int")
 
 
 def argmin(a: Column) -> Column:
-    return (F.array_position(a, F.array_min(a)) - 1).cast("int")
+    return let(a, lambda z: F.array_position(z, F.array_min(z)) - 1).cast("int")
 
 
 def loss_bits(p_true: Column, clip: float = CLIP) -> Column:
@@ -67,8 +70,7 @@ def true_gap(p: Column, truth: Column) -> Column:
 
 
 def top_margin(p: Column) -> Column:
-    s = F.sort_array(p, asc=False)
-    return F.when(F.size(p) > 1, s[0] - s[1])
+    return let(F.sort_array(p, asc=False), lambda s: F.when(F.size(s) > 1, s[0] - s[1]))
 
 
 def brier(p: Column, truth: Column) -> Column:
@@ -83,7 +85,7 @@ def over(p: Column, threshold: Column) -> Column:
 def entropy_bits(counts: Column) -> Column:
     """Of an array of supports; empty supports add nothing."""
     n = total(F.transform(counts, lambda x: x.cast("double")))
-    return -total(F.transform(F.filter(counts, lambda x: x > 0), lambda x: (x / n) * F.log2(x / n)))
+    return let(n, lambda t: -total(F.transform(F.filter(counts, lambda x: x > 0), lambda x: (x / t) * F.log2(x / t))))
 
 
 def masked_mean(vectors: Column, keep: Column) -> Column:

@@ -50,6 +50,6 @@ def prior(points: DataFrame, classes: int = 10, folds: int = FOLDS) -> DataFrame
     others = n.withColumn("test", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("outer_fold"))))
     counts = others.groupBy("test").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).cast("double").alias(f"k{k}") for k in range(classes)])
     raw = F.array(*[F.col(f"k{k}") for k in range(classes)])
-    share = F.transform(raw, lambda v: F.greatest(v / A.total(raw), F.lit(1e-12)))
-    p = F.transform(share, lambda v: v / A.total(share))
+    clipped = lambda z: A.let(A.total(z), lambda t: F.transform(z, lambda v: F.greatest(v / t, F.lit(1e-12))))
+    p = A.let(A.let(raw, clipped), lambda z: A.let(A.total(z), lambda t: F.transform(z, lambda v: v / t)))
     return points.join(F.broadcast(counts.select(F.col("test").alias("outer_fold"), p.alias("p"))), "outer_fold").withColumn("truth", F.col("label"))
