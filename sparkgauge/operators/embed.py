@@ -1,4 +1,4 @@
-"""Frozen encoders behind one interface, their layer store, and probes over its layers.
+"""Encoders behind one interface, their layer store, and probes over its layers.
 
 An encoder turns a batch of texts into hidden states of all layers with masks; pooling and
 storage don't depend on which encoder it is. It is built once per Python worker.
