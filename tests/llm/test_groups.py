@@ -46,7 +46,7 @@ def test_contraction_equals_union_find(spark, seed):
 
 def test_contraction_with_hot_vertices(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
-    monkeypatch.setattr(skew.hot_keys, "__defaults__", (1 / 500, 5))
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (1 / 500, 5, None))
     e = random_graph(3)
     got = {r.record: r.root for r in ctr.contract(spark.createDataFrame(e, "u string, v string")).collect()}
     assert got == components([x for x in e if x[0] != x[1]])
