@@ -7,7 +7,7 @@ or when a task runs. Draws are tasks over a broadcast matrix.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,18 @@ def space(m: Matrix, fold: int, pca: int | None) -> tuple[np.ndarray, np.ndarray
     return t(m.x[train]), t(m.x[~train]), train
 
 
+def spaces(pca: int | None) -> Callable[[Matrix, int], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``space`` by fold, made once in each partition of tasks."""
+    made: dict = {}
+
+    def of(m: Matrix, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if fold not in made:
+            made[fold] = space(m, fold, pca)
+        return made[fold]
+
+    return of
+
+
 def draw_sites(points: np.ndarray, k: int, rng: np.random.Generator, attempts: int) -> tuple[np.ndarray, np.ndarray, int] | None:
     """``k`` distinct points whose cells all hold points: (places, cells, attempts taken)."""
     for n in range(1, attempts + 1):
@@ -72,12 +84,13 @@ def sample_groups(cells: np.ndarray, groups: np.ndarray, k: int, budget: int, rn
     return None
 
 
-def pilot(spark: SparkSession, m: Matrix, sites: int = 13, constellations: int = 20, repetitions: int = 2, pca: int | None = None, most_per_cell: int = 20, scheme: str = "cells", budget: int = 50, seed: int = SEED, attempts: int = 1000) -> DataFrame:
+def pilot(spark: SparkSession, m: Matrix, sites: int = 13, constellations: int = 200, repetitions: int = 10, pca: int | None = None, most_per_cell: int = 25, scheme: str = "cells", budget: int = 50, seed: int = SEED, attempts: int = 1000) -> DataFrame:
     """One row per constellation, repetition and learner: geometry of the drawn sites, and how well samples of their cells teach the test cells."""
     tasks = [{"f": f, "n": n} for f in m.folds for n in range(constellations)]
+    at_fold = spaces(pca)
 
     def work(t: dict, m: Matrix) -> pd.DataFrame:
-        train, test, mask = space(m, t["f"], pca)
+        train, test, mask = at_fold(m, t["f"])
         got = draw_sites(train, sites, generator(seed, t["f"], t["n"], SITES), attempts)
         if got is None:
             return pd.DataFrame()
@@ -145,12 +158,13 @@ def percentiles(obs: DataFrame, learnability: DataFrame) -> DataFrame:
     )
 
 
-def nulls(spark: SparkSession, m: Matrix, classes: int, draws: int = 50, pca: int | None = None, seed: int = SEED, attempts: int = 1000) -> DataFrame:
+def nulls(spark: SparkSession, m: Matrix, classes: int, draws: int = 1000, pca: int | None = None, seed: int = SEED, attempts: int = 1000) -> DataFrame:
     """Null draws of both mechanisms: centroids of permuted labels, and centroids of the cells of drawn sites."""
     tasks = [{"f": f, "n": n, "k": k} for f in m.folds for k in ("permutation", "cell_centroid") for n in range(draws)]
+    at_fold = spaces(pca)
 
     def work(t: dict, m: Matrix) -> pd.DataFrame:
-        train, _, mask = space(m, t["f"], pca)
+        train, _, mask = at_fold(m, t["f"])
         y = m.y[mask]
         rng = generator(seed, t["f"], t["n"], PERMUTATION if t["k"] == "permutation" else CELLS)
         first = (None, None)

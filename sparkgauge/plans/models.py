@@ -22,6 +22,8 @@ QUERIES = {}
 SQL: dict[str, str] = {}
 #: Axes of the appraisal block of the joint probes, which take the embedding's first columns for it.
 A_WIDTH, H_WIDTH = 16, 48
+#: Principal axes of the counterfactual space.
+AXES = 21
 
 
 def query(f):
@@ -151,24 +153,25 @@ def site_placement(spark, d):
 
 @query
 def counterfactual_pilot(spark, d):
-    return C.pilot(spark, _embeddings(spark, d), sites=10, pca=8)
+    return C.pilot(spark, _embeddings(spark, d), sites=10, pca=AXES)
 
 
 @query
 def counterfactual_regressions(spark, d):
-    return C.regressions(Scratch(spark, "pilot").keep(C.pilot(spark, _embeddings(spark, d), sites=10, pca=8)))
+    return C.regressions(Scratch(spark, "pilot").keep(C.pilot(spark, _embeddings(spark, d), sites=10, pca=AXES)))
 
 
 @query
 def observed_percentiles(spark, d):
+    """One repetition: percentiles take the geometry of the constellations alone, which repetitions don't change."""
     m = _embeddings(spark, d)
-    return C.percentiles(C.observed(spark, m, 10, 8), C.pilot(spark, m, sites=10, pca=8, repetitions=1))
+    return C.percentiles(C.observed(spark, m, 10, AXES), C.pilot(spark, m, sites=10, pca=AXES, repetitions=1))
 
 
 @query
 def matched_nulls(spark, d):
     m = _embeddings(spark, d)
-    return C.null_summary(C.observed(spark, m, 10, 8), C.nulls(spark, m, 10, pca=8))
+    return C.null_summary(C.observed(spark, m, 10, AXES), C.nulls(spark, m, 10, pca=AXES))
 
 
 @query
