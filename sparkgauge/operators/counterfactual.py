@@ -1,7 +1,8 @@
 """Counterfactual constellations and matched nulls.
 
 A draw depends only on seed, fold and its own number, so results don't depend on where
-or when a task runs. Draws are tasks over a broadcast matrix.
+or when a task runs. Draws are tasks over a broadcast matrix. One that isn't accepted
+within its attempts is an error: results over the easy draws alone would be biased.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def sample_cells(cells: np.ndarray, k: int, most: int, rng: np.random.Generator)
     return np.sort(np.concatenate(out))
 
 
-def sample_groups(cells: np.ndarray, groups: np.ndarray, k: int, budget: int, rng: np.random.Generator, attempts: int = 1000) -> np.ndarray | None:
+def sample_groups(cells: np.ndarray, groups: np.ndarray, k: int, budget: int, rng: np.random.Generator, attempts: int = 1000) -> np.ndarray:
     """All members of ``budget`` random groups, drawn anew until every cell has one."""
     names = np.unique(groups)
     for _ in range(attempts):
@@ -81,7 +82,7 @@ def sample_groups(cells: np.ndarray, groups: np.ndarray, k: int, budget: int, rn
         at = np.nonzero(np.isin(groups, chosen))[0]
         if len(np.unique(cells[at])) == k:
             return at
-    return None
+    raise RuntimeError(f"no {budget} groups with a member in each of {k} cells in {attempts} attempts")
 
 
 def pilot(spark: SparkSession, m: Matrix, sites: int = 13, constellations: int = 200, repetitions: int = 10, pca: int | None = None, most_per_cell: int = 25, scheme: str = "cells", budget: int = 50, seed: int = SEED, attempts: int = 1000) -> DataFrame:
@@ -93,7 +94,7 @@ def pilot(spark: SparkSession, m: Matrix, sites: int = 13, constellations: int =
         train, test, mask = at_fold(m, t["f"])
         got = draw_sites(train, sites, generator(seed, t["f"], t["n"], SITES), attempts)
         if got is None:
-            return pd.DataFrame()
+            raise RuntimeError(f"fold {t['f']}, constellation {t['n']}: no sites with distinct places and filled cells in {attempts} attempts")
         at, cells, tried = got
         s = train[at]
         truth = N.nearest_site(test, s)
@@ -102,8 +103,6 @@ def pilot(spark: SparkSession, m: Matrix, sites: int = 13, constellations: int =
         rows = []
         for r in range(repetitions):
             pick = sample_cells(cells, sites, most_per_cell, rng) if scheme == "cells" else sample_groups(cells, m.group[mask], sites, budget, rng)
-            if pick is None:
-                continue
             for learner, f in (("prototype", N.prototype_predict), ("knn", N.neighbour_predict)):
                 a = N.agreement(truth, f(train[pick], cells[pick], test, sites), sites)
                 rows.append({"constellation_id": f"{t['f']}-{t['n']}", "outer_fold": t["f"], "number": t["n"], "attempts": tried, "empty_test_cells": int(sites - len(np.unique(truth))), "contrast_sum": con[0], "contrast_mean": con[1], "representation_sum": rep[0], "representation_mean": rep[1], "repetition": r, "learner": learner, "sample_items": len(pick), **a})
@@ -188,7 +187,7 @@ def nulls(spark: SparkSession, m: Matrix, classes: int, draws: int = 1000, pca:
             sup = np.bincount(cells, minlength=classes)
             row = {"draw_id": f"{t['f']}-{t['k']}-{t['n']}", "outer_fold": t["f"], "mechanism": t["k"], "attempts": tried, "contrast": N.contrast(s)[1], "representation": rep[1], "supports": sup.tolist(), "entropy_bits": N.entropy_bits(sup), "entropy_share": N.entropy_bits(sup) / np.log2(classes), "initial_contrast": first[0], "initial_representation": first[1]}
             return pd.DataFrame([row])
-        return pd.DataFrame()
+        raise RuntimeError(f"fold {t['f']}, {t['k']} draw {t['n']}: not accepted in {attempts} attempts")
 
     return run(spark, tasks, m, work, "draw_id string, outer_fold int, mechanism string, attempts int, contrast double, representation double, supports array<bigint>, entropy_bits double, entropy_share double, initial_contrast double, initial_representation double")
 

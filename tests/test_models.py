@@ -1,7 +1,11 @@
 """The model queries do the whole job."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from sparkgauge.operators import counterfactual as C
+from sparkgauge.operators.tasks import Matrix
 from sparkgauge.plans import models as Q
 
 
@@ -11,3 +15,15 @@ def test_counterfactuals_take_the_references_counts(spark, data):
     n = Q.matched_nulls(spark, data).collect()
     assert len(n) == 10 and {r["draws"] for r in n} == {1000}
     assert Q.AXES == 21
+
+
+def test_a_draw_that_is_not_accepted_is_an_error(spark):
+    n = 20
+    x = np.repeat([[0.0], [1.0]], n // 2, axis=0)  # two distinct places can't give three sites
+    clumped = Matrix(np.arange(n), x, np.arange(n) % 3, np.arange(n) % 2, np.zeros((n, 2), dtype=int), np.arange(n), (1,))
+    with pytest.raises(Exception, match="constellation 0: no sites"):
+        C.pilot(spark, clumped, sites=3, constellations=1, repetitions=1, attempts=5).collect()
+    with pytest.raises(Exception, match="not accepted in 5 attempts"):
+        C.nulls(spark, clumped, 3, draws=1, attempts=5).collect()
+    with pytest.raises(RuntimeError, match="no 1 groups"):
+        C.sample_groups(np.array([0, 1]), np.array(["a", "b"]), 2, 1, np.random.default_rng(1), attempts=5)
