@@ -103,16 +103,23 @@ def probe_geometry(spark, d):
 
 @query
 def sealed_probe(spark, d):
-    """Items of the validation table are tested once by a probe that saw none of their writers."""
+    """Items of the validation table are tested once by a probe that saw none of their writers.
+
+    ``n`` of the ``sealed`` items are tested: all, or none with status ``training_lacks_class`` if the
+    other writers, or what an inner fold leaves of them, lack an emotion.
+    """
     pts = appraisal_points(table(spark, d, "generation"))
     m = collect_matrix(pts, "item_id", "x", "label", "writer_id", "outer_fold", 5)
     sealed = {r[0] for r in table(spark, d, "validation").where("item_id is not null").join(pts.select("item_id"), "item_id", "left_semi").select("item_id").distinct().collect()}  # no more than the matrix holds
     test = np.array([i in sealed for i in m.item])
     writers = set(m.group[test])
     role = np.where(test, "test", np.where([g in writers for g in m.group], "excluded_test_writer", "train"))
-    if len(set(m.y[role == "train"])) < len(EMOTIONS):
-        role = np.where(test & (m.outer == 0), "test", np.where(m.outer == 0, "excluded_test_writer", "train"))
-    return M.multiclass(Scratch(spark, "sealed").keep(P.sealed_test(spark, m, role, len(EMOTIONS))))
+    train = role == "train"
+    parts = [train] + [train & (m.inner[:, 0] != v) for v in np.unique(m.inner[:, 0])]
+    if any(len(set(m.y[p])) < len(EMOTIONS) for p in parts):
+        return spark.createDataFrame([(0, *[None] * 6, int(test.sum()), "training_lacks_class")], "n bigint, accuracy double, log_loss_bits double, brier double, macro_f1 double, macro_ap double, ece double, sealed bigint, status string")
+    tested = M.multiclass(Scratch(spark, "sealed").keep(P.sealed_test(spark, m, role, len(EMOTIONS))))
+    return tested.select("*", F.lit(int(test.sum())).cast("bigint").alias("sealed"), F.lit("ok").alias("status"))
 
 
 @query

@@ -27,3 +27,8 @@ def test_a_draw_that_is_not_accepted_is_an_error(spark):
         C.nulls(spark, clumped, 3, draws=1, attempts=5).collect()
     with pytest.raises(RuntimeError, match="no 1 groups"):
         C.sample_groups(np.array([0, 1]), np.array(["a", "b"]), 2, 1, np.random.default_rng(1), attempts=5)
+
+
+def test_sealed_items_are_all_tested_or_none(spark, data):
+    r = Q.sealed_probe(spark, data).first()
+    assert (r["n"], r["sealed"], r["status"], r["macro_f1"]) == (0, 132, "training_lacks_class", None)
