@@ -131,7 +131,7 @@ def cluster_probe(spark, d):
     fold = (F.conv(F.substring(F.sha2("conversation_id", 256), 1, 6), 16, 10).cast("bigint") % 5).cast("int")
     t = t.select("item_id", "conversation_id", F.array(*[F.col(v).cast("double") for v in ("valence", "arousal", "dominance")]).alias("x"), F.array(*cols).alias("y"), fold.alias("outer_fold"))
     m = collect_matrix(t, "item_id", "x", "y", "conversation_id", "outer_fold", 5)
-    o, _ = P.nested_multilabel(spark, m, len(CLUSTERS), (0.01, 1.0, 100.0))
+    o, _ = P.nested_multilabel(spark, m, len(CLUSTERS))
     return M.multilabel(Scratch(spark, "clusters").keep(o), F.col("threshold"))
 
 

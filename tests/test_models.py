@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgauge.functions.vocab import C_GRID
 from sparkgauge.operators import counterfactual as C
+from sparkgauge.operators import probes as P
 from sparkgauge.operators.tasks import Matrix
 from sparkgauge.plans import models as Q
 
@@ -32,3 +34,11 @@ def test_a_draw_that_is_not_accepted_is_an_error(spark):
 def test_sealed_items_are_all_tested_or_none(spark, data):
     r = Q.sealed_probe(spark, data).first()
     assert (r["n"], r["sealed"], r["status"], r["macro_f1"]) == (0, 132, "training_lacks_class", None)
+
+
+def test_cluster_probe_searches_the_whole_grid(spark, data, monkeypatch):
+    seen = []
+    run = P.run
+    monkeypatch.setattr(P, "run", lambda s, tasks, *a: seen.append(tasks) or run(s, tasks, *a))
+    Q.cluster_probe(spark, data)
+    assert {t["c"] for t in seen[0]} == set(C_GRID) and len(C_GRID) == 7
