@@ -24,6 +24,8 @@ SQL: dict[str, str] = {}
 A_WIDTH, H_WIDTH = 16, 48
 #: Principal axes of the counterfactual space.
 AXES = 21
+#: Principal axes of the decoder ladder, and draws of every bootstrap here.
+LADDER_AXES, DRAWS = 64, 2000
 
 
 def query(f):
@@ -91,7 +93,7 @@ def representation_gain(spark, d):
     h, _ = P.nested_multiclass(spark, _part(m, "H"), 10)
     ah, _ = P.nested_multiclass(spark, m, 10)
     j = s.keep(_bits(h, "a").join(_bits(ah, "b").drop("group_id"), "item_id"))
-    return B.summarise(B.paired_draws(j, "group_id", "a", "b", 500), j, "a", "b")
+    return B.summarise(B.paired_draws(j, "group_id", "a", "b", DRAWS), j, "a", "b")
 
 
 @query
@@ -138,22 +140,22 @@ def cluster_probe(spark, d):
 @query
 def decoder_ladder(spark, d):
     """All decoders on the principal axes of the embeddings."""
-    o, s = L.ladder(spark, _embeddings(spark, d), 10, pca=8)
+    o, s = L.ladder(spark, _embeddings(spark, d), 10, pca=LADDER_AXES)
     k = Scratch(spark, "ladder")
     return L.summary(k.keep(o), k.keep(s))
 
 
 @query
 def ladder_contrasts(spark, d):
-    o, _ = L.ladder(spark, _embeddings(spark, d), 10, pca=8)
-    return L.contrasts(Scratch(spark, "ladder").keep(o), draws=200)
+    o, _ = L.ladder(spark, _embeddings(spark, d), 10, pca=LADDER_AXES)
+    return L.contrasts(Scratch(spark, "ladder").keep(o), draws=DRAWS)
 
 
 @query
 def site_placement(spark, d):
     """Where the prototypes of the ladder's clustering decoder lie against the linear decoder's boundaries, over all rows."""
     m = _embeddings(spark, d)
-    z = N.principal(m.x, 8)[0](m.x)
+    z = N.principal(m.x, LADDER_AXES)[0](m.x)
     f = L.Fitter(z, m.y, 10)
     return spark.createDataFrame(L.site_diagnostics(z, m.y, f.sites(2, False), *f.linear(1.0)))
 
@@ -188,7 +190,7 @@ def category_rank_stability(spark, d):
     s = Scratch(spark, "ranks")
     o = s.keep(o)
     groups = B.numbered(o.select("group_id").distinct(), ["group_id"])
-    draws = B.hash_multiplicities(spark, groups.count(), 100, SEED).join(groups, "k").select("draw", "group_id", "m")
+    draws = B.hash_multiplicities(spark, groups.count(), DRAWS, SEED).join(groups, "k").select("draw", "group_id", "m")
     weighted = o.join(draws, "group_id")
     c = s.keep(M.classwise(weighted, ["draw"], "m").select("draw", "class", "f1", "average_precision"))
     ranked = B.with_rank(c.withColumn("f1", F.round("f1", 12)), "f1", ["draw"], descending=True)
@@ -202,7 +204,7 @@ def rank_association_draws(spark, d):
     s = Scratch(spark, "ranks")
     o = s.keep(o)
     groups = B.numbered(o.select("group_id").distinct(), ["group_id"])
-    draws = B.hash_multiplicities(spark, groups.count(), 50, SEED).join(groups, "k").select("draw", "group_id", "m")
+    draws = B.hash_multiplicities(spark, groups.count(), DRAWS, SEED).join(groups, "k").select("draw", "group_id", "m")
     c = s.keep(M.classwise(o.join(draws, "group_id"), ["draw"], "m"))
     r = B.with_rank(B.with_rank(c, "f1", ["draw"], True, "rank_f1"), "average_precision", ["draw"], True, "rank_ap")
     return B.rank_correlations(r, "rank_f1", "rank_ap", ["draw"])

@@ -42,3 +42,23 @@ def test_cluster_probe_searches_the_whole_grid(spark, data, monkeypatch):
     monkeypatch.setattr(P, "run", lambda s, tasks, *a: seen.append(tasks) or run(s, tasks, *a))
     Q.cluster_probe(spark, data)
     assert {t["c"] for t in seen[0]} == set(C_GRID) and len(C_GRID) == 7
+
+
+class Seen(Exception):
+    pass
+
+
+def test_ladder_and_bootstraps_are_whole(spark, data, monkeypatch):
+    def stop(*a, **k):
+        raise Seen(a, k)
+
+    monkeypatch.setattr(Q.L, "ladder", stop)
+    monkeypatch.setattr(Q.B, "hash_multiplicities", stop)
+    for q in (Q.decoder_ladder, Q.ladder_contrasts):
+        with pytest.raises(Seen) as e:
+            q(spark, data)
+        assert e.value.args[1] == {"pca": 64}
+    for q in (Q.category_rank_stability, Q.rank_association_draws):
+        with pytest.raises(Seen) as e:
+            q(spark, data)
+        assert e.value.args[0][2] == 2000
