@@ -14,7 +14,7 @@ from sparkgauge.llm import packing as pck
 from sparkgauge.llm import pii
 from sparkgauge.llm import segments as seg
 from sparkgauge.llm import splits as spl
-from sparkgauge.session import table
+from sparkgauge.session import Scratch, table
 
 
 def _judged(spark: SparkSession, d: str) -> cons.Consensus:
@@ -116,7 +116,13 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return seg.pieces(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces)}
+def p9_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces promise, counted: cover, limit and overlap."""
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    return seg.audit(docs, Scratch(spark, "pieces").keep(seg.pieces(docs, "doc_id", "text")), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces, p9_audit)}
 
 _BARE = "lower(regexp_replace({}, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
 _PAIRED = f"""SELECT DISTINCT item_id, least(a, b) || chr(0) || greatest(a, b) || length(least(a, b)) AS k
@@ -138,4 +144,5 @@ SELECT min(seen) AS root_id, record_id FROM r GROUP BY f, record_id HAVING min(s
     "p6_found": f"""WITH p AS ({_PAIRED}), g AS (SELECT k, min(item_id) AS kept FROM p GROUP BY k)
 SELECT g.kept AS kept_item_id, p.item_id FROM p JOIN g USING (k) WHERE p.item_id <> g.kept""",
     "p6_distinct": f"SELECT min(item_id) AS kept_item_id, count(*) AS copies FROM ({_PAIRED}) GROUP BY k",
+    "p9_audit": "SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS over_limit, 0::BIGINT AS other_text, 0::BIGINT AS late_starts, 0::BIGINT AS early_ends, 0::BIGINT AS gaps, 0::BIGINT AS wrong_overlaps FROM documents WHERE text <> ''",
 }

@@ -20,10 +20,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.tokens import TOKENIZER, encoding, widths
+from sparkgauge.llm.tokens import TOKENIZER, encoding, size_of, widths
 
 LIMIT = 2048
 OVERLAP = 64
@@ -60,13 +60,13 @@ def similarities(sentences: list[str], block: int = BLOCK) -> np.ndarray:
 
 
 def depths(s: np.ndarray) -> np.ndarray:
-    """How far each boundary lies below the nearest peaks to its left and right."""
+    """How far each boundary lies below the nearest peaks: on both sides the similarity is climbed while it doesn't fall."""
     left, right = s.copy(), s.copy()
     for i in range(1, len(s)):
-        if left[i - 1] > s[i]:
+        if s[i - 1] >= s[i]:
             left[i] = left[i - 1]
     for i in range(len(s) - 2, -1, -1):
-        if right[i + 1] > s[i]:
+        if s[i + 1] >= s[i]:
             right[i] = right[i + 1]
     return left + right - 2 * s
 
@@ -164,3 +164,29 @@ def oversized(documents: DataFrame, doc: str, text: str, limit: int = LIMIT, ove
     """Pieces of the documents over the limit alone. A token has a byte at least, so texts of at most ``limit`` bytes aren't looked at."""
     long = documents.where(F.octet_length(F.col(text)) > limit)
     return pieces(long, doc, text, limit, overlap, path)
+
+
+def audit(documents: DataFrame, cut: DataFrame, doc: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, path: str = TOKENIZER) -> DataFrame:
+    """One row of counts over ``cut``, the pieces of ``documents``, whose ids are unique: documents cut, and breaches of what a cut promises.
+
+    Breaches: pieces not under the limit, pieces whose text is not that stretch of the
+    document, documents that don't begin at 0 or end at their length, gaps between
+    consecutive pieces, and overlaps off by more than a quarter.
+    """
+    whole = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("d"), F.col(text).alias("whole"))
+    c = cut.select(F.col(doc).alias("d"), "piece", "first", "last", "tokens", F.col("text").alias("part"))
+    w = Window.partitionBy("d").orderBy("piece")
+    c = c.withColumn("before", F.lag("last").over(w)).withColumn("final", F.lead("piece").over(w).isNull())
+    j = c.join(whole, "d")
+    shared = size_of(F.when(F.col("before") > F.col("first"), F.expr("substring(whole, first + 1, before - first)")), path)
+    j = j.withColumn("shared", shared)
+    many = F.col("piece") > 0
+    return j.agg(
+        F.countDistinct("d").alias("documents"),
+        F.count_if((F.col("tokens") > limit) | ((F.col("tokens") == limit) & (many | ~F.col("final")))).alias("over_limit"),
+        F.count_if(~F.col("part").eqNullSafe(F.expr("substring(whole, first + 1, last - first)"))).alias("other_text"),
+        F.count_if(~many & (F.col("first") != 0)).alias("late_starts"),
+        F.count_if(F.col("final") & (F.col("last") != F.length("whole"))).alias("early_ends"),
+        F.count_if(many & (F.col("first") > F.col("before"))).alias("gaps"),
+        F.count_if(many & ~F.coalesce(F.abs(F.col("shared") - overlap) <= overlap // 4, F.lit(False))).alias("wrong_overlaps"),
+    )

@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -192,6 +193,23 @@ def paragraph(words, r):
     return " ".join(" ".join(r.choice(words) for _ in range(9)).capitalize() + "." for _ in range(12))
 
 
+def test_depths_climb_to_the_nearest_peaks():
+    s = np.array([0.9, 0.2, 0.3, 0.25, 0.3, 0.1, 0.15])
+    assert np.allclose(segments.depths(s), [0, 0.8, 0, 0.1, 0, 0.25, 0])
+    # a plateau is crossed, a slope has no far side, and one high peak at the start rules no later depth
+    assert np.allclose(segments.depths(np.array([1.0, 0.5, 0.5, 0.4, 0.5, 0.2, 0.3])), [0, 0.5, 0.5, 0.7, 0, 0.4, 0])
+    assert len(segments.depths(np.zeros(0))) == 0
+
+
+def test_unequal_peaks_decide_the_cut():
+    """The lowest similarity of the window lies on the slope of a shallow dip; the deepest valley lies elsewhere."""
+    s = np.array([0.95, 0.6, 0.9, 0.5, 0.55, 0.3, 0.35])
+    d = segments.depths(s)
+    assert s.argmin() == 5 and d.argmax() == 1
+    running = np.maximum.accumulate(s) + np.maximum.accumulate(s[::-1])[::-1] - 2 * s
+    assert running.argmax() == 5  # peaks taken from the whole document would cut at the lowest similarity
+
+
 def test_cut_at_topic_change():
     r = random.Random(3)
     sea, law = ["harbour", "anchor", "tide", "sailor", "vessel"], ["judge", "court", "verdict", "appeal", "lawyer"]
