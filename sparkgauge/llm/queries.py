@@ -47,12 +47,35 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return spl.broken_keys(_split_tables(spark, d))
 
 
+def p2_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every key of both tables with its component, named by its least key, and the component's split."""
+    got = spl.key_components(_split_tables(spark, d))
+    return got.withColumn("split", spl.rendezvous(F.sha2("component", 256)))
+
+
+def _crowd_splits(spark: SparkSession, d: str) -> DataFrame:
+    return spl.assign_splits(table(spark, d, "crowd_full_outer"), ("group_id", "writer_id"), "item_id", name="crowd_full_outer")
+
+
+def _tweet_splits(spark: SparkSession, d: str) -> DataFrame:
+    return spl.assign_splits(table(spark, d, "emotwics_outer"), ("group_id", "conversation_id"), "item_id", name="emotwics_outer")
+
+
 def p2_crowd_splits(spark: SparkSession, d: str) -> DataFrame:
-    return spl.assign_splits(table(spark, d, "crowd_full_outer"), ("group_id", "writer_id"), "item_id").drop("split_component")
+    return _crowd_splits(spark, d).drop("split_component")
 
 
 def p2_tweet_splits(spark: SparkSession, d: str) -> DataFrame:
-    return spl.assign_splits(table(spark, d, "emotwics_outer"), ("group_id", "conversation_id"), "item_id").drop("split_component")
+    return _tweet_splits(spark, d).drop("split_component")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of rows that each split got, its target and the tolerance that the components' sizes leave."""
+    out = None
+    for name, f in (("crowd_full_outer", _crowd_splits), ("emotwics_outer", _tweet_splits)):
+        r = spl.shares(f(spark, d)).select(F.lit(name).alias("split_table"), "split", "row_count", "components", *[F.round(c, 6).alias(c) for c in ("share", "target", "tolerance")])
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +145,7 @@ def p9_audit(spark: SparkSession, d: str) -> DataFrame:
     return seg.audit(docs, Scratch(spark, "pieces").keep(seg.pieces(docs, "doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_crowd_splits, p2_tweet_splits, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces, p9_audit)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces, p9_audit)}
 
 _BARE = "lower(regexp_replace({}, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
 _PAIRED = f"""SELECT DISTINCT item_id, least(a, b) || chr(0) || greatest(a, b) || length(least(a, b)) AS k
@@ -134,8 +157,39 @@ def _crossing(name: str, key: str) -> str:
     return f"SELECT '{name}' AS split_table, '{key}' AS key_field, {key} AS key_value FROM {name} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(DISTINCT test_fold) > 1"
 
 
+def _split_sql(name: str, keys: tuple[str, str]) -> str:
+    """Components of one table by recursion over its keys, and each one's rendezvous split."""
+    node = lambda k: f"'{name}' || chr(1) || '{k}' || chr(1) || {k}"
+    a, b = keys
+    bits = lambda n: f"-{spl.PROPORTIONS[n]} / ln((('0x' || substr(sha256('split|{n}|' || c), 1, 13))::BIGINT + 0.5) / {1 << 52})"
+    return f"""k AS (SELECT DISTINCT {node(a)} AS a, {node(b)} AS b FROM {name}),
+e AS (SELECT a, b FROM k WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM k WHERE a IS NOT NULL AND b IS NOT NULL),
+r AS (SELECT a AS node, a AS seen FROM k WHERE a IS NOT NULL UNION SELECT b, b FROM k WHERE b IS NOT NULL UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+comp AS (SELECT node, min(seen) AS component FROM r GROUP BY node),
+rec AS (SELECT t.*, coalesce({node(a)}, {node(b)}) AS node FROM {name} t),
+placed AS (SELECT rec.* EXCLUDE (node), sha256(coalesce(component, '{name}' || chr(1) || 'record' || chr(1) || coalesce(item_id, ''))) AS c FROM rec LEFT JOIN comp USING (node)),
+drawn AS (SELECT *, CASE WHEN {bits("train")} > greatest({bits("validation")}, {bits("test")}) THEN 'train' WHEN {bits("validation")} > {bits("test")} THEN 'validation' ELSE 'test' END AS split FROM placed),
+named AS (SELECT *, sha256(component) AS c FROM comp),
+keyed AS (SELECT '{name}' AS split_table, split_part(node, chr(1), 2) AS key_field, split_part(node, chr(1), 3) AS key_value, component, CASE WHEN {bits("train")} > greatest({bits("validation")}, {bits("test")}) THEN 'train' WHEN {bits("validation")} > {bits("test")} THEN 'validation' ELSE 'test' END AS split FROM named),
+per AS (SELECT split, c, count(*) AS n FROM drawn GROUP BY ALL),
+agg AS (SELECT split, sum(n)::BIGINT AS row_count, count(*)::BIGINT AS components, max(n) AS top, sum(n::DOUBLE * n) AS sq FROM per GROUP BY 1),
+tot AS (SELECT sum(row_count) AS z, max(top) AS t, sum(sq) AS q FROM agg),
+shares AS (SELECT '{name}' AS split_table, split, row_count, components, round(row_count / z, 6) AS share, CASE split WHEN 'train' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END AS target, round((t + 4 * sqrt((CASE split WHEN 'train' THEN 0.16::DOUBLE ELSE 0.09::DOUBLE END) * q)) / z, 6) AS tolerance FROM agg, tot)"""
+
+
+_CROWD_KEYS, _TWEET_KEYS = ("crowd_full_outer", ("group_id", "writer_id")), ("emotwics_outer", ("group_id", "conversation_id"))
+
+
+def _both_sql(which: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_split_sql(*t)} SELECT * FROM {which})" for t in (_CROWD_KEYS, _TWEET_KEYS))
+
+
 SQL: dict[str, str] = {
     "p2_found": " UNION ALL ".join(_crossing(*x) for x in (("crowd_full_outer", "group_id"), ("crowd_full_outer", "writer_id"), ("emotwics_outer", "group_id"), ("emotwics_outer", "conversation_id"))),
+    "p2_components": _both_sql("keyed"),
+    "p2_crowd_splits": f"WITH RECURSIVE {_split_sql(*_CROWD_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
+    "p2_tweet_splits": f"WITH RECURSIVE {_split_sql(*_TWEET_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
+    "p2_shares": _both_sql("shares"),
     "p5_found": """WITH RECURSIVE e AS (
   SELECT matched_field AS f, left_id AS a, right_id AS b FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL
   UNION SELECT matched_field, right_id, left_id FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL),

@@ -99,6 +99,32 @@ def test_broken_keys(spark):
     assert got == {("t", "group_id", "g1")}
 
 
+def test_broken_keys_need_the_components(spark, monkeypatch):
+    """The middle record joins two components' folds; a component table cut in two loses the key that crosses them."""
+    rows = [("a", "g1", "w1", 0), ("b", "g2", "w1", 1), ("c", "g2", "w2", 1)]
+    df = spark.createDataFrame(rows, "item_id string, group_id string, writer_id string, test_fold int")
+    tables = {"t": (df, ("group_id", "writer_id"))}
+    assert {tuple(r) for r in spl.broken_keys(tables).collect()} == {("t", "writer_id", "w1")}
+    whole = spl.hash_to_min
+    monkeypatch.setattr(spl, "hash_to_min", lambda e: whole(e).withColumn("component", spl.F.col("node")))
+    assert spl.broken_keys(tables).count() == 0
+
+
+def test_hash_to_min_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (1 / 500, 5, None))
+    e = random_graph(6)
+    got = {r.node: r.component for r in spl.hash_to_min(spark.createDataFrame(e, "u string, v string")).collect()}
+    assert got == components(e)
+
+
+def test_shares_lie_within_their_tolerance(spark):
+    rows = [(f"i{i}", f"g{i % 701 if i % 10 else 0}", None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "item_id string, g string, w string")
+    got = spl.shares(spl.assign_splits(df, ("g", "w"), "item_id")).collect()
+    assert sum(r["row_count"] for r in got) == 6000 and sum(r["components"] for r in got) == 701
+    assert all(abs(r["share"] - r["target"]) <= r["tolerance"] for r in got)
+
+
 def test_copies(spark):
     rows = [
         ("3", "Hello, World!", "x y"),
