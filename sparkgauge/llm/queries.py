@@ -36,6 +36,13 @@ def p1_readers(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).annotators.withColumnRenamed("who", "reader_id")
 
 
+def p1_panels(spark: SparkSession, d: str) -> DataFrame:
+    """The votes that each item's consensus rests on, and whether it is one of the labels given."""
+    c = _judged(spark, d)
+    own = c.votes.groupBy("item").agg(F.collect_set("label").alias("given"))
+    return c.items.join(own, "item").select(F.col("item").alias("item_id"), "votes", "classes", F.round("plain_share", 6).alias("plain_share"), F.array_contains("given", F.col("consensus")).alias("given"))
+
+
 def _split_tables(spark: SparkSession, d: str) -> dict:
     return {
         "crowd_full_outer": (table(spark, d, "crowd_full_outer"), ("group_id", "writer_id")),
@@ -145,7 +152,7 @@ def p9_audit(spark: SparkSession, d: str) -> DataFrame:
     return seg.audit(docs, Scratch(spark, "pieces").keep(seg.pieces(docs, "doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces, p9_audit)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p1_panels, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces, p9_audit)}
 
 _BARE = "lower(regexp_replace({}, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
 _PAIRED = f"""SELECT DISTINCT item_id, least(a, b) || chr(0) || greatest(a, b) || length(least(a, b)) AS k
@@ -186,6 +193,9 @@ def _both_sql(which: str) -> str:
 
 SQL: dict[str, str] = {
     "p2_found": " UNION ALL ".join(_crossing(*x) for x in (("crowd_full_outer", "group_id"), ("crowd_full_outer", "writer_id"), ("emotwics_outer", "group_id"), ("emotwics_outer", "conversation_id"))),
+    "p1_panels": r"""WITH v AS (SELECT item_id, reader_id, min(l) AS l FROM (SELECT item_id, reader_id, nullif(regexp_replace(lower(regexp_replace(y_reader, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}_-]+', '-', 'g'), '') AS l FROM validation_judgments) WHERE item_id IS NOT NULL AND reader_id IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2),
+n AS (SELECT item_id, l, count(*) AS n FROM v GROUP BY 1, 2)
+SELECT item_id, sum(n)::BIGINT AS votes, count(*)::BIGINT AS classes, round(max(n) / sum(n), 6) AS plain_share, true AS given FROM n GROUP BY 1""",
     "p2_components": _both_sql("keyed"),
     "p2_crowd_splits": f"WITH RECURSIVE {_split_sql(*_CROWD_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
     "p2_tweet_splits": f"WITH RECURSIVE {_split_sql(*_TWEET_KEYS)} SELECT * EXCLUDE (c) FROM drawn",

@@ -183,3 +183,23 @@ def test_consensus_edges(spark):
     assert [r.consensus for r in tie.items.collect()] == ["anger"]
     none = cons.consensus(spark.createDataFrame([], schema), "item_id", "reader_id", "y_reader")
     assert none.items.count() == none.annotators.count() == cons.careless(none).count() == 0
+
+
+def test_messages_that_do_not_settle_are_an_error(spark):
+    rows, _, _ = readers(60)
+    df = spark.createDataFrame(rows, "item_id string, reader_id string, y_reader string")
+    with pytest.raises(cons.NotSettled):
+        cons.consensus(df, "item_id", "reader_id", "y_reader", max_rounds=2, tolerance=1e-12)
+
+
+def test_the_messages_settle_the_class(spark):
+    """Three careless readers outvote two careful ones on i0; the messages follow the careful ones, a plain vote would not."""
+    rows = [("i0", "a", "joy"), ("i0", "b", "joy"), ("i0", "x", "fear"), ("i0", "y", "fear"), ("i0", "z", "fear")]
+    for i in range(1, 13):
+        rows += [(f"i{i}", w, "joy" if i % 2 else "fear") for w in ("a", "b", "c", "d", "e")]
+        rows += [(f"i{i}", w, ["anger", "joy", "fear", "shame"][(i * k + k) % 4]) for k, w in enumerate(("x", "y", "z"), 1)]
+    c = cons.consensus(spark.createDataFrame(rows, "item_id string, reader_id string, y_reader string"), "item_id", "reader_id", "y_reader")
+    got = {r["item"]: r for r in c.items.collect()}
+    assert got["i0"]["consensus"] == "joy" and got["i0"]["plain_share"] == 0.6 and got["i0"]["agreement"] > 0.5
+    rel = {r["who"]: r["reliability"] for r in c.annotators.collect()}
+    assert min(rel[w] for w in "abcde") > max(rel[w] for w in "xyz")
