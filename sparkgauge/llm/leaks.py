@@ -11,7 +11,7 @@ without a hit. A passage of 40 words or more has a half that qualifies, and of 2
 words (30 to 39) any 20 (30) do, so verification looks for 20 item words with 2 edits and 30 with 3. It grows
 each run of hits to both sides over the furthest points that 0 to 3 edits reach.
 
-Words are compared in canonical form and lower case without apostrophes and hyphens; other
+Words are compared by their looks and in lower case without apostrophes and hyphens; other
 punctuation and line marks separate words. Null and blank texts hold nothing, items
 under 20 words are in nothing, and repeated documents are each reported.
 """
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgauge.llm.canonical import canonical
+from sparkgauge.llm.canonical import skeleton
 
 GRAM = 6
 LEAST = 20
@@ -42,7 +42,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(canonical(text).lower().translate(_DROP))
+    return _WORD.findall(skeleton(text).lower().translate(_DROP))
 
 
 def reach(a: list[str], b: list[str], i: int, j: int, step: int, k: int) -> list[int]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-from sparkgauge.llm.canonical import _TO_LATIN, COMPAT, INVISIBLE, JOINERS, UNSTABLE
+from sparkgauge.llm.canonical import _TO_LATIN, COMPAT, INVISIBLE, JOINERS, unstable
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: The name list goes to every task; a longer one is refused.
@@ -107,7 +107,7 @@ _BOUND = {
 
 def _view(text: str) -> tuple[str, list[int] | None]:
     """The text with look-alikes made plain and invisible characters left out, and the place of each character."""
-    if text.isascii() or not UNSTABLE.search(text):
+    if text.isascii() or not unstable(text):
         return text, None
     chars: list[str] = []
     at: list[int] = []

@@ -106,7 +106,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("source_table", "item_id", can.canonical_text(F.col("text")).alias("text"))
+    """The published form of each text, and the form that is equal for all texts of one look."""
+    return _texts(spark, d).select("source_table", "item_id", can.canonical_text(F.col("text")).alias("text"), can.skeleton_text(F.col("text")).alias("form"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -191,6 +192,33 @@ def _both_sql(which: str) -> str:
     return " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {_split_sql(*t)} SELECT * FROM {which})" for t in (_CROWD_KEYS, _TWEET_KEYS))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _form_sql(column: str) -> str:
+    """The comparison form by single characters: invisible ones and joiners go, marks compose, each character takes its own form.
+
+    Joiners inside emoji go on both sides of a comparison; forms of several letters are replaced where they are Latin.
+    """
+    one, many = {}, {}
+    for c in can._MAY_CHANGE + [ord(x) for x in can.LATIN]:
+        ch = chr(c)
+        form = can.skeleton(ch)
+        if form != ch and len(form) == 1:
+            one[ch] = form
+        elif form != ch and form.isascii() and len(form) > 1:
+            many[ch] = form
+    out = f"nfc_normalize(regexp_replace({column}, '[{can.INVISIBLE}{can.JOINERS}]', '', 'g'))"
+    for k, v in many.items():
+        out = f"replace({out}, {_quoted(k)}, {_quoted(v)})"
+    return f"nfc_normalize(translate({out}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))}))"
+
+
+_LOOKS = f"""t AS (SELECT 'generation' AS source_table, item_id, generated_text AS t FROM generation UNION SELECT 'tweets', item_id, text FROM tweets),
+f AS (SELECT DISTINCT source_table, item_id, t, {_form_sql("t")} AS form FROM t WHERE item_id IS NOT NULL AND t IS NOT NULL)"""
+
+
 SQL: dict[str, str] = {
     "p2_found": " UNION ALL ".join(_crossing(*x) for x in (("crowd_full_outer", "group_id"), ("crowd_full_outer", "writer_id"), ("emotwics_outer", "group_id"), ("emotwics_outer", "conversation_id"))),
     "p1_panels": r"""WITH v AS (SELECT item_id, reader_id, min(l) AS l FROM (SELECT item_id, reader_id, nullif(regexp_replace(lower(regexp_replace(y_reader, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}_-]+', '-', 'g'), '') AS l FROM validation_judgments) WHERE item_id IS NOT NULL AND reader_id IS NOT NULL AND l IS NOT NULL GROUP BY 1, 2),
@@ -200,6 +228,7 @@ SELECT item_id, sum(n)::BIGINT AS votes, count(*)::BIGINT AS classes, round(max(
     "p2_crowd_splits": f"WITH RECURSIVE {_split_sql(*_CROWD_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
     "p2_tweet_splits": f"WITH RECURSIVE {_split_sql(*_TWEET_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
     "p2_shares": _both_sql("shares"),
+    "p4_found": f"WITH {_LOOKS} SELECT DISTINCT a.source_table, a.item_id AS item_id_a, b.item_id AS item_id_b FROM f a JOIN f b ON a.source_table = b.source_table AND a.form = b.form AND a.item_id < b.item_id AND a.t <> b.t",
     "p5_found": """WITH RECURSIVE e AS (
   SELECT matched_field AS f, left_id AS a, right_id AS b FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL
   UNION SELECT matched_field, right_id, left_id FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL),

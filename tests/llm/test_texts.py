@@ -13,6 +13,7 @@ from sparkgauge.llm import canonical as can
 from sparkgauge.llm import leaks, packing, pii, segments
 from sparkgauge.llm.queries import QUERIES
 from sparkgauge.llm.tokens import TOKENIZER, encoding, size_of
+from sparkgauge.operators import skew
 
 NAMES = (("Elowen", "given"), ("Joy", "given"), ("Winter", "family"), ("May", "given"), ("Ockerdale", "family"), ("van den Zilverberg", "family"), ("Rose", "given"))
 
@@ -36,25 +37,32 @@ def test_canonical(raw, form):
     assert can.canonical(raw) == form == can.canonical(form)
 
 
+@pytest.mark.parametrize("a,b,same", [("хор", "xop", True), ("ırak", "irak", True), ("нос", "hoc", False), ("Ⅳ", "IV", True), ("é", "e", False), ("Aa", "aa", False), ("a b", "a  b", False), ("օս", "ou", True), ("𝐇ello", "Неllо", True)])
+def test_skeletons(a, b, same):
+    assert (can.skeleton(a) == can.skeleton(b)) == same
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text())
+@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aeoрсухвαρνкиեօ\u0301\u200b\ufb01 𝐇"))))
 def test_canonical_is_idempotent_and_keeps_ascii(t):
-    c = can.canonical(t)
-    assert can.canonical(c) == c
+    c, k = can.canonical(t), can.skeleton(t)
+    assert can.canonical(c) == c and can.skeleton(k) == k == can.skeleton(c)
     if t.isascii():
         assert c == t
 
 
-def test_look_alikes_equal_brute_force(spark):
+def test_look_alikes_equal_brute_force(spark, monkeypatch):
     r = random.Random(4)
     base = [f"text number {i} with an old café table" for i in range(8)]
     def disguise(t):
         return r.choice([t, t, t.replace("o", "ο"), t.replace(" ", " "), unicodedata.normalize("NFD", t), t[:4] + "​" + t[4:], t.upper(), t.replace("é", "e"), t.replace(" ", "  ", 1)])
     rows = [("s" if i % 3 else "q", f"i{i % 110:03d}" if i > 100 else f"i{i:03d}", disguise(r.choice(base)), 1) for i in range(160)] + [("s", None, "x", 1), ("s", "i1", None, 1)]
     df = spark.createDataFrame(rows, "src string, id string, text string, key int")
-    want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and None not in (a[1], b[1], a[2], b[2]) and a[1] != b[1] and a[2] != b[2] and can.canonical(a[2]) == can.canonical(b[2])}
+    want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and None not in (a[1], b[1], a[2], b[2]) and a[1] != b[1] and a[2] != b[2] and can.skeleton(a[2]) == can.skeleton(b[2])}
     assert {tuple(x) for x in can.look_alikes(df, "src", "id", "text").collect()} == want
     assert can.look_alikes(df.limit(0), "src", "id", "text").count() == 0
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (1 / 500, 3, None))
+    assert {tuple(x) for x in can.look_alikes(df, "src", "id", "text").collect()} == want
 
 
 CASES = [
