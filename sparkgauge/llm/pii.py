@@ -2,37 +2,55 @@
 
 One Aho-Corasick pass over the text (look-alike letters made plain, lower case, every
 digit a 0) finds anchors: at-signs, number schemes such as ``+00`` or ``000-00-0000``,
-identifier cues, street endings before a number, titles, phrases that introduce a
-person, and the known names. At each anchor a local parser looks a few dozen
-characters to either side, fixes the boundaries and validates what it found. Nothing
-else of the text is looked at twice.
+identifier cues, street endings before a number, titles, and words that go with persons.
+At each anchor a local parser looks a few dozen characters to either side, fixes the
+boundaries and validates what it found: lengths, dates, areas that don't exist, and check
+digits wherever a number has no cue of its own. Nothing else of the text is looked at twice.
+
+Names are found by evidence, not by the sentences that they stand in: titles, initials, a
+list of known names, and names learned from all texts of the corpus (``learn``). A word is
+learned if it often stands where a name stands, beside a known given or family name, a title or an
+initial, compared with all its occurrences, and mostly with a capital. After a word that
+goes with persons (friend, colleague, thanks, regards) or before a verb of speech an unknown
+word counts if it has a capital and is not common in the corpus.
 
 The replaced text keeps every other character as it was, invisible ones included.
 Null stays null; empty text has no case. A name within an email address is no name of
-its own. Overlaps go to the kind that comes first in ``KINDS``.
+its own. Overlaps go to the kind that comes first in ``KINDS``. Bank accounts are found and
+replaced too.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import unicodedata
 from bisect import bisect_left, insort
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from sparkgauge.llm.canonical import _TO_LATIN, COMPAT, INVISIBLE, JOINERS, unstable
+from sparkgauge.operators.skew import hot_join
+from sparkgauge.session import Scratch
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-#: The name list goes to every task; a longer one is refused.
+KINDS = ("email", "account", "phone", "id_number", "address", "name")
+#: Names that go to every task at once; with more, each text's own are joined to it.
 MOST_NAMES = 200_000
-
-# Given or family names that are also ordinary words; alone they name nobody.
+#: A word is learned as a name with so many occurrences beside names, such a share of all its occurrences, and such a share with a capital.
+LEAST_BESIDE, LEAST_SHARE, LEAST_CAPITAL = 3, 0.2, 0.5
+#: A word is common from this number of occurrences and share of all words, so at most 1 / COMMON_SHARE are; of these, no more than NAME_SHARE beside names.
+COMMON_COUNT, COMMON_SHARE, NAME_SHARE = 20, 1e-5, 0.05
+#: Different words a task counts before it hands them on.
+_VOCABULARY = 200_000
+
+# Given or family names that are also ordinary words of English or Dutch; alone they name nobody.
 ORDINARY = frozenset(
     "april amber angel august autumn bishop brook brown carol chance charity christian clay cook crystal daisy dawn dean destiny drew duke earl eve faith fern ford forest "
     "frank gene ginger grace grant green harmony hazel heather holly hope hunter iris ivy jack jasmine jewel joy june king lane lily mark may melody mercy meter miles "
@@ -40,16 +58,31 @@ ORDINARY = frozenset(
     "bakker berg boer bos dekker groen jong kok koning lente linde meester meyer prins roos ster visser vos vrede wit zomer zwart".split()
 )
 PARTICLES = frozenset("van de den der ter ten te het 't von di da la le du dos el bin al".split())
+# Function words of English and Dutch, and the calendar: no names after any cue.
 _STOP = frozenset(
-    "a an and as at but by for from he her him i if in it its me my no not of on or our she so that the their them they this to us was we what when who why you your "
-    "aan al als bij dat de die dit een en er ge geen het hij ik in is je jij jou jouw jullie kan me met mij mijn na nee nog nu of om ons onze op te toch tot u uit uw van voor was wat we wel wie wij ze zij zo zou snelle goede".split()
-)
-
-_OPENERS = frozenset(
-    "mvg groetjes groeten bedankt collega mail bel tel gsm ref zaak ticket dossier bestelnr hallo hoi hey dag beste allee could any still thanks thank later ask write text come why super graag mijn "
+    "a an and any as at because but by could for from he her him his i if in is it its me my no nobody not of on or our she so somebody someone still that the their them then there they this to today tomorrow us was we "
+    "what when where who why would yesterday you your "
+    "aan al allee als alles bij daar dan dat de deze die dit een en er ge geen haar hem het hier hij hun ik in is iemand je jij jou jouw jullie kan me met mij mijn na nee niemand nog nu of om ons onze op te toch tot u uit uw "
+    "van voor waar waarom was wat we wel wie wij ze zij zijn zo zou "
     "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
     "januari februari maart mei juni juli augustus oktober maandag dinsdag woensdag donderdag vrijdag zaterdag zondag".split()
 )
+# Words and phrases of English and Dutch after which a person is named: relations, greetings, thanks, closings, and verbs that take a person.
+PERSON_BEFORE = tuple(
+    x.replace("_", " ") + " "
+    for x in (
+        "friend friends girlfriend boyfriend colleague coworker neighbour neighbor sister brother cousin uncle aunt nephew niece husband wife son daughter grandma grandpa grandmother grandfather "
+        "roommate flatmate classmate teacher boss landlord landlady ask asked asking tell told telling thank thanks thanked owe owed forgave forgive forgiven i_met we_met met_with married hugged invited phoned texted "
+        "spoke_to spoke_with spoken_to spoken_with talked_to talked_with signed_by written_by named called my_name_is name_is name: regards regards, sincerely sincerely, cheers, love, dear hi hello hi, hello, contact "
+        "vriend vriendin collega buurman buurvrouw zus broer neef nicht oom tante man vrouw zoon dochter baas huisbaas bedankt dank dankzij dank_u dank_je dank_aan merci mvg mvg, groet groet, groeten groeten, groetjes groetjes, "
+        "gegroet gegroet, beste hallo hoi hey dag sprak_met gesproken_met spreken_met op_naam_van mijn_naam_is naam_is naam: ik_heet heet genaamd vroeg_aan getekend getekend_door t.a.v. ^"
+    ).split()
+) + ("^",)
+# Words before which a person is named: verbs of speech and the relative pronoun for persons.
+PERSON_AFTER = tuple(f" {x} " for x in "who whom whose said says asked asks told tells replied answered wrote phoned called texted zei zegt vroeg vraagt vertelde antwoordde schreef belde".split())
+_PHONE_CUES = ("tel", "tel.", "telefoon", "telefoonnummer", "telephone", "phone", "mobile", "mobiel", "gsm", "gsm-nummer", "call", "call me", "text", "sms", "bel", "bel me", "bereikbaar op", "bereikbaar via", "nummer", "number", "whatsapp", "fax")
+# Words before a number that is a case, an order, a train, and no telephone.
+_CASE_CUES = re.compile(r"(?:ticket|zaak|dossier|ref|referentie|order|bestelling|bestelnr|bestelnummer|bestelcode|case|klacht|trein|train|rit|lijn|factuur|invoice|code|nr|account|klantnr|klantnummer|pakket|parcel|track|tracking)[a-z]*\.?[ :#(]{0,3}(?:is|nr\.?|no\.?|nummer|number)?[ :#]{0,2}$", re.I)
 
 _W = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
 _TITLE = r"(?:(?:dhr|mevr|mw|mr|mrs|ms|miss|dr|prof|ir|ing|sir)\b\.?|mevrouw|meneer|heer)\s"
@@ -64,7 +97,7 @@ _DOMAIN = re.compile(r"[^\W_](?:[^\W_]|-)*(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?)[^\
 
 _PLUS = re.compile(r"\+\d{1,3}(?:[ .-]?\(0\)[ .-]?)?(?:[ ./-]?\(?\d{1,9}\)?)+")
 _PHONE = re.compile(
-    r"00[1-9]\d{9,12}|0\d{3}/\d\d[. ]?\d\d[. ]?\d\d|0\d{2}/\d{3}[. ]?\d\d[. ]?\d\d|0\d/\d{3}[. ]?\d\d[. ]?\d\d|0\d{3} \d\d \d\d \d\d|0\d(?: \d\d){4}|0\d(?:\.\d\d){4}|0\d{1,2}-\d{7,8}|0\d{3}-\d{6}|"
+    r"00[1-9]\d{9,12}|06[ -]?\d{8}|06(?: \d{2}){4}|0\d{3}/\d\d[. ]?\d\d[. ]?\d\d|0\d{2}/\d{3}[. ]?\d\d[. ]?\d\d|0\d/\d{3}[. ]?\d\d[. ]?\d\d|0\d{3} \d\d \d\d \d\d|0\d(?: \d\d){4}|0\d(?:\.\d\d){4}|0\d{1,2}-\d{7,8}|0\d{3}-\d{6}|"
     r"0\d{2} \d{4} \d{4}|0\d{3} \d{3} \d{4}|0\d{4} \d{6}|\(0?\d{2,4}\) ?\d{3,4}[ -]\d{3,4}|\d{3}\.\d{3}\.\d{4}|[2-9]\d{2}-\d{3}-\d{4}"
 )
 _AFTER_PHONE = re.compile(r"\w|[./-]\d")
@@ -75,7 +108,7 @@ _INSURANCE = re.compile(r"[a-z]{2} ?\d\d ?\d\d ?\d\d ?[a-d](?!\w)", re.I)
 
 _HOUSE = re.compile(r"\d{1,4}(?:[ -]?[A-Za-z](?!\w)|-\d{1,3})?(?:\s(?:bus|box)\s\w{1,4})?")
 _TOWN = r"[A-ZÀ-Þ][\w'’-]*"
-_TOWN_2 = re.compile(r" ([A-ZÀ-Þ][a-z'’-]+)(?![\w'’-])(?! van jullie)")
+_TOWN_2 = re.compile(r" ([A-ZÀ-Þ][a-z'’-]+)(?![\w'’-])")
 _NL_TAIL = re.compile(rf"(?:,\s\d{{4}}\s?[A-Z]{{2}}\s{_TOWN}|\ste\s\d{{4}}\s{_TOWN}|,\s\d{{4}}\s{_TOWN}|,\s{_TOWN})")
 _POSTCODE = re.compile(r",?\s(?:[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|[A-Z]{2}\s\d{5})(?!\w)")
 _EN_TOWN = re.compile(rf",\s{_TOWN}")
@@ -83,26 +116,15 @@ _EN_HEAD = re.compile(r"(?:(?:Unit|Flat|Apt\.?|Apartment|Suite)\s\w{1,4},?\s)?(?
 _PAGE = re.compile(r"(?:page|p\.|pp\.|bladzijde|chapter|room|kamer)\s$", re.I)
 _NL_NAME = re.compile(r"(?:(?:[A-ZÀ-Þ][\w'’-]*|de|van|den|der|het)\s){0,3}[A-ZÀ-Þ][\w'’-]*$")
 
-# Endings of street names.
+# Endings of street names.
 NL_STREETS = ("straat", "laan", "kade", "weg", "pad", "plein", "gracht", "dreef", "markt", "hof", "singel", "dijk", "baan", "lei", "steeg", "park", "plantsoen", "wal", "kaai", "vest", "berm", "ring", "poort", "pas", "veld", "akker", "heide", "stede", "oever")
 EN_STREETS = ("street", "st.", "st", "road", "rd.", "rd", "drive", "dr.", "avenue", "ave.", "ave", "lane", "ln", "close", "way", "court", "ct.", "terrace", "crescent", "square", "place", "gardens", "boulevard", "blvd", "row", "mews", "hill", "grove", "walk")
-# Number schemes, each digit written 0.
-SCHEMES = ("+0", "0000000000000", "0000/00", "000/000", "00/000", "0000 00 00 00", "00 00 00 00", "00.00.00.00.00", "00-0000000", "000-0000000", "0000-000000", "000 0000 0000", "0000 000 0000", "00000 000000", "(00", "000.000.0000", "000-000-0000")
+# Ways to write a telephone number, each digit written 0.
+SCHEMES = ("+0", "0000000000", "0000/00", "000/000", "00/000", "0000 00 00 00", "00 00 00 00", "00.00.00.00.00", "00-0000000", "00 0000000", "000-0000000", "0000-000000", "000 0000 0000", "000 0000000", "0000 000 0000", "00000 000000", "(00", "000.000.0000", "000-000-0000")
 ID_CUES = ("ssn", "social security", "bsn", "burgerservice", "rijksregister", "insz", "niss", "national insurance", "nino", "sofinummer", "passport no", "id-nummer")
-PERSON_BEFORE = ("mvg ", "groetjes, ", "groeten, ", "groet, ", "bedankt ", "dank u ", "collega ", "sprak met ", "op naam van ", "^", "my friend ", "ask ", "owe ", "forgave ", "it was ", "signed by ", "later ", "regards, ", "mijn naam is ", "my name is ", "contact ", "spoke to ", "spoke with ", "thanks, ")
-PERSON_AFTER = (" van jullie", " who told", " zou terug", " aan de lijn", " voor de hulp", " about it", " an apology", " saw everything", " sent me")
-TITLES = ("dhr. ", "dhr ", "mevr. ", "mevr ", "mevrouw ", "meneer ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "dr. ", "dr ", "prof. ", "prof ")
-#: What has to follow a phrase of PERSON_BEFORE, where anybody could follow it.
-_BOUND = {
-    "bedankt ": (" voor de hulp",),
-    "collega ": (" zou ",),
-    "sprak met ": (" aan de lijn",),
-    "ask ": (" about it",),
-    "owe ": (" an apology",),
-    "it was ": (" who ",),
-    "later ": (" sent me",),
-    "my friend ": (" saw ",),
-}
+TITLES = ("dhr. ", "dhr ", "mevr. ", "mevr ", "mevrouw ", "meneer ", "mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "miss ", "dr. ", "dr ", "prof. ", "prof ")
+_IBAN = re.compile(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", re.I)
+_MONTH_DAY = re.compile(r"\d\d(\d\d)(\d\d)")
 
 
 def _view(text: str) -> tuple[str, list[int] | None]:
@@ -125,6 +147,17 @@ def _view(text: str) -> tuple[str, list[int] | None]:
     return "".join(chars), at
 
 
+_LAST = re.compile(rf"((?:(?<![^\W\d_])[^\W\d_]\.)|{_W})()$")
+_WORDS = re.compile(_W)
+_TITLE_WORDS = frozenset("dhr mevr mw mr mrs ms miss dr prof sir mevrouw meneer heer dhr. mevr. mr. mrs. dr. prof.".split())
+
+
+def _lower(v: str) -> str:
+    """Lower case, character by character where it has another length."""
+    low = v.lower()
+    return low if len(low) == len(v) else "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+
+
 _ZERO = {ord(str(d)): "0" for d in range(1, 10)}
 
 
@@ -154,25 +187,31 @@ class _Spans:
 
 
 class Finder:
-    """Finds spans of personal information. Built once per Python worker and name list."""
+    """Finds spans of personal information. Built once per Python worker and lexicon.
 
-    def __init__(self, names: Iterable[tuple[str, str]]):
-        self.names: dict[str, str] = {}
-        for name, kind in names:
-            if name and name.strip():
-                self.names[name.strip().lower()] = kind or "family"
-        #: single words of the known names, to tell a known neighbour from an unknown word
-        self.words = {w for n in self.names for w in n.split() if w not in PARTICLES}
+    ``names`` are (name, kind) pairs, kind ``given`` or ``family``; ``common`` are words that are no names.
+    """
+
+    def __init__(self, names: Iterable[tuple[str, str]], common: Iterable[str] = ()):
+        self.common = frozenset(common)
+        self._take(names)
         keys: dict[str, set[tuple[str, str]]] = {}
         add = lambda k, what: keys.setdefault(k, set()).add((what, k))
         for k in ("@", "(at)", "[at]", "( at )"):
             add(k, "email")
         for k in SCHEMES:
             add(k, "phone")
+        for k in _PHONE_CUES:
+            add(f"{k} 0", "called")
+            add(f"{k}: 0", "called")
+            add(f"{k} (0", "called")
         for k in ID_CUES:
             add(k, "cue")
         add("000-00-0000", "ssn")
         add("00.00.00-000.00", "national")
+        for k in "abcdefghijklmnopqrstuvwxyz":
+            add(f"{k}00", "account")
+            add(f" {k}. ", "initial")
         for k in "abcd":
             add(f"000000{k}", "insurance")
             add(f"00 00 00 {k}", "insurance")
@@ -183,35 +222,52 @@ class Finder:
             add(f" {k}", "en")
         for k in TITLES:
             add(k, "title")
-        for k in "abcdefghijklmnopqrstuvwxyz":
-            add(f" {k}. ", "initial")
         for k in PERSON_BEFORE:
             add(k, "before")
         for k in PERSON_AFTER:
             add(k, "after")
-        for k in self.names:
-            add(k, "known")
         self.auto = ahocorasick.Automaton()
         for k, v in keys.items():
             self.auto.add_word(k, tuple(v))
         self.auto.make_automaton()
 
+    def _take(self, names: Iterable[tuple[str, str]]) -> None:
+        self.names: dict[str, str] = {}
+        for name, kind in names:
+            if name and name.strip():
+                self.names[name.strip().lower()] = kind or "family"
+        #: single words of the known names, to tell a known neighbour from an unknown word
+        self.words = {w for n in self.names for w in n.split() if w not in PARTICLES}
+        #: names by their last word, which is looked up for every word of a text
+        self.last: dict[str, list[str]] = {}
+        for n in self.names:
+            self.last.setdefault(n.split()[-1], []).append(n)
+
+    def knowing(self, names: Iterable[tuple[str, str]]) -> Finder:
+        """The same with other names, for one text's own."""
+        out = copy.copy(self)
+        out._take(names)
+        return out
+
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Disjoint (start, end, kind) in ``text``, in order."""
         v, at = _view(text)
-        low = v.lower()
-        if len(low) != len(v):
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
+        low = _lower(v)
         hits: dict[str, list[tuple[int, str]]] = {}
         for end, found in self.auto.iter(low.translate(_ZERO)):
             for what, key in found:
                 hits.setdefault(what, []).append((end + 1 - len(key), key))
+        if any(w in self.last for w in _WORDS.findall(low)):
+            hits["known"] = self._known(low)
         if not hits:
             return []
         taken, reserved = _Spans(), _Spans()
         for i, _ in hits.get("email", ()):
             if s := _email(v, i):
                 taken.add(*s, "email")
+        for i, _ in hits.get("account", ()):
+            if s := _account(v, i):
+                taken.add(*s, "account")
         ids = [s for what, parse in (("cue", _cued), ("ssn", _ssn), ("national", _national), ("insurance", _insurance)) for i, k in hits.get(what, ()) if (s := parse(v, i, k))]
         for s in ids:
             reserved.add(*s, "id_number")
@@ -219,13 +275,17 @@ class Finder:
             s = _phone(v, i, k)
             if s and reserved.free(*s):
                 taken.add(*s, "phone")
+        for i, k in hits.get("called", ()):
+            s = _called(v, i, k)
+            if s and reserved.free(*s):
+                taken.add(*s, "phone")
         for s in ids:
             taken.add(*s, "id_number")
-        homes = [s for i, k in hits.get("nl", ()) if (s := _dutch(v, i, k, self.words))] + [s for i, k in hits.get("en", ()) if v[i + 1].isupper() and (s := _english(v, i, k, self.words))]
+        homes = [s for i, k in hits.get("nl", ()) if (s := _dutch(v, i, k, self._stays))] + [s for i, k in hits.get("en", ()) if v[i + 1].isupper() and (s := _english(v, i, k, self._stays))]
         for s in homes:
             taken.add(*s, "address")
         if any(w in hits for w in ("title", "before", "after", "known", "initial")):
-            for s in self._people(taken.masked(v), low, hits):
+            for s in self._people(taken.masked(v), hits):
                 taken.add(*s, "name")
         if at is None:
             return taken.rows
@@ -233,17 +293,35 @@ class Finder:
 
     # names
 
+    def _known(self, low: str) -> list[tuple[int, str]]:
+        out = []
+        for m in _WORDS.finditer(low):
+            for n in self.last.get(m.group(), ()):
+                a = m.end() - len(n)
+                if a >= 0 and low[a : m.end()] == n:
+                    out.append((a, n))
+        return out
+
     def _is_name(self, w: str) -> bool:
         return w.lower() in self.words
 
-    def _forward(self, v: str, i: int, loose: bool = False) -> tuple[int, int, bool] | None:
-        """The name that starts at ``i``: (start, end, whether it ends in more than particles). ``loose`` takes words in lower case."""
+    def _stays(self, w: str) -> bool:
+        """Whether a word goes on with a new sentence or a name, and not with the name of a town."""
+        return w.lower() in _STOP or w.lower() in self.words or w.lower() in self.common
+
+    def _nobody(self, w: str) -> bool:
+        """No part of a name whatever stands beside it."""
+        lw = w.lower()
+        return lw in _STOP or (lw in self.common and lw not in self.words)
+
+    def _forward(self, v: str, i: int) -> tuple[int, int, bool] | None:
+        """The name that starts at ``i``: (start, end, whether it ends in more than particles)."""
         m = _TITLE_AT.match(v, i)
         j = m.end() if m else i
         m = _TOKEN.match(v, j)
         if not m:
             return None
-        end, last, n, body = i, None, 0, False
+        end, n, body = i, 0, False
         start = j
         while m and n < 6:
             w = m.group(m.lastindex or 0)
@@ -252,19 +330,15 @@ class Finder:
                 pass
             elif len(w) == 2 and w[1] == "." and w[0].isupper():
                 pass
-            elif lw in _OPENERS and not self._is_name(w):
-                break
-            elif self._is_name(w) or ((w[0].isupper() or loose) and lw not in _STOP and (not body or (w[0].isupper() or loose))):
+            elif self._is_name(w) or (w[0].isupper() and not self._nobody(w)):
                 body, end = True, m.end()
             else:
                 break
             n += 1
-            last = w
             nxt = _NEXT.match(v, m.end())
-            if nxt and nxt.group(1) == ", " and not (body and (self._comma(v, start, m.end(), nxt) or loose and nxt.group(2)[0].isupper())):
+            if nxt and nxt.group(1) == ", " and not (body and self._comma(v, start, m.end(), nxt)):
                 break
             m = nxt
-        del last
         return (i, end, body) if body else None
 
     def _rest(self, v: str, i: int) -> bool:
@@ -275,16 +349,16 @@ class Finder:
                 return False
             w = m.group(2)
             if w.lower() not in PARTICLES:
-                return w[0].isupper() or self._is_name(w)
+                return (w[0].isupper() and not self._nobody(w)) or self._is_name(w)
             m = _NEXT.match(v, m.end())
         return False
 
     def _comma(self, v: str, a: int, b: int, nxt: re.Match) -> bool:
         """Family, Given."""
-        given = nxt.group(2).lower()
-        return self.names.get(given) == "given" or (v[a:b].lower() in self.names and self.names[v[a:b].lower()] == "family" and nxt.group(2)[0].isupper() and given not in _STOP)
+        given, family = nxt.group(2).lower(), self.names.get(v[a:b].lower().split()[-1], self.names.get(v[a:b].lower()))
+        return self.names.get(given) == "given" or (family == "family" and nxt.group(2)[0].isupper() and not self._nobody(given))
 
-    def _people(self, v: str, low: str, hits: dict) -> list[tuple[int, int]]:
+    def _people(self, v: str, hits: dict) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         for i, k in hits.get("title", ()):
             if i and (v[i - 1].isalnum() or v[i - 1] in "@#_"):
@@ -292,31 +366,17 @@ class Finder:
             got = self._forward(v, i + len(k))
             if got and got[2]:
                 out.append((i, self._clip(v, i + len(k), got[1])))
-        after = [(i, k) for i, k in hits.get("after", ())]
         for i, k in hits.get("before", ()):
-            if i and k != "^" and v[i - 1].isalnum():
+            if i and k[0] != "^" and (v[i - 1].isalnum() or v[i - 1] in "@#_-"):
                 continue
             a = i + len(k)
-            bound = _BOUND.get(k)
-            if bound:
-                ends = [low.find(b, a, a + 60) for b in bound]
-                ends = [e for e in ends if e > a]
-                if not ends:
-                    continue
-                got = self._forward(v[: min(ends)], a, loose=True)
-                if got and got[1] == min(ends):
-                    words = [w.lower() for w in re.findall(_W, v[a : got[1]])]
-                    if words and not all(w in _STOP for w in words):
-                        out.append((a, got[1]))
-                continue
             got = self._forward(v, a)
-            if got and got[2]:
+            if got and got[2] and self._credible(v, a, got[1]):
                 out.append((a, self._clip(v, a, got[1])))
-        for i, k in after:
-            if k == " van jullie":
-                s = self._backward(v, i)
-                if s:
-                    out.append(s)
+        for i, k in hits.get("after", ()):
+            s = self._backward(v, i)
+            if s and (self._free_before(v, s[0]) or len(s) > 2) and self._credible(v, *s):
+                out.append(s)
         for i, k in hits.get("known", ()):
             j = i + len(k)
             if (i and (v[i - 1].isalnum() or v[i - 1] in "@#_/+.-'’" and not (v[i - 1] == "." and i > 1))) or (j < len(v) and (v[j].isalnum() or v[j] in "@_" or (v[j] in "'’-" and j + 1 < len(v) and v[j + 1].isalnum() and v[j : j + 2].lower() not in ("'s", "’s")))):
@@ -330,7 +390,7 @@ class Finder:
         for i, k in hits.get("initial", ()):
             a = i + 1
             m = _NEXT.match(v, i + 3)
-            if v[a].isupper() and m and m.group(2)[0].isupper() and (m.group(2).lower() not in _STOP or m.group(2).lower() in PARTICLES):
+            if v[a].isupper() and m and m.group(2)[0].isupper() and (not self._nobody(m.group(2)) or m.group(2).lower() in PARTICLES):
                 got = self._forward(v, a)
                 if got and got[2] and got[1] - m.start(2) > 2:
                     out.append((a, self._clip(v, a, got[1], 1)))
@@ -343,6 +403,14 @@ class Finder:
                 merged.append((a, b))
         return merged
 
+    def _credible(self, v: str, a: int, b: int) -> bool:
+        """Whether unknown words beside a person's cue look like a name: no abbreviation, no word in capitals before a number."""
+        words = [m.group() for m in _TOKEN.finditer(v, a, b) if m.group().lower() not in PARTICLES and not m.group().endswith(".")]
+        if any(self._is_name(w) and w.lower() not in ORDINARY for w in words):
+            return True
+        words = [w for w in words if not self._nobody(w)]
+        return bool(words) and all(len(w) > 1 and not (w.isupper() and len(w) < 4) for w in words) and not re.match(r"[ -]?\d", v[b : b + 2])
+
     def _clip(self, v: str, a: int, b: int, most: int = 2) -> int:
         """A phrase without an end takes at most a given and a family name: words after a known family name belong to the next sentence."""
         end, seen = b, 0
@@ -360,14 +428,14 @@ class Finder:
         """The name that ends at ``i``."""
         a, n, body = i, 0, False
         while n < 5:
-            m = _PREV.search(v, max(0, a - 40), a) if a != i else re.compile(rf"((?:(?<![^\W\d_])[^\W\d_]\.)|{_W})()$").search(v, max(0, i - 40), i)
+            m = _PREV.search(v, max(0, a - 40), a) if a != i else _LAST.search(v, max(0, i - 40), i)
             if not m:
                 break
             w = m.group(1)
             lw = w.lower()
-            if m.group(2).startswith(",") and not (n and self.names.get(v[a:i].lower()) == "given"):
+            if m.group(2).startswith(","):
                 break
-            if (lw in _STOP and lw not in PARTICLES) or (lw in _OPENERS and not self._is_name(w)):
+            if self._nobody(w) and lw not in PARTICLES:
                 break
             if lw in PARTICLES:
                 if not body:
@@ -398,7 +466,8 @@ class Finder:
             lw = w.lower()
             if sep != " " or (kind == "given" and not self._is_name(w)):
                 break
-            if (len(w) == 2 and w[1] == "." and w[0].isupper()) or (self.names.get(lw) == "given" and kind == "family") or (lw in PARTICLES and w[0].isupper() and kind == "family") or (kind == "family" and w[0].isupper() and lw not in _STOP and lw not in _OPENERS and len(w) > 2 and not w.isupper() and v[i].isupper() and self._free_before(v, m.start())):
+            beside = kind == "family" and w[0].isupper() and not self._nobody(w) and len(w) > 2 and not w.isupper() and v[i].isupper() and self._free_before(v, m.start())
+            if (len(w) == 2 and w[1] == "." and w[0].isupper()) or (self.names.get(lw) == "given" and kind == "family") or (lw in PARTICLES and w[0].isupper() and kind == "family") or beside:
                 a = m.start()
             else:
                 break
@@ -411,13 +480,13 @@ class Finder:
             got = self._forward(v, m.start(2))
             if got and got[2]:
                 first = _TOKEN.match(v, m.start(2)).group()
-                if self._is_name(first) or first.lower() in PARTICLES or (first[0].isupper() and first.lower() not in _STOP and not v[i:j].isupper()):
+                if self._is_name(first) or first.lower() in PARTICLES or (first[0].isupper() and not self._nobody(first) and not v[i:j].isupper()):
                     b = self._clip(v, m.start(2), got[1], 1)
         return a, b
 
     def _free_before(self, v: str, a: int) -> bool:
         """Whether a capital at ``a`` is not just that of a sentence's first word."""
-        return a > 1 and v[a - 1] == " " and v[a - 2] not in ".!?…"
+        return a > 1 and v[a - 1] == " " and v[a - 2] not in ".!?…:"
 
     def _person(self, v: str, i: int, j: int, s: tuple[int, int], k: str) -> bool:
         """Whether an ordinary word is a name here: with a capital, and beside another name or an initial."""
@@ -431,6 +500,145 @@ class Finder:
         return False
 
 
+# learning names from the corpus
+
+
+def beside_names(text: str, given: frozenset[str], family: frozenset[str]) -> Iterator[tuple[str, bool, int, int]]:
+    """(word, whether with a capital, 1 if it stands where a given name stands, 1 where a family name does) of every word of ``text``.
+
+    A family name stands after a given one, a title or an initial, over particles; a given name before a family name, or after
+    one and a comma. Words of addresses, handles and links are left out.
+    """
+    v, _ = _view(text)
+    low = _lower(v)
+    found = [(m.start(), m.end()) for m in _TOKEN.finditer(v)]
+    words = [low[a:b] for a, b in found]
+    n = len(found)
+    place: dict[int, tuple[int, int]] = {}
+
+    def gap(i: int) -> str:
+        return v[found[i][1] : found[i + 1][0]] if 0 <= i < n - 1 else ""
+
+    def after(i: int) -> int | None:
+        """The next word over particles and single blanks."""
+        while i < n - 1 and gap(i) == " ":
+            i += 1
+            if words[i] not in PARTICLES:
+                return i
+        return None
+
+    for i, w in enumerate(words):
+        title = w in _TITLE_WORDS
+        if w in given or (w.endswith(".") and v[found[i][0]].isupper()) or title:
+            j = after(i) if not (title and gap(i) == ". ") else i + 1
+            if title and j is not None and words[j] in PARTICLES:
+                j = after(j)
+            if j is not None:
+                place[j] = (0, 1)
+        if w in given and i and gap(i - 1) == ", ":
+            place.setdefault(i - 1, (0, 1))
+        if w in family:
+            j = i - 1
+            while j >= 0 and gap(j) == " " and words[j] in PARTICLES:
+                j -= 1
+            if j >= 0 and gap(j) == " " and not words[j].endswith("."):
+                place.setdefault(j, (1, 0))
+            if gap(i) == ", ":
+                place.setdefault(i + 1, (1, 0))
+    for i, (a, b) in enumerate(found):
+        if (a and v[a - 1] in "@#+._/-") or (b < len(v) and v[b] in "@_") or words[i].endswith(".") or words[i] in PARTICLES or words[i] in _TITLE_WORDS:
+            continue
+        yield words[i], v[a].isupper(), *place.get(i, (0, 0))
+
+
+def word_statistics(rows: DataFrame, text: str, names: Iterable[tuple[str, str]]) -> DataFrame:
+    """(word, n, capitals, as_given, as_family) over all texts; counts are added up within a task before they are shuffled."""
+    seeds = [(x.strip().lower().split()[-1], k) for x, k in names if x and x.strip() and x.strip().lower() not in ORDINARY]
+    given, family = frozenset(w for w, k in seeds if k == "given"), frozenset(w for w, k in seeds if k != "given")
+
+    def table(seen: dict[str, list[int]]) -> pa.RecordBatch:
+        cols = [list(seen), *([c[k] for c in seen.values()] for k in range(4))]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["word", "n", "capitals", "as_given", "as_family"])
+
+    def count(batches):
+        seen: dict[str, list[int]] = {}
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                for w, cap, g, f in beside_names(t, given, family):
+                    c = seen.get(w)
+                    if c is None:
+                        seen[w] = [1, int(cap), g, f]
+                    else:
+                        c[0] += 1
+                        c[1] += cap
+                        c[2] += g
+                        c[3] += f
+            if len(seen) > _VOCABULARY:
+                yield table(seen)
+                seen = {}
+        yield table(seen)
+
+    got = rows.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, n bigint, capitals bigint, as_given bigint, as_family bigint")
+    return got.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "capitals", "as_given", "as_family")])
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Names and common words for every task, and the table of learned names where they are too many for that."""
+
+    names: tuple[tuple[str, str], ...]
+    common: tuple[str, ...] = ()
+    table: DataFrame | None = None
+
+
+def load_names(names: DataFrame, most: int | None = None) -> tuple[tuple[str, str], ...] | None:
+    """The (name, kind) rows of a list; None if there are more than ``most``."""
+    most = MOST_NAMES if most is None else most
+    rows = names.where("name is not null").select("name", "name_type").distinct().limit(most + 1).collect()
+    return tuple(sorted((r[0], r[1] or "family") for r in rows)) if len(rows) <= most else None
+
+
+def learn(rows: DataFrame, text: str, names: DataFrame) -> Lexicon:
+    """The known names with those that all texts of ``rows`` teach, and the corpus's common words.
+
+    A list of known names beyond ``MOST_NAMES`` teaches by its own words and then joins the learned ones.
+    """
+    s = Scratch(rows.sparkSession, "names")
+    known = load_names(names)
+    stats = s.keep(word_statistics(rows, text, known if known is not None else names.select("name", "name_type").limit(MOST_NAMES).collect()))
+    beside = F.col("as_given") + F.col("as_family")
+    good = (beside >= LEAST_BESIDE) & (beside >= F.lit(LEAST_SHARE) * F.col("n")) & (F.col("capitals") >= F.lit(LEAST_CAPITAL) * F.col("n")) & (F.length("word") > 1)
+    learned = stats.where(good & ~F.col("word").isin(*_STOP)).select(F.col("word").alias("name"), F.when(F.col("as_given") > F.col("as_family"), "given").otherwise("family").alias("name_type"))
+    total = stats.agg(F.sum("n")).first()[0] or 0
+    common = stats.where((F.col("n") >= max(COMMON_COUNT, COMMON_SHARE * total)) & (beside <= F.lit(NAME_SHARE) * F.col("n"))).select("word")
+    common = tuple(sorted(r[0] for r in common.collect()))  # at most 1 / COMMON_SHARE words
+    if known is not None:
+        mine = {x.strip().lower() for x, _ in known}
+        words = {w for x in mine for w in x.split()}
+        common = tuple(w for w in common if w not in words)
+        more = load_names(learned, MOST_NAMES - len(known))
+        if more is not None:
+            return Lexicon(tuple(sorted({*known, *((w, k) for w, k in more if w not in mine)})), common)
+    both = names.where("name is not null").select(F.lower(F.trim("name")).alias("name"), F.coalesce("name_type", F.lit("family")).alias("name_type"), F.lit(0).alias("o")).unionByName(learned.withColumn("o", F.lit(1)))
+    one = both.groupBy("name").agg(F.min(F.struct("o", "name_type"))["name_type"].alias("name_type"))
+    return Lexicon((), common, s.keep(one.withColumn("last", F.element_at(F.split("name", " "), -1))))
+
+
+def _with_own_names(rows: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+    """``rows`` with ``_own``, the names of the lexicon's table whose last word the text holds, met by word in one shuffle."""
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def words(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else sorted(set(_WORDS.findall(_lower(_view(t)[0])))) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    s = Scratch(rows.sparkSession, "own")
+    kept = s.keep(rows.withColumn("_row", F.monotonically_increasing_id()))
+    by = lexicon.table.groupBy("last").agg(F.collect_list(F.struct("name", "name_type")).alias("found"))  # the names that end in one word
+    each = kept.select("_row", F.explode(words(F.col(text))).alias("last"))
+    met = hot_join(each, by, "last").groupBy("_row").agg(F.flatten(F.collect_list("found")).alias("_own"))
+    return kept.join(met, "_row", "left").drop("_row")
+
+
 def _email(v: str, i: int) -> tuple[int, int] | None:
     a = i - 1 if i and v[i - 1] == " " and v[i] != "@" else i
     m = _AT.match(v, a)
@@ -470,10 +678,49 @@ def _phone(v: str, i: int, k: str) -> tuple[int, int] | None:
             continue
         m = _PHONE.match(v, a)
         if m and not _AFTER_PHONE.match(v, m.end()):
+            bare = m.group().isdigit() and v.startswith("06", a)
+            return None if bare and _CASE_CUES.search(v, max(0, a - 32), a) else (a, m.end())
+    return None
+
+
+def _called(v: str, i: int, k: str) -> tuple[int, int] | None:
+    """A number after a word for telephones: nine to eleven digits from 0, however they are grouped."""
+    if i and v[i - 1].isalnum():
+        return None
+    a = i + len(k) - (2 if k.endswith("(0") else 1)
+    m = re.compile(r"\(?0\d{0,4}\)?(?:[ ./-]{0,3}\d{1,10})*").match(v, a)
+    if not m:
+        return None
+    digits, end = 0, None
+    for p in range(a, m.end()):
+        if v[p].isdigit():
+            digits += 1
+            if 9 <= digits <= 11 and (p + 1 == len(v) or not v[p + 1].isdigit()):
+                end = p + 1
+    return (a, end) if end and not (end < len(v) and v[end].isalnum()) else None
+
+
+def _account(v: str, i: int) -> tuple[int, int] | None:
+    """An international bank account number: country, check digits, and a remainder of 1 modulo 97."""
+    a = i - 1
+    if a < 0 or not v[a].isalpha() or (a and v[a - 1].isalnum()):
+        return None
+    m = _IBAN.match(v, a)
+    while m:
+        bare = re.sub(r"\s", "", m.group()).upper()
+        if 15 <= len(bare) <= 34 and bare.isascii() and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
             return a, m.end()
+        cut = m.group().rfind(" ")
+        m = _IBAN.fullmatch(v, a, a + cut) if cut > 0 else None
     return None
 
 
+def _real_date(digits: str) -> bool:
+    """Whether six digits are year, month and day, the month raised by 20 or 40 at will."""
+    m = _MONTH_DAY.match(digits)
+    return bool(m) and 1 <= int(m.group(1)) % 20 <= 12 and 1 <= int(m.group(2)) <= 31
+
+
 def _cued(v: str, i: int, k: str) -> tuple[int, int] | None:
     if i and v[i - 1].isalnum():
         return None
@@ -498,17 +745,20 @@ def _cued(v: str, i: int, k: str) -> tuple[int, int] | None:
     want = 11 if k in ("rijksregister", "insz", "niss") else 9
     exact = [e for d, e in stops if d == want]
     end = exact[0] if exact else best[0]
-    return i, end
+    return (i, end) if set(re.sub(r"\D", "", v[n.start() : end])) != {"0"} else None
 
 
 def _ssn(v: str, i: int, k: str) -> tuple[int, int] | None:
     m = _SSN.match(v, i)
-    return (i, m.end()) if m and not (i and (v[i - 1].isalnum() or v[i - 1] in "-/.")) else None
+    if not m or (i and (v[i - 1].isalnum() or v[i - 1] in "-/.")):
+        return None
+    area, group, serial = m.group().split("-")
+    return (i, m.end()) if area not in ("000", "666") and group != "00" and serial != "0000" else None
 
 
 def _national(v: str, i: int, k: str) -> tuple[int, int] | None:
     m = _NATIONAL.match(v, i)
-    ok = m and not (i and (v[i - 1].isalnum() or v[i - 1] in "-/.")) and 1 <= int(v[i + 3 : i + 5]) % 20 <= 12 and int(v[i + 6 : i + 8]) <= 31
+    ok = m and not (i and (v[i - 1].isalnum() or v[i - 1] in "-/.")) and _real_date(re.sub(r"\D", "", m.group()))
     return (i, m.end()) if ok else None
 
 
@@ -521,7 +771,7 @@ def _insurance(v: str, i: int, k: str) -> tuple[int, int] | None:
     return None
 
 
-def _dutch(v: str, i: int, k: str, known: set[str]) -> tuple[int, int] | None:
+def _dutch(v: str, i: int, k: str, stays: Callable[[str], bool]) -> tuple[int, int] | None:
     j = i + len(k) - 1
     m = _NL_NAME.search(v, max(0, i - 48), j - 1)
     if not m:
@@ -540,18 +790,18 @@ def _dutch(v: str, i: int, k: str, known: set[str]) -> tuple[int, int] | None:
     if e < len(v) and (v[e].isalnum() or v[e] in ":%"):
         return None
     t = _NL_TAIL.match(v, e)
-    return a, _second(v, t.end(), known) if t else e
+    return a, _second(v, t.end(), stays) if t else e
 
 
-def _second(v: str, e: int, known: set[str]) -> int:
+def _second(v: str, e: int, stays: Callable[[str], bool]) -> int:
     """The end of a town's name whose first word ends at ``e``: a second word, unless a sentence or a name starts there."""
     m = _TOWN_2.match(v, e)
-    if not m or m.group(1).lower() in _STOP or m.group(1).lower() in known or m.group(1).lower() in _OPENERS:
+    if not m or stays(m.group(1)):
         return e
     return m.end()
 
 
-def _english(v: str, i: int, k: str, known: set[str]) -> tuple[int, int] | None:
+def _english(v: str, i: int, k: str, stays: Callable[[str], bool]) -> tuple[int, int] | None:
     e = i + len(k)
     if e < len(v) and v[e].isalnum():
         return None
@@ -559,40 +809,38 @@ def _english(v: str, i: int, k: str, known: set[str]) -> tuple[int, int] | None:
     if not m or _PAGE.search(v, max(0, m.start() - 12), m.start()):
         return None
     t = _EN_TOWN.match(v, e)
-    e = _second(v, t.end(), known) if t else e
+    e = _second(v, t.end(), stays) if t else e
     t = _POSTCODE.match(v, e)
     return m.start(), t.end() if t else e
 
 
 @lru_cache(maxsize=4)
-def finder(names: tuple[tuple[str, str], ...]) -> Finder:
-    return Finder(names)
+def finder(names: tuple[tuple[str, str], ...], common: tuple[str, ...] = ()) -> Finder:
+    return Finder(names, common)
 
 
-def load_names(names: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The name list, at most ``MOST_NAMES`` rows."""
-    rows = names.where("name is not null").select("name", "name_type").distinct().limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    return tuple(sorted((r[0], r[1] or "family") for r in rows))
+def _ready(rows: DataFrame, text: str, lexicon: Lexicon) -> tuple[DataFrame, Callable]:
+    """``rows`` with ``_own``, and a function that makes an Arrow UDF of the text and ``_own`` from one of a text and a Finder."""
+    shared = rows.sparkSession.sparkContext.broadcast((lexicon.names, lexicon.common))  # at most MOST_NAMES and 1 / COMMON_SHARE words
+    rows = _with_own_names(rows, text, lexicon) if lexicon.table is not None else rows.withColumn("_own", F.lit(None).cast("array<struct<name:string,name_type:string>>"))
 
+    def over(work: Callable[[str, Finder], object], kind, arrow: pa.DataType) -> Callable:
+        @F.arrow_udf(kind)
+        def each(texts: pa.Array, own: pa.Array) -> pa.Array:
+            f = finder(*shared.value)
+            plain = own.null_count == len(own)
+            return pa.array([None if t is None else work(t, f if not mine else f.knowing((x["name"], x["name_type"]) for x in mine)) for t, mine in zip(texts.to_pylist(), [None] * len(texts) if plain else own.to_pylist())], arrow)
 
-def kinds_of(column: Column, names: tuple[tuple[str, str], ...]) -> Column:
-    """Bits of the kinds found, in the order of ``KINDS``; null for null."""
+        return each
 
-    @F.arrow_udf(IntegerType())
-    def kinds(texts: pa.Array) -> pa.Array:
-        f = finder(names)
-        out = []
-        for t in texts.to_pylist():
-            bits = 0
-            if t:
-                for _, _, k in f.spans(t):
-                    bits |= 1 << KINDS.index(k)
-            out.append(None if t is None else bits)
-        return pa.array(out, pa.int32())
+    return rows, over
 
-    return kinds(column)
+
+def _bits(text: str, f: Finder) -> int:
+    bits = 0
+    for _, _, k in f.spans(text):
+        bits |= 1 << KINDS.index(k)
+    return bits
 
 
 def replace(text: str, f: Finder) -> str:
@@ -603,17 +851,15 @@ def replace(text: str, f: Finder) -> str:
     return "".join(out) + text[last:] if out else text
 
 
-def redacted(column: Column, names: tuple[tuple[str, str], ...]) -> Column:
-    @F.arrow_udf(StringType())
-    def redact(texts: pa.Array) -> pa.Array:
-        f = finder(names)
-        return pa.array([t and replace(t, f) for t in texts.to_pylist()], pa.string())
-
-    return redact(column)
+def redacted(rows: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
+    """``rows`` with typed placeholders in the column ``text``."""
+    ready, over = _ready(rows, text, lexicon)
+    return ready.withColumn(text, over(replace, StringType(), pa.string())(F.col(text), F.col("_own"))).drop("_own")
 
 
-def found(rows: DataFrame, keys: list[str], text: str, names: tuple[tuple[str, str], ...]) -> DataFrame:
+def found(rows: DataFrame, keys: list[str], text: str, lexicon: Lexicon) -> DataFrame:
     """Distinct ``keys`` with pii_kind, one row for each kind that the text holds."""
-    bits = rows.select(*keys, kinds_of(F.col(text), names).alias("_bits")).where("_bits > 0")
+    ready, over = _ready(rows.select(*keys, F.col(text).alias("_text")), "_text", lexicon)
+    bits = ready.select(*keys, over(_bits, IntegerType(), pa.int32())(F.col("_text"), F.col("_own")).alias("_bits")).where("_bits > 0")
     each = F.array(*[F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(KINDS)])
     return bits.select(*keys, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("pii_kind")).distinct()

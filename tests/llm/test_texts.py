@@ -78,6 +78,10 @@ CASES = [
     ("Page 22 High Street Stories was torn. Main Hall, room 94. perron 152 te Wexbury onderweg 5 minuten", []),
     ("Ask M. Tolbrane about it. op naam van dhr. Ockerdale", ["name", "name"]),
     ("collega Tolbrane, Jelte zou terugbellen; bedankt voor de snelle hulp", ["name"]),
+    ("IBAN NL91ABNA0417164300 and NL92ABNA0417164300, BE68 5390 0754 7034.", ["account", "account"]),
+    ("ssn 000-00-0000, BSN 000000000, 99.99.24-000.61", []),
+    ("call 0612345678 or 06 12345678, tel: 0471 23 45 67", ["phone"] * 3),
+    ("order 0612345678", []),
     ("Joy, plain Joy, in May. Rose and May are my favourite words. The Winter coat", []),
     ("because Joy Winter praised it", ["name"]),
     ("elowen van den zilverberg belde", ["name"]),
@@ -104,10 +108,87 @@ def test_pii_replacement_keeps_the_rest():
 
 
 def test_pii_columns(spark):
-    df = spark.createDataFrame([("a", "call 06-00951192"), ("b", None), ("c", ""), ("a", "BSN 002860888")], "id string, text string")
-    assert {tuple(r) for r in pii.found(df, ["id"], "text", NAMES).collect()} == {("a", "phone"), ("a", "id_number")}
-    assert [r[0] for r in df.select(pii.redacted(F.col("text"), NAMES)).collect()] == ["call [PHONE]", None, "", "[ID_NUMBER]"]
-    assert pii.found(df.limit(0), ["id"], "text", NAMES).count() == 0
+    df = spark.createDataFrame([("a", "call 06-00951192"), ("b", None), ("c", ""), ("a", "BSN 002860888")], "id string, text string").withColumn("_own", F.lit(1)).withColumn("_text", F.lit("x"))
+    lexicon = pii.Lexicon(NAMES)
+    assert {tuple(r) for r in pii.found(df, ["id"], "text", lexicon).collect()} == {("a", "phone"), ("a", "id_number")}
+    assert [r["text"] for r in pii.redacted(df, "text", lexicon).collect()] == ["call [PHONE]", None, "", "[ID_NUMBER]"]
+    assert pii.found(df.limit(0), ["id"], "text", lexicon).count() == 0
+
+
+TAUGHT = [f"{w} {x} {y}." for x, y in (("Elowen Vossendaal", "kept the key"), ("elowen vossendaal", "left"), ("Tjalling Ockerdale", "rang twice"), ("Ockerdale, Tjalling", "wrote")) for w in ("Then", "Later", "Again")] + ["The Tjalling bridge", "Only Vossendaal knew"]
+
+
+def test_names_are_learned_from_the_corpus(spark, monkeypatch):
+    texts = TAUGHT + ["after elowen left the house"] * 30 + ["i left"] * 40 + ["Tjalling was here", "nothing of vossendaal remained", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    known = spark.createDataFrame([*NAMES, (None, "given")], "name string, name_type string")
+    lexicon = pii.learn(df, "text", known)
+    learned = set(lexicon.names) - {(n, k) for n, k in NAMES}
+    assert learned == {("vossendaal", "family"), ("tjalling", "given")} and "house" in lexicon.common and "elowen" not in lexicon.common
+    want = {tuple(r) for r in pii.found(df, ["id"], "text", lexicon).collect()}
+    assert {i for i, k in want if k == "name"} >= {texts.index("Tjalling was here"), texts.index("nothing of vossendaal remained")}
+    # too many names for every task: each text meets its own, with the same result
+    monkeypatch.setattr(pii, "MOST_NAMES", len(NAMES))
+    own = pii.learn(df, "text", known)
+    assert own.table is not None and own.names == ()
+    assert {tuple(r) for r in pii.found(df, ["id"], "text", own).collect()} == want
+    empty = pii.learn(df.limit(0), "text", known)
+    assert pii.found(df.limit(0), ["id"], "text", empty).count() == 0
+
+
+# sentences of our own, with what they hold; none shares its wording with the test tables
+INDEPENDENT = [
+    ("I met Karen Johnson yesterday at the fair.", ["Karen Johnson"]),
+    ("My colleague Priya said the lift was out.", ["Priya"]),
+    ("Dear Ms. Okafor, your parcel has arrived.", ["Ms. Okafor"]),
+    ("Reach me on 0612345678 after six.", ["0612345678"]),
+    ("Her mobile is 06 12345678.", ["06 12345678"]),
+    ("Please wire it to NL91ABNA0417164300 today.", ["NL91ABNA0417164300"]),
+    ("Rekening BE68 5390 0754 7034, dank.", ["BE68 5390 0754 7034"]),
+    ("Mijn BSN is 111222333.", ["BSN is 111222333"]),
+    ("Tel. 0471 23 45 67 is nu van Piet.", ["0471 23 45 67"]),
+    ("ik sprak met Fatima El Amrani over de borg", ["Fatima El Amrani"]),
+    ("Groetjes, Sanne", ["Sanne"]),
+    ("Mijn broer Joost woont in Leiden.", ["Joost"]),
+    ("We sent it to 12 Baker Street, London.", ["12 Baker Street, London"]),
+    ("Hij woont op Kerkstraat 14, Utrecht", ["Kerkstraat 14, Utrecht"]),
+    ("Write to jan.de.vries+post@example.org please", ["jan.de.vries+post@example.org"]),
+    ("a.person (at) example (dot) com works too", ["a.person (at) example (dot) com"]),
+    ("National insurance number QQ 12 34 56 C", ["QQ 12 34 56 C"]),
+    ("Her SSN is 219-09-9999, or so she says", ["219-09-9999"]),
+    ("Call +44 20 7946 0958 before noon.", ["+44 20 7946 0958"]),
+    ("Prof. Lindqvist opened the session.", ["Prof. Lindqvist"]),
+    ("Yesterday J. Abernathy resigned.", ["J. Abernathy"]),
+    ("My neighbour Tom Brandt fixed the fence.", ["Tom Brandt"]),
+    ("I never thanked Ingeborg for the soup.", ["Ingeborg"]),
+    ("Zijn vrouw Marieke belde gisteren.", ["Marieke"]),
+    ("The train from Leiden was late again.", []),
+    ("Order 0612345678 was shipped on Monday.", []),
+    ("I bought a Samsung phone in Antwerp.", []),
+    ("Case 2024-001-778 is closed.", []),
+    ("We hope for a mild winter in May.", []),
+    ("Meet at platform 12 at 10.45.", []),
+    ("IBAN NL92ABNA0417164300 was refused.", []),
+    ("The ssn 000-00-0000 is a dummy.", []),
+    ("Invoice 20230415 lists 14 items at 19.99.", []),
+    ("He reads the New York Times on Sunday.", []),
+    ("Version 10.0.19041 of Windows fails.", []),
+    ("Ask about the discount in the shop.", []),
+    ("Thanks to the crew of flight 714!", []),
+    ("Bedankt voor niets, hoor.", []),
+]
+
+
+def test_pii_on_independent_sentences():
+    """Precision and recall over what was found anywhere, with a list of names that holds none of them."""
+    f = pii.Finder(NAMES)
+    hit = said = held = 0
+    for text, want in INDEPENDENT:
+        got = [text[a:b] for a, b, _ in f.spans(text)]
+        hit += sum(any(w in g or g in w for g in got) for w in want)
+        said, held = said + len(got), held + len(want)
+    print(f"independent sentences: recall {hit}/{held}, precision {hit}/{said}")
+    assert hit >= 0.9 * held and hit >= 0.9 * said
 
 
 def edits(a, b):
