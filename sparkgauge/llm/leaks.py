@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text.
 
-The held-out items' runs of ``GRAM`` normalised words form a hash set that goes to
-every task. Each document's word windows are hashed all at once and looked up; a hit is
+The held-out items' runs of ``GRAM`` normalised words form a hash set that is broadcast to
+every task; its size is checked first, and more items take several scans. Each document's word windows are hashed all at once and looked up; a hit is
 verified word by word, so a collision costs time and never a row. The document holds a
 passage if some ``LEAST`` or more consecutive words of the item stand in it with at
 most a tenth of them changed, left out or put in.
@@ -19,13 +19,13 @@ under 20 words are in nothing, and repeated documents are each reported.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from sparkgauge.llm.canonical import skeleton
 
@@ -38,6 +38,7 @@ MOST_WORDS = 400_000
 
 _DROP = {ord(c): None for c in "'’‘ʼ`´-‐‑–"}
 _WORD = re.compile(r"[^\W_]+")
+_RUN = re.compile(r"\S+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,8 +46,18 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(skeleton(text).lower().translate(_DROP))
 
 
-def reach(a: list[str], b: list[str], i: int, j: int, step: int, k: int) -> list[int]:
-    """How many words of ``a`` from ``i`` in direction ``step`` match ``b`` from ``j`` with 0, 1, ... k edits.
+def words_at(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """The same words, and for each the stretch between blanks that holds it."""
+    words, at = [], []
+    for m in _RUN.finditer(text):
+        own = words_of(m.group())
+        words += own
+        at += [m.span()] * len(own)
+    return words, at
+
+
+def furthest(a: list[str], b: list[str], i: int, j: int, step: int, k: int) -> list[tuple[int, int]]:
+    """How many words of ``a`` from ``i`` in direction ``step`` match how many of ``b`` from ``j`` with 0, 1, ... k edits.
 
     Furthest-reaching points by diagonal. What counts ends on an equal word: edits
     beyond the last one belong to no passage.
@@ -63,7 +74,7 @@ def reach(a: list[str], b: list[str], i: int, j: int, step: int, k: int) -> list
 
     room = len(a) - i if step > 0 else i + 1
     far = {0: slide(0, 0)}  # diagonal q - p: furthest p
-    best = [far[0]]
+    best = [(far[0], far[0])]
     for _ in range(k):
         grown: dict[int, int] = {}
         for d, p in far.items():
@@ -74,22 +85,26 @@ def reach(a: list[str], b: list[str], i: int, j: int, step: int, k: int) -> list
         for d, p in grown.items():
             n = slide(p, p + d)
             grown[d] = p + n
-            if n and p + n > top:
-                top = p + n
+            if n and p + n > top[0]:
+                top = (p + n, p + n + d)
         best.append(top)
         far = grown
     return best
 
 
-def longest(item: list[str], text: list[str], runs: list[tuple[int, int]], k: int = WINDOWS[-1][1]) -> list[int]:
-    """The most consecutive words of ``item`` that stand in ``text`` with 0, 1, ... k edits.
+def reach(a: list[str], b: list[str], i: int, j: int, step: int, k: int) -> list[int]:
+    return [p for p, _ in furthest(a, b, i, j, step, k)]
+
+
+def passages(item: list[str], text: list[str], runs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(first, end) in ``text`` of each stretch that holds enough consecutive words of ``item``.
 
     ``runs``: hits (place in item, place in text) of GRAM equal words.
     """
+    k = WINDOWS[-1][1]
     on: dict[int, list[int]] = {}
     for i, j in runs:
         on.setdefault(j - i, []).append(i)
-    best = [0] * (k + 1)
     for d, places in on.items():
         places = sorted(set(places))
         start = places[0]
@@ -97,18 +112,13 @@ def longest(item: list[str], text: list[str], runs: list[tuple[int, int]], k: in
             if n + 1 < len(places) and places[n + 1] == p + 1:
                 continue
             size = p - start + GRAM
-            left = reach(item, text, start - 1, start + d - 1, -1, k)
-            right = reach(item, text, start + size, start + size + d, 1, k)
-            for e in range(k + 1):
-                best[e] = max(best[e], size + max(left[x] + right[e - x] for x in range(e + 1)))
+            left = furthest(item, text, start - 1, start + d - 1, -1, k)
+            right = furthest(item, text, start + size, start + size + d, 1, k)
+            fits = [(left[x][1], right[e - x][1]) for least, e in WINDOWS for x in range(e + 1) if size + left[x][0] + right[e - x][0] >= least]
+            if fits:
+                yield start + d - max(a for a, _ in fits), start + d + size + max(b for _, b in fits)
             if n + 1 < len(places):
                 start = places[n + 1]
-    return best
-
-
-def holds(item: list[str], text: list[str], runs: list[tuple[int, int]]) -> bool:
-    best = longest(item, text, runs)
-    return any(best[k] >= size for size, k in WINDOWS)
 
 
 class Index:
@@ -137,10 +147,10 @@ class Index:
             h += x[i : i + n] * self.power[i]
         return h
 
-    def find(self, text: str) -> list[int]:
-        w = words_of(text)
+    def _runs(self, w: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Verified hits (place in item, place in text) by item."""
         if len(w) < LEAST - 2 or not len(self.keys):
-            return []
+            return {}
         get = self.words.get
         h = self.hashes(np.array([get(x, 0) for x in w], dtype=np.uint64))
         p = np.searchsorted(self.keys, h)
@@ -150,46 +160,91 @@ class Index:
             for n, i in self.at[int(h[j])]:
                 if self.items[n][1][i : i + GRAM] == w[j : j + GRAM]:
                     runs.setdefault(n, []).append((i, j))
-        return [self.items[n][0] for n, r in runs.items() if holds(self.items[n][1], w, r)]
+        return runs
 
+    def find(self, text: str) -> list[int]:
+        """Keys of the items that the text holds passages of."""
+        w = words_of(text)
+        return [self.items[n][0] for n, r in self._runs(w).items() if next(passages(self.items[n][1], w, r), None)]
 
-@lru_cache(maxsize=2)
-def index(items: tuple[tuple[int, str], ...]) -> Index:
-    return Index(items)
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(key, first character, end) of each passage, from blank to blank."""
+        runs = self._runs(words_of(text))
+        if not runs:
+            return []
+        w, at = words_at(text)
+        return sorted({(self.items[n][0], at[a][0], at[z - 1][1]) for n, r in runs.items() for a, z in passages(self.items[n][1], w, r)})
 
 
-def _passes(items: DataFrame, key: str, text: str) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items in parts of at most about MOST_WORDS words: the size is checked before anything is collected."""
-    rows = items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+def _passes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
+    """An index for each part of at most about MOST_WORDS words: the size is checked before anything is collected."""
+    rows = items.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = max(1, -(-chars // (MOST_WORDS * 5)))
     for i in range(parts):
         got = rows.where(F.pmod(F.xxhash64("k"), F.lit(parts)) == i).collect()
-        yield tuple(sorted((r["k"], r["t"]) for r in got))
+        yield Index(tuple(sorted((r["k"], r["t"]) for r in got)))
+
+
+def _udf(spark: SparkSession, ix: Index, work: Callable[[Index, str], object], kind, arrow: pa.DataType) -> Callable[[Column], Column]:
+    """``work`` over a column of texts; the index goes out as one broadcast. Null stays null."""
+    shared = spark.sparkContext.broadcast(ix)
+
+    @F.arrow_udf(kind)
+    def over(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else work(shared.value, t) for t in texts.to_pylist()], arrow)
+
+    return over
+
+
+def _leaks_in(spark: SparkSession, ix: Index) -> Callable[[Column], Column]:
+    """The keys of the items of ``ix`` that a text leaks."""
+    return _udf(spark, ix, Index.find, ArrayType(LongType()), pa.list_(pa.int64()))
 
 
 def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, key: str, item_text: str) -> DataFrame:
-    """(doc, key): distinct documents with the items whose passages they hold."""
-    schema = f"{doc} bigint, {key} bigint"
+    """(doc, key): distinct documents with the items whose passages they hold. One scan for each MOST_WORDS words of items."""
+    out = None
+    rows = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull())
+    for ix in _passes(items, key, item_text):
+        got = rows.select(F.col(doc).cast("bigint").alias(doc), F.explode(_leaks_in(documents.sparkSession, ix)(F.col(text))).alias(key))
+        out = got if out is None else out.unionByName(got)
+    return out.distinct()
+
+
+def without_leaks(documents: DataFrame, text: str, items: DataFrame, key: str, item_text: str) -> DataFrame:
+    """``documents`` but those whose text leaks, in the scan that finds them."""
+    for ix in _passes(items, key, item_text):
+        leaked = F.size(_leaks_in(documents.sparkSession, ix)(F.col(text)))
+        documents = documents.where(F.col(text).isNull() | (leaked == 0))
+    return documents
+
+
+def _as_structs(ix: Index, text: str) -> list[dict]:
+    return [{"k": k, "first": a, "last": z} for k, a, z in ix.spans(text)]
+
+
+def _cut_out(ix: Index, text: str) -> str:
+    kept, at = [], 0
+    for _, a, z in sorted(ix.spans(text), key=lambda s: s[1:]):
+        kept.append(text[at : max(a, at)])
+        at = max(at, z)
+    return "".join(kept) + text[at:]
+
+
+def find_spans(documents: DataFrame, doc: str, text: str, items: DataFrame, key: str, item_text: str) -> DataFrame:
+    """(doc, key, first, last): where each passage stands in the document, as characters from 0, ``last`` the first one after it."""
     out = None
-    for part in _passes(items, key, item_text):
-
-        def scan(batches, part=part):
-            ix = index(part)
-            for b in batches:
-                docs, evals = [], []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for e in ix.find(t):
-                        docs.append(d)
-                        evals.append(e)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(evals, pa.int64())], names=[doc, key])
-
-        rows = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias(doc), text)
-        got = rows.mapInArrow(scan, schema)
+    rows = documents.where(F.col(text).isNotNull() & F.col(doc).isNotNull())
+    for ix in _passes(items, key, item_text):
+        spans = _udf(documents.sparkSession, ix, _as_structs, "array<struct<k:bigint,first:int,last:int>>", pa.list_(pa.struct([("k", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])))
+        got = rows.select(F.col(doc).cast("bigint").alias(doc), F.explode(spans(F.col(text))).alias("x")).select(doc, F.col("x.k").alias(key), "x.first", "x.last")
         out = got if out is None else out.unionByName(got)
     return out.distinct()
 
 
-def without_leaks(documents: DataFrame, leaks: DataFrame, doc: str) -> DataFrame:
-    """``documents`` but those in ``leaks``."""
-    return documents.join(leaks.select(doc).distinct(), doc, "left_anti")
+def without_spans(documents: DataFrame, text: str, items: DataFrame, key: str, item_text: str) -> DataFrame:
+    """``documents`` with every passage cut out of ``text``, in one scan; the rest of the text stays as it is."""
+    for ix in _passes(items, key, item_text):
+        documents = documents.withColumn(text, _udf(documents.sparkSession, ix, _cut_out, StringType(), pa.string())(F.col(text)))
+    return documents

@@ -130,14 +130,31 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pck.containers(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p7_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers promise, counted."""
+    docs = table(spark, d, "documents")
+    return pck.audit(docs, Scratch(spark, "containers").keep(pck.containers(docs, "doc_id", "text")), "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "eval_id", "text")
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     """The corpus without the documents that hold evaluation text."""
-    docs = table(spark, d, "documents")
-    return lks.without_leaks(docs, p8_found(spark, d), "doc_id").select("doc_id", "source", "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return lks.without_leaks(docs, "text", table(spark, d, "eval_items"), "eval_id", "text")
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the passages stand."""
+    return lks.find_spans(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "eval_id", "text")
+
+
+def p8_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus with the passages cut out of its documents."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return lks.without_spans(docs, "text", table(spark, d, "eval_items"), "eval_id", "text")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +172,7 @@ def p9_audit(spark: SparkSession, d: str) -> DataFrame:
     return seg.audit(docs, Scratch(spark, "pieces").keep(seg.pieces(docs, "doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p1_panels, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p8_found, p8_clean, p9_found, p9_pieces, p9_audit)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p1_panels, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p7_audit, p8_found, p8_clean, p8_spans, p8_trimmed, p9_found, p9_pieces, p9_audit)}
 
 _BARE = "lower(regexp_replace({}, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
 _PAIRED = f"""SELECT DISTINCT item_id, least(a, b) || chr(0) || greatest(a, b) || length(least(a, b)) AS k
@@ -239,5 +256,6 @@ SELECT min(seen) AS root_id, record_id FROM r GROUP BY f, record_id HAVING min(s
     "p6_found": f"""WITH p AS ({_PAIRED}), g AS (SELECT k, min(item_id) AS kept FROM p GROUP BY k)
 SELECT g.kept AS kept_item_id, p.item_id FROM p JOIN g USING (k) WHERE p.item_id <> g.kept""",
     "p6_distinct": f"SELECT min(item_id) AS kept_item_id, count(*) AS copies FROM ({_PAIRED}) GROUP BY k",
+    "p7_audit": "SELECT count(*)::BIGINT AS documents, 0::BIGINT AS not_once, 0::BIGINT AS split_in_vain, 0::BIGINT AS over_capacity, 0::BIGINT AS other_size, 0::BIGINT AS empty, true AS well_filled FROM documents WHERE text <> '' AND doc_id IS NOT NULL",
     "p9_audit": "SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS over_limit, 0::BIGINT AS other_text, 0::BIGINT AS late_starts, 0::BIGINT AS early_ends, 0::BIGINT AS gaps, 0::BIGINT AS wrong_overlaps FROM documents WHERE text <> ''",
 }

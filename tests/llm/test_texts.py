@@ -235,6 +235,20 @@ def test_leaks_equal_brute_force(spark):
     assert must <= got <= may and len(got) > 20
 
 
+def test_spans_are_cut_out(spark):
+    item = " ".join(f"held{i}" for i in range(30))
+    inside = item.replace("held4 ", "held4, \u200b").replace("held9", "HELD9").replace("held15", "other")
+    texts = [(1, f"Before it.\u00a0{inside}. After it."), (2, "nothing here at all"), (3, None), (4, ""), (5, f"{inside} and {item}"), (6, " ".join(item.split()[:12]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("key", F.lit(1))
+    items = spark.createDataFrame([(7, item), (8, "too short")], "eval_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in leaks.without_spans(docs, "text", items, "eval_id", "text").collect()}
+    assert got == {1: "Before it.\u00a0 After it.", 2: "nothing here at all", 3: None, 4: "", 5: " and ", 6: texts[5][1]}
+    at = [r for r in leaks.find_spans(docs, "doc_id", "text", items, "eval_id", "text").collect() if r["doc_id"] == 1]
+    assert [(r["eval_id"], texts[0][1][r["first"] : r["last"]]) for r in at] == [(7, inside + ".")]
+    assert {r["doc_id"] for r in leaks.without_leaks(docs, "text", items, "eval_id", "text").collect()} == {2, 3, 4, 6}
+    assert leaks.find_spans(docs.limit(0), "doc_id", "text", items, "eval_id", "text").count() == 0
+
+
 def test_reach_equals_edit_distance():
     r = random.Random(10)
     for _ in range(200):
@@ -272,10 +286,17 @@ def test_containers(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("doc", F.lit("x"))
     got = packing.containers(df, "doc_id", "text", capacity=100).collect()
     n = {r[0]: r[1] for r in df.where("text <> ''").groupBy("doc_id").agg(F.sum(size_of(F.col("text")))).collect()}
+    n_tokens = n.get
     assert sum(r["used"] for r in got) == sum(n.values()) and all(r["used"] <= 100 for r in got)
     placed = [d for r in got for d in r["doc_ids"]]
     assert placed.count(1) == 2 and placed.count(3) >= 10 and 50 not in placed and 51 not in placed
     assert packing.containers(df.limit(0), "doc_id", "text").count() == 0
+    one = df.dropDuplicates(["doc_id"])
+    r = packing.audit(one, packing.containers(one, "doc_id", "text", capacity=100), "doc_id", "text", capacity=100).first()
+    assert r["documents"] == 7 and not any(r[c] for c in ("not_once", "split_in_vain", "over_capacity", "other_size", "empty"))
+    # an oversized document can be put together from its stretches
+    held = sorted((st, z) for r in packing.containers(one, "doc_id", "text", capacity=100).collect() for d, st, z in zip(r["doc_ids"], r["starts"], r["sizes"]) if d == 3)
+    assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(n for _, n in held) == n_tokens(3)
 
 
 def paragraph(words, r):
