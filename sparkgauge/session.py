@@ -8,7 +8,6 @@ costs a re-read and never a lost block.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -101,7 +100,3 @@ class Scratch:
         self._rows.pop(id(df), None)
         if found:
             _delete(self.spark, found[1])
-
-
-def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local") and not os.environ.get("SPARKGAUGE_CLUSTER")

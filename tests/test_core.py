@@ -351,3 +351,12 @@ def test_split_tables_round_trip(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("item_id,group_id,writer_id,test_fold\na,g,w,1.5\n")
     with pytest.raises(checks.ConstraintError):
         corpora.read_split(spark, tmp_path / "bad.csv", "crowd_full_outer")
+
+
+def test_hot_bound_has_a_ceiling():
+    from sparkgauge.operators import skew
+
+    assert skew.hot_bound(1000) == skew.HOT_ROWS
+    assert skew.hot_bound(10**9) == 2_000_000
+    assert skew.hot_bound(10**12) == skew.HOT_CEILING
+    assert skew.hot_bound(10**14) == 10**14 / 20_000
