@@ -17,9 +17,11 @@ class NotConverged(RuntimeError):
 def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 500, tolerance: float = 1e-5, memory: int = 20) -> tuple[np.ndarray, float, bool]:
     """Limited-memory quasi-Newton descent with a backtracking search that keeps curvature positive.
 
-    Returns the point, its value and whether the gradient or the decrease fell below the tolerance.
+    Returns the point, its value and whether the gradient or the decrease fell below the tolerance. A search
+    that finds no lower point starts again without memory; if that fails too, the fit has not converged unless the gradient says so.
     """
     value, g = f(x)
+    failed = False
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(rounds):
         if np.abs(g).max() <= tolerance * max(1.0, abs(value)):
@@ -51,8 +53,12 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             else:
                 break
             step = (low + high) / 2 if np.isfinite(high) else 2 * step
-        if nv > value:
-            return x, value, True
+        if not nv <= value:
+            if not pairs or failed:
+                return x, value, bool(np.abs(g).max() <= 10 * tolerance * max(1.0, abs(value)))
+            failed, pairs = True, []
+            continue
+        failed = False
         s, y = new - x, ng - g
         sy = s @ y
         if sy > 1e-12 * (y @ y):
@@ -226,13 +232,23 @@ def fit_offsets(x: np.ndarray, y: np.ndarray, classes: int, gamma: float, c: flo
     return means, o
 
 
-def fit_sites(x: np.ndarray, y: np.ndarray, start: np.ndarray, weights: np.ndarray, c: float, free_weights: bool, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def fit_sites(x: np.ndarray, y: np.ndarray, start: np.ndarray, weights: np.ndarray, c: float, free_weights: bool, ridge: str = "linear", rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Sites (K, m, d) and weights that minimise the loss of softmax over log-sum-exp scores with gamma 1.
 
-    The ridge is on the linear form of each site, 2 s and weight - |s|^2. Distances enter
-    by their expansion, so nothing larger than rows by sites is held.
+    The ridge is on each site's linear form, 2 s and weight - |s|^2 (``linear``), or on the site itself (``sites``). Distances
+    enter by their expansion, so nothing larger than rows by sites is held.
     """
+    v, _, _ = minimise(site_loss(x, y, start.shape, weights, c, free_weights, ridge), np.concatenate([start.ravel(), weights.ravel()]) if free_weights else start.ravel(), rounds)
     k, m, d = start.shape
+    return v[: k * m * d].reshape(k, m, d), (v[k * m * d :].reshape(k, m) if free_weights else weights)
+
+
+def site_loss(x: np.ndarray, y: np.ndarray, shape: tuple[int, int, int], weights: np.ndarray, c: float, free_weights: bool, ridge: str) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Value and gradient of the objective of ``fit_sites``."""
+    if ridge not in ("linear", "sites"):
+        raise ValueError(ridge)
+    linear = ridge == "linear"
+    k, m, d = shape
     n = len(y)
     xx = (x * x).sum(axis=1)
     owner = np.repeat(np.arange(k), m)
@@ -251,16 +267,15 @@ def fit_sites(x: np.ndarray, y: np.ndarray, start: np.ndarray, weights: np.ndarr
         lp = log_softmax(score)
         r = ((np.exp(lp) - hot)[:, owner] * within) / n
         b = o - ss
-        loss = -lp[np.arange(n), y].sum() / n + (4 * (s * s).sum() + (b * b).sum()) / (2 * c * n)
+        charge = 4 * (s * s).sum() + (b * b).sum() if linear else (s * s).sum()
+        loss = -lp[np.arange(n), y].sum() / n + charge / (2 * c * n)
         total = r.sum(axis=0)
-        gs = 2 * (r.T @ x) - 2 * total[:, None] * s + (4 * s - 2 * b[:, None] * s) / (c * n)
+        gs = 2 * (r.T @ x) - 2 * total[:, None] * s + (4 * s - 2 * b[:, None] * s if linear else s) / (c * n)
         if not free_weights:
             return loss, gs.ravel()
-        return loss, np.concatenate([gs.ravel(), total + b / (c * n)])
+        return loss, np.concatenate([gs.ravel(), total + (b / (c * n) if linear else 0)])
 
-    v0 = np.concatenate([start.ravel(), weights.ravel()]) if free_weights else start.ravel()
-    v, _, _ = minimise(f, v0, rounds)
-    return v[: k * m * d].reshape(k, m, d), (v[k * m * d :].reshape(k, m) if free_weights else weights)
+    return f
 
 
 def power_form(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,17 +36,25 @@ def grid(decoder: str, gammas: Sequence[float] = GAMMAS, cs: Sequence[float] = L
     }[decoder]
 
 
+#: Rounds of the optimiser; a decoder that would need more is used as it stands then.
+ROUNDS = 500
+
+
 class Fitter:
-    """Fits the decoders on one training part; what several parameters share is fitted once."""
+    """Fits the decoders on one training part; what several parameters share is fitted once.
+
+    A class without a row in the part can't be predicted: its score is far below all others.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, seed: int = SEED, restarts: int = 5):
-        self.x, self.y, self.k, self.seed, self.restarts = x, y, classes, seed, restarts
+        self.there = np.unique(y)
+        self.x, self.y, self.k, self.all, self.seed, self.restarts = x, np.searchsorted(self.there, y), len(self.there), classes, seed, restarts
         self.linear = lru_cache(maxsize=None)(self._linear)
         self.sites = lru_cache(maxsize=None)(self._sites)
-        self.means = N.class_means(x, y, classes)
+        self.means = N.class_means(x, self.y, self.k)
 
     def _linear(self, c: float) -> tuple[np.ndarray, np.ndarray]:
-        return N.fit_multinomial(self.x, self.y, self.k, c, intercept_penalty=True, strict=False)
+        return N.fit_multinomial(self.x, self.y, self.k, c, intercept_penalty=True, rounds=ROUNDS, strict=False)
 
     def _sites(self, m: int, keep: bool) -> np.ndarray:
         return N.class_sites(self.x, self.y, self.k, m, self.seed, self.restarts, keep)
@@ -54,14 +62,19 @@ class Fitter:
     def scores(self, decoder: str, new: np.ndarray, gamma: float | None = None, c: float | None = None, m: int | None = None) -> np.ndarray:
         """Log-scores of the classes."""
         if decoder == "D0":
-            return np.tile(np.log(N.class_prior(self.y, self.k)), (len(new), 1))
+            return np.tile(np.log(N.class_prior(self.there[self.y], self.all)), (len(new), 1))
+        out = np.full((len(new), self.all), -1e30)
+        out[:, self.there] = self._scores(decoder, new, gamma, c, m)
+        return out
+
+    def _scores(self, decoder: str, new: np.ndarray, gamma: float | None, c: float | None, m: int | None) -> np.ndarray:
         if decoder == "D1":
             return -gamma * N.squared_distances(new, self.means)
         if decoder == "D1o":
             means, o = N.fit_offsets(self.x, self.y, self.k, gamma, c)
             return o - gamma * N.squared_distances(new, means)
         if decoder == "D2":
-            s, o = N.fit_sites(self.x, self.y, self.means[:, None, :].copy(), np.zeros((self.k, 1)), c, free_weights=False)
+            s, o = N.fit_sites(self.x, self.y, self.means[:, None, :].copy(), np.zeros((self.k, 1)), c, free_weights=False, ridge="sites")
             return N.site_scores(new, s, o, 1.0)
         if decoder == "D3":
             w, b = self.linear(c)
@@ -87,8 +100,10 @@ def ladder(spark: SparkSession, m: Matrix, classes: int, decoders: Sequence[str]
     """(out-of-fold table, selections) of all decoders.
 
     Each inner task fits all candidates of one decoder on one inner training part. A
-    candidate's score is the plain mean of its inner folds' losses; inner folds whose
-    training part lacks a class are left out; the first candidate of the least mean wins.
+    candidate's score is the plain mean of its inner folds' losses; an inner fold whose
+    training part has fewer than two classes, or that has no validation rows, can't be scored, and
+    ``inner_folds`` of the selections says how many could; the first candidate of the least mean wins. Seeds
+    differ by outer and inner fold.
     """
     grids = {d: grid(d) for d in decoders} | (grids or {})
     folds = list(m.folds if folds is None else folds)
@@ -98,10 +113,10 @@ def ladder(spark: SparkSession, m: Matrix, classes: int, decoders: Sequence[str]
     def work(t: dict, m: Matrix) -> pd.DataFrame:
         out = m.outer != t["f"]
         fit, val = out & (m.inner[:, t["f"]] != t["v"]), out & (m.inner[:, t["f"]] == t["v"])
-        if len(set(m.y[fit].tolist())) < classes or not val.any():
+        if len(set(m.y[fit].tolist())) < 2 or not val.any():
             return pd.DataFrame()
         z = _transform(m.x[fit], pca)
-        fitter = Fitter(z(m.x[fit]), m.y[fit], classes)
+        fitter = Fitter(z(m.x[fit]), m.y[fit], classes, SEED + 97 * t["f"] + t["v"])
         new = z(m.x[val])
         rows = []
         for i, g in enumerate(grids[t["d"]]):
@@ -110,20 +125,23 @@ def ladder(spark: SparkSession, m: Matrix, classes: int, decoders: Sequence[str]
         return pd.DataFrame(rows)
 
     scored = run(spark, tasks, m, work, "outer_fold int, decoder string, place int, loss double")
-    mean = scored.groupBy("outer_fold", "decoder", "place").agg(F.avg("loss").alias("mean_loss"))
+    mean = scored.groupBy("outer_fold", "decoder", "place").agg(F.avg("loss").alias("mean_loss"), F.count(F.lit(1)).alias("inner_folds"))
     n = F.row_number().over(Window.partitionBy("outer_fold", "decoder").orderBy(F.round("mean_loss", 12), "place"))
     best = {(r["outer_fold"], r["decoder"]): r for r in mean.withColumn("n", n).where("n = 1").collect()}  # a row per fold and decoder
+    lost = [(f, d) for f in folds for d in decoders if len(grids[d]) > 1 and (f, d) not in best]
+    if lost:
+        raise ValueError(f"no inner fold can be scored: {lost[:5]}")
     final = [{"f": f, "d": d, "place": best[f, d]["place"] if (f, d) in best else 0} for f in folds for d in decoders]
 
     def last(t: dict, m: Matrix) -> pd.DataFrame:
         test = m.outer == t["f"]
         z = _transform(m.x[~test], pca)
-        p = N.softmax(Fitter(z(m.x[~test]), m.y[~test], classes).scores(t["d"], z(m.x[test]), **grids[t["d"]][t["place"]]))
+        p = N.softmax(Fitter(z(m.x[~test]), m.y[~test], classes, SEED + 97 * t["f"]).scores(t["d"], z(m.x[test]), **grids[t["d"]][t["place"]]))
         return pd.DataFrame({"decoder": t["d"], "item_id": m.item[test].astype(str), "outer_fold": t["f"], "group_id": m.group[test].astype(str), "truth": m.y[test], "p": list(p)})
 
     oof = run(spark, final, m, last, "decoder string, item_id string, outer_fold int, group_id string, truth int, p array<double>")
-    picks = [(t["f"], t["d"], *[grids[t["d"]][t["place"]].get(k) for k in ("gamma", "c", "m")], best[t["f"], t["d"]]["mean_loss"] if (t["f"], t["d"]) in best else None) for t in final]
-    selections = spark.createDataFrame(picks, "outer_fold int, decoder string, gamma double, c double, m int, mean_loss double")
+    picks = [(t["f"], t["d"], *[grids[t["d"]][t["place"]].get(k) for k in ("gamma", "c", "m")], *([best[t["f"], t["d"]][k] for k in ("mean_loss", "inner_folds")] if (t["f"], t["d"]) in best else [None, None])) for t in final]
+    selections = spark.createDataFrame(picks, "outer_fold int, decoder string, gamma double, c double, m int, mean_loss double, inner_folds bigint")
     return oof, selections
 
 
