@@ -2,8 +2,8 @@
 
 A draw takes as many groups as there are, with replacement. Only group totals enter, so
 a draw costs the number of groups. In ``hash`` mode every draw is a function of seed, draw
-and place, computed where the data are; ``numpy`` mode repeats NumPy's generator on the
-driver, for at most ``MOST_NUMPY`` multiplicities.
+and place, computed where the data are; ``numpy`` mode repeats NumPy's generator, which is
+sequential, on the driver, and hands its multiplicities on in parts of ``MOST_NUMPY``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions.vocab import SEED
+from sparkgauge.session import Scratch
 
 MOST_NUMPY = 5_000_000
 
@@ -27,17 +28,17 @@ def group_totals(paired: DataFrame, group: str, a: str, b: str, item: str = "ite
 
 def numbered(totals: DataFrame, order: Sequence[str], out: str = "k") -> DataFrame:
     """``totals`` with ``out`` from 0 in the given order. Ranks are exact: by range partition, then within it."""
-    s = totals.sparkSession
-    ranged = totals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.persist()
-    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}
+    spark = totals.sparkSession
+    s = Scratch(spark, "numbered")
+    # the id holds the partition above 33 bits and the place within it below; written, both stay
+    ranged = s.keep(totals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_m", 33)
     starts, at = [], 0
-    for p in sorted(sizes):
-        starts.append((p, at))
-        at += sizes[p]
-    offsets = s.createDataFrame(starts or [(0, 0)], "_p int, _o bigint")
-    n = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_n", n).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_o") + F.col("_n")).drop("_p", "_n", "_o")
+    for r in ranged.groupBy(part.alias("_p")).count().orderBy("_p").collect():  # a row per partition
+        starts.append((r["_p"], at))
+        at += r["count"]
+    offsets = spark.createDataFrame(starts or [(0, 0)], "_p bigint, _o bigint")
+    return ranged.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(out, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_m", "_o")
 
 
 def hash_multiplicities(spark: SparkSession, n_groups: int, draws: int, seed: int = SEED) -> DataFrame:
@@ -47,15 +48,22 @@ def hash_multiplicities(spark: SparkSession, n_groups: int, draws: int, seed: in
     return grid.select("draw", (bits % n_groups).alias("k")).groupBy("draw", "k").agg(F.count(F.lit(1)).alias("m"))
 
 
-def numpy_multiplicities(spark: SparkSession, n_groups: int, draws: int, seed: int = SEED) -> DataFrame:
-    if n_groups * draws > MOST_NUMPY:
-        raise ValueError("too many multiplicities for the driver; use hash mode")
+def numpy_multiplicities(spark: SparkSession, n_groups: int, draws: int, seed: int = SEED, most: int = MOST_NUMPY) -> DataFrame:
+    """The same by NumPy's generator, draw after draw. Parts of about ``most`` multiplicities are written as they come."""
     rng = np.random.default_rng(seed)
-    rows = []
-    for d in range(draws):
-        c = np.bincount(rng.choice(n_groups, size=n_groups, replace=True), minlength=n_groups)
-        rows += [(d, int(k), int(c[k])) for k in np.nonzero(c)[0]]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["draw", "k", "m"]))
+    s, out = Scratch(spark, "multiplicities"), None
+    each = max(1, most // max(n_groups, 1))
+    for first in range(0, draws, each):
+        rows = []
+        for d in range(first, min(first + each, draws)):
+            c = np.bincount(rng.choice(n_groups, size=n_groups, replace=True), minlength=n_groups)
+            at = np.nonzero(c)[0]
+            rows.append(pd.DataFrame({"draw": np.full(len(at), d, dtype=np.int64), "k": at.astype(np.int64), "m": c[at].astype(np.int64)}))
+        part = spark.createDataFrame(pd.concat(rows))
+        if draws > each:
+            part = s.keep(part)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def paired_draws(paired: DataFrame, group: str, a: str, b: str, draws: int = 2000, seed: int = SEED, mode: str = "hash", item: str = "item_id") -> DataFrame:

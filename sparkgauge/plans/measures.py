@@ -37,7 +37,7 @@ def _oof(spark: SparkSession, d: str, gamma: float = GAMMA) -> DataFrame:
     return oof.nearest_centroid(_points(spark, d), gamma)
 
 
-_BASE = """e AS (SELECT vec_id AS item_id, label, vec_id % 5 AS fold, vec_id % 97 AS group_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+_BASE = """e AS (SELECT vec_id AS item_id, label, vec_id % 97 % 5 AS fold, vec_id % 97 AS group_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
 s AS (SELECT fold, label, pos, sum(v) AS s, count(*) AS n FROM e GROUP BY ALL),
 c AS (SELECT f.f, label, pos, sum(s) / sum(n) AS m FROM s JOIN range(5) f(f) ON fold <> f.f GROUP BY ALL),
 d AS (SELECT item_id, e.label AS truth, group_id, fold, c.label AS k, sum((v - m) * (v - m)) AS d2 FROM e JOIN c ON c.f = e.fold AND c.pos = e.pos GROUP BY ALL)"""
@@ -101,9 +101,9 @@ def m3_multiclass_metrics(spark, d):
 
 
 @query(
-    """WITH n AS (SELECT f.f, label, count(*) AS n FROM embeddings JOIN range(5) f(f) ON vec_id % 5 <> f.f WHERE embedding IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+    """WITH n AS (SELECT f.f, label, count(*) AS n FROM embeddings JOIN range(5) f(f) ON vec_id % 97 % 5 <> f.f WHERE embedding IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
 g AS (SELECT f.f, k.k, coalesce(n, 0) AS n FROM range(5) f(f) CROSS JOIN range(10) k(k) LEFT JOIN n ON n.f = f.f AND n.label = k.k), c AS (SELECT f, k, greatest(n / sum(n) OVER (PARTITION BY f), 1e-12) AS p FROM g),
-p AS (SELECT f, k, p / sum(p) OVER (PARTITION BY f) AS p FROM c), e AS (SELECT vec_id, label, vec_id % 5 AS f FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
+p AS (SELECT f, k, p / sum(p) OVER (PARTITION BY f) AS p FROM c), e AS (SELECT vec_id, label, vec_id % 97 % 5 AS f FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
 SELECT e.f::INTEGER AS outer_fold, count(*)::BIGINT AS n, round(avg(-log2(p)), 6) AS log_loss_bits FROM e JOIN p ON p.f = e.f AND p.k = e.label GROUP BY 1"""
 )
 def prior_decoder(spark, d):
@@ -197,22 +197,21 @@ def partition_metrics(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), v AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM e),
-d AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label, sum((a.v - b.v) * (a.v - b.v)) AS d2 FROM v a JOIN v b ON a.pos = b.pos WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 GROUP BY ALL),
+    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), v AS (SELECT vec_id, vec_id % 97 % 5 AS fold, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM e),
+d AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label, sum((a.v - b.v) * (a.v - b.v)) AS d2 FROM v a JOIN v b ON a.pos = b.pos AND a.fold <> b.fold GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS r FROM d), n AS (SELECT *, min(d2) OVER (PARTITION BY i) AS least FROM k WHERE r <= 5),
 w AS (SELECT i, label, sum(CASE WHEN least <= 1e-24 THEN (d2 <= 1e-24)::INTEGER ELSE 1 / d2 END) AS w FROM n GROUP BY ALL)
 SELECT i AS test_id, arg_min(label, (-w, label)) AS predicted FROM w GROUP BY i"""
 )
 def nearest_neighbours(spark, d):
-    """Five nearest training rows of every test row, voting by inverse squared distance."""
+    """Five nearest rows of the other folds for every row, voting by inverse squared distance."""
     p = _points(spark, d)
-    test = p.where("outer_fold = 0").select(F.col("item_id").alias("test_id"), "x")
-    train = p.where("outer_fold <> 0").select(F.col("item_id").alias("train_id"), "x", "label")
-    near = G.nearest(test, train.select("train_id", "x"), 5)
-    return G.vote_inverse_distance(near, train.select("train_id", "label"))
+    test, train = p.select(F.col("item_id").alias("test_id"), "x", "outer_fold"), p.select(F.col("item_id").alias("train_id"), "x", "outer_fold")
+    near = G.nearest(test, train, 5, apart="outer_fold")
+    return G.vote_inverse_distance(near, p.select(F.col("item_id").alias("train_id"), "label"))
 
 
-DRAWS = 200
+DRAWS = 2000
 _PAIRED = f"{_BASE}, {_p(GAMMA, 'pa')}, {_p(GAMMA_B, 'pb')}, pr AS (SELECT a.item_id, a.group_id, -log2(greatest(a.p, 1e-15)) AS la, -log2(greatest(b.p, 1e-15)) AS lb FROM pa a JOIN pb b USING (item_id, k) WHERE k = a.truth)"
 _DRAWS = f"""g AS (SELECT group_id, min(item_id) AS first, count(*) AS n, sum(la) AS sa, sum(lb) AS sb FROM pr GROUP BY 1), gk AS (SELECT *, row_number() OVER (ORDER BY first, group_id) - 1 AS k FROM g), gn AS (SELECT count(*) AS gn FROM g),
 pick AS (SELECT draw.draw, ('0x' || substr(sha256('{SEED}|' || draw.draw || '|' || j.j), 1, 7))::BIGINT % gn AS k FROM range({DRAWS}) draw(draw), gn, range((SELECT gn FROM gn)) j(j)),

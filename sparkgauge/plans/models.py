@@ -46,7 +46,7 @@ def _appraisals(spark: SparkSession, d: str) -> Matrix:
 
 
 def _embeddings(spark: SparkSession, d: str, blocks: tuple[int, ...] | None = None) -> Matrix:
-    p = oof.embedding_points(table(spark, d, "embeddings")).withColumn("group_id", F.col("item_id"))
+    p = oof.embedding_points(table(spark, d, "embeddings"))
     return collect_matrix(p, "item_id", "x", "label", "group_id", "outer_fold", 5, blocks=blocks)
 
 

@@ -11,9 +11,9 @@ FOLDS = 5
 
 
 def embedding_points(embeddings: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(item_id, label, x, outer_fold, group_id) of the embeddings table."""
+    """(item_id, label, x, outer_fold, group_id) of the embeddings table. A group, the id modulo 97, lies in one fold."""
     return embeddings.where("embedding is not null and label is not null").select(
-        F.col("vec_id").alias("item_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("vec_id") % folds).cast("int").alias("outer_fold"), (F.col("vec_id") % 97).alias("group_id")
+        F.col("vec_id").alias("item_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"), (F.col("vec_id") % 97 % folds).cast("int").alias("outer_fold"), (F.col("vec_id") % 97).alias("group_id")
     )
 
 

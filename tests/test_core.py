@@ -360,3 +360,34 @@ def test_hot_bound_has_a_ceiling():
     assert skew.hot_bound(10**9) == 2_000_000
     assert skew.hot_bound(10**12) == skew.HOT_CEILING
     assert skew.hot_bound(10**14) == 10**14 / 20_000
+
+
+def test_neighbours_by_cells_equal_brute_force(spark):
+    import numpy as np
+    from sparkgauge.operators import geometry as G
+
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.normal(size=(250, 4)) + 4 * r.integers(0, 3, size=(250, 1)), np.ones((150, 4))])  # a third of the points is one and the same
+    fold = r.integers(0, 3, size=400)
+    df = spark.createDataFrame([(int(i), v.tolist(), int(f)) for i, (v, f) in enumerate(zip(x, fold))], "id bigint, x array<double>, f int")
+    test, train = df.withColumnRenamed("id", "test_id"), df.withColumnRenamed("id", "train_id")
+    want = {}
+    for i in range(400):
+        d = ((x[i] - x) ** 2).sum(1)
+        d[fold == fold[i]] = np.inf
+        want[i] = sorted((d[j], j) for j in range(400))[:3]
+    for most in (None, 0):
+        got = {}
+        for q in G.nearest(test, train, 3, apart="f", block=32, most=most).collect():
+            got.setdefault(q["test_id"], []).append((q["d2"], q["train_id"]))
+        assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items()}
+    assert G.nearest(test, train.limit(0), 3).count() == 0
+
+
+def test_numpy_draws_in_parts(spark):
+    from sparkgauge.operators import bootstrap as B
+
+    a = sorted(map(tuple, B.numpy_multiplicities(spark, 7, 9).collect()))
+    assert a == sorted(map(tuple, B.numpy_multiplicities(spark, 7, 9, most=20).collect()))
+    n = sorted((r["v"], r["k"]) for r in B.numbered(spark.createDataFrame([(f"{i * 7919 % 1000:03d}",) for i in range(1000)], "v string"), ["v"]).collect())
+    assert n == [(f"{i:03d}", i) for i in range(1000)]
