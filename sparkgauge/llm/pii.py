@@ -26,6 +26,7 @@ import copy
 import re
 import unicodedata
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -149,6 +150,10 @@ def _view(text: str) -> tuple[str, list[int] | None]:
 
 _LAST = re.compile(rf"((?:(?<![^\W\d_])[^\W\d_]\.)|{_W})()$")
 _WORDS = re.compile(_W)
+# words that are counted: none of addresses, handles and links
+_COUNTED = re.compile(r"(?<![\w@#+./-])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\w@])")
+_ONE = (1).__eq__
+_INITIAL = re.compile(r"(?<!\w)[^\W\d_a-z]\. ?[^\W\d_]")
 _TITLE_WORDS = frozenset("dhr mevr mw mr mrs ms miss dr prof sir mevrouw meneer heer dhr. mevr. mr. mrs. dr. prof.".split())
 
 
@@ -158,7 +163,7 @@ def _lower(v: str) -> str:
     return low if len(low) == len(v) else "".join(c.lower() if len(c.lower()) == 1 else c for c in v)
 
 
-_ZERO = {ord(str(d)): "0" for d in range(1, 10)}
+_DIGITS = re.compile("[1-9]")
 
 
 class _Spans:
@@ -194,6 +199,7 @@ class Finder:
 
     def __init__(self, names: Iterable[tuple[str, str]], common: Iterable[str] = ()):
         self.common = frozenset(common)
+        self.own = False
         self._take(names)
         keys: dict[str, set[tuple[str, str]]] = {}
         add = lambda k, what: keys.setdefault(k, set()).add((what, k))
@@ -226,6 +232,8 @@ class Finder:
             add(k, "before")
         for k in PERSON_AFTER:
             add(k, "after")
+        for k in self.names:
+            add(k, "known")
         self.auto = ahocorasick.Automaton()
         for k, v in keys.items():
             self.auto.add_word(k, tuple(v))
@@ -244,9 +252,10 @@ class Finder:
             self.last.setdefault(n.split()[-1], []).append(n)
 
     def knowing(self, names: Iterable[tuple[str, str]]) -> Finder:
-        """The same with other names, for one text's own."""
+        """The same with one text's own names too, which are looked up word by word."""
         out = copy.copy(self)
-        out._take(names)
+        out._take([*self.names.items(), *names])
+        out.own = True
         return out
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -254,10 +263,10 @@ class Finder:
         v, at = _view(text)
         low = _lower(v)
         hits: dict[str, list[tuple[int, str]]] = {}
-        for end, found in self.auto.iter(low.translate(_ZERO)):
+        for end, found in self.auto.iter(_DIGITS.sub("0", low)):
             for what, key in found:
                 hits.setdefault(what, []).append((end + 1 - len(key), key))
-        if any(w in self.last for w in _WORDS.findall(low)):
+        if self.own:
             hits["known"] = self._known(low)
         if not hits:
             return []
@@ -503,14 +512,12 @@ class Finder:
 # learning names from the corpus
 
 
-def beside_names(text: str, given: frozenset[str], family: frozenset[str]) -> Iterator[tuple[str, bool, int, int]]:
-    """(word, whether with a capital, 1 if it stands where a given name stands, 1 where a family name does) of every word of ``text``.
+def beside_names(v: str, low: str, given: frozenset[str], family: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+    """(word, 1 if it stands where a given name stands, 1 where a family name does) of the words of ``v`` that stand so.
 
     A family name stands after a given one, a title or an initial, over particles; a given name before a family name, or after
     one and a comma. Words of addresses, handles and links are left out.
     """
-    v, _ = _view(text)
-    low = _lower(v)
     found = [(m.start(), m.end()) for m in _TOKEN.finditer(v)]
     words = [low[a:b] for a, b in found]
     n = len(found)
@@ -545,38 +552,49 @@ def beside_names(text: str, given: frozenset[str], family: frozenset[str]) -> It
                 place.setdefault(j, (1, 0))
             if gap(i) == ", ":
                 place.setdefault(i + 1, (1, 0))
-    for i, (a, b) in enumerate(found):
-        if (a and v[a - 1] in "@#+._/-") or (b < len(v) and v[b] in "@_") or words[i].endswith(".") or words[i] in PARTICLES or words[i] in _TITLE_WORDS:
-            continue
-        yield words[i], v[a].isupper(), *place.get(i, (0, 0))
+    for i, of in place.items():
+        a, b = found[i]
+        if not ((a and v[a - 1] in "@#+._/-") or (b < len(v) and v[b] in "@_") or words[i].endswith(".")):
+            yield words[i], *of
 
 
 def word_statistics(rows: DataFrame, text: str, names: Iterable[tuple[str, str]]) -> DataFrame:
     """(word, n, capitals, as_given, as_family) over all texts; counts are added up within a task before they are shuffled."""
     seeds = [(x.strip().lower().split()[-1], k) for x, k in names if x and x.strip() and x.strip().lower() not in ORDINARY]
     given, family = frozenset(w for w, k in seeds if k == "given"), frozenset(w for w, k in seeds if k != "given")
-
-    def table(seen: dict[str, list[int]]) -> pa.RecordBatch:
-        cols = [list(seen), *([c[k] for c in seen.values()] for k in range(4))]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["word", "n", "capitals", "as_given", "as_family"])
+    anchors = given | family | _TITLE_WORDS
+
+    def table(seen: Counter, beside: dict[str, list[int]]) -> pa.RecordBatch:
+        """Words as they were written become words in lower case; titles and particles are no names."""
+        rows: dict[str, list[int]] = {}
+        for w, n in seen.items():
+            r = rows.setdefault(_lower(w), [0, 0, 0, 0])
+            r[0] += n
+            r[1] += n if w[0].isupper() else 0
+        for w, of in beside.items():
+            r = rows.setdefault(w, [0, 0, 0, 0])
+            r[2] += of[0]
+            r[3] += of[1]
+        for w in PARTICLES | _TITLE_WORDS:
+            rows.pop(w, None)
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *[pa.array([r[k] for r in rows.values()], pa.int64()) for k in range(4)]], names=["word", "n", "capitals", "as_given", "as_family"])
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
+        seen, beside = Counter(), {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w, cap, g, f in beside_names(t, given, family):
-                    c = seen.get(w)
-                    if c is None:
-                        seen[w] = [1, int(cap), g, f]
-                    else:
-                        c[0] += 1
-                        c[1] += cap
-                        c[2] += g
-                        c[3] += f
+                v, _ = _view(t)
+                words = _COUNTED.findall(v)
+                seen.update(words)
+                if not anchors.isdisjoint(map(str.lower, words)) or (any(map(_ONE, map(len, words))) and _INITIAL.search(v)):
+                    for w, g, f in beside_names(v, _lower(v), given, family):
+                        of = beside.setdefault(w, [0, 0])
+                        of[0] += g
+                        of[1] += f
             if len(seen) > _VOCABULARY:
-                yield table(seen)
-                seen = {}
-        yield table(seen)
+                yield table(seen, beside)
+                seen, beside = Counter(), {}
+        yield table(seen, beside)
 
     got = rows.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, n bigint, capitals bigint, as_given bigint, as_family bigint")
     return got.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "capitals", "as_given", "as_family")])
