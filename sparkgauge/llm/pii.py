@@ -33,7 +33,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -838,18 +838,24 @@ def finder(names: tuple[tuple[str, str], ...], common: tuple[str, ...] = ()) ->
 
 
 def _ready(rows: DataFrame, text: str, lexicon: Lexicon) -> tuple[DataFrame, Callable]:
-    """``rows`` with ``_own``, and a function that makes an Arrow UDF of the text and ``_own`` from one of a text and a Finder."""
+    """``rows``, with ``_own`` where texts meet their own names, and a maker of the column of a function of a text and a Finder."""
     shared = rows.sparkSession.sparkContext.broadcast((lexicon.names, lexicon.common))  # at most MOST_NAMES and 1 / COMMON_SHARE words
-    rows = _with_own_names(rows, text, lexicon) if lexicon.table is not None else rows.withColumn("_own", F.lit(None).cast("array<struct<name:string,name_type:string>>"))
+    own = lexicon.table is not None
+    if own:
+        rows = _with_own_names(rows, text, lexicon)
 
-    def over(work: Callable[[str, Finder], object], kind, arrow: pa.DataType) -> Callable:
+    def over(work: Callable[[str, Finder], object], kind, arrow: pa.DataType) -> Column:
         @F.arrow_udf(kind)
-        def each(texts: pa.Array, own: pa.Array) -> pa.Array:
+        def plain(texts: pa.Array) -> pa.Array:
             f = finder(*shared.value)
-            plain = own.null_count == len(own)
-            return pa.array([None if t is None else work(t, f if not mine else f.knowing((x["name"], x["name_type"]) for x in mine)) for t, mine in zip(texts.to_pylist(), [None] * len(texts) if plain else own.to_pylist())], arrow)
+            return pa.array([None if t is None else work(t, f) for t in texts.to_pylist()], arrow)
 
-        return each
+        @F.arrow_udf(kind)
+        def knowing(texts: pa.Array, names: pa.Array) -> pa.Array:
+            f = finder(*shared.value)
+            return pa.array([None if t is None else work(t, f.knowing((x["name"], x["name_type"]) for x in mine or ())) for t, mine in zip(texts.to_pylist(), names.to_pylist())], arrow)
+
+        return knowing(F.col(text), F.col("_own")) if own else plain(F.col(text))
 
     return rows, over
 
@@ -872,12 +878,13 @@ def replace(text: str, f: Finder) -> str:
 def redacted(rows: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     """``rows`` with typed placeholders in the column ``text``."""
     ready, over = _ready(rows, text, lexicon)
-    return ready.withColumn(text, over(replace, StringType(), pa.string())(F.col(text), F.col("_own"))).drop("_own")
+    ready = ready.withColumn(text, over(replace, StringType(), pa.string()))
+    return ready.drop("_own") if lexicon.table is not None else ready
 
 
 def found(rows: DataFrame, keys: list[str], text: str, lexicon: Lexicon) -> DataFrame:
     """Distinct ``keys`` with pii_kind, one row for each kind that the text holds."""
     ready, over = _ready(rows.select(*keys, F.col(text).alias("_text")), "_text", lexicon)
-    bits = ready.select(*keys, over(_bits, IntegerType(), pa.int32())(F.col("_text"), F.col("_own")).alias("_bits")).where("_bits > 0")
+    bits = ready.select(*keys, over(_bits, IntegerType(), pa.int32()).alias("_bits")).where("_bits > 0")
     each = F.array(*[F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for i, k in enumerate(KINDS)])
     return bits.select(*keys, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("pii_kind")).distinct()
