@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkgauge.operators.skew import hot_join
@@ -39,9 +39,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         big = s.keep(_large(live, s.rows(live)))
-        after = s.keep(_small(big, s.rows(big)))
+        # counted while it is written: the table tells whether an edge changed, without another pass over it
+        seen_now = Observation()
+        after = s.keep(_small(big, s.rows(big)).observe(seen_now, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
         s.drop(big)
-        mark = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        mark = (seen_now.get["n"], seen_now.get["h"])
         s.drop(live)
         live = after
         if seen == mark:
@@ -56,23 +58,28 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 def member_digests(members: DataFrame, group: str, member: str) -> DataFrame:
     """(group, digest): SHA-256 of each group's members in order, joined by a zero character.
 
-    Members stream through the task that holds their group in sorted order; none is kept.
+    Members stream through the task that holds their group in sorted order, a batch at a time; none is kept. The digest of a whole
+    group is sequential by definition, so the largest group bounds the time of one task.
     """
 
     def run(batches):
         current, h = None, None
         for b in batches:
-            groups, digests = [], []
-            for g, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if g != current:
+            if not b.num_rows:
+                continue
+            groups, members = b.column(0).to_pylist(), b.column(1).to_pylist()
+            starts = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
+            done = []
+            for a, z in zip(starts, starts[1:]):
+                run = "\0".join(members[a:z]).encode()
+                if groups[a] != current:
                     if h is not None:
-                        groups.append(current)
-                        digests.append(h.hexdigest())
-                    current, h = g, hashlib.sha256(m.encode())
+                        done.append((current, h.hexdigest()))
+                    current, h = groups[a], hashlib.sha256(run)
                 else:
-                    h.update(b"\0" + m.encode())
-            if groups:
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(digests, pa.string())], names=["g", "digest"])
+                    h.update(b"\0" + run)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], pa.string()), pa.array([d for _, d in done], pa.string())], names=["g", "digest"])
         if h is not None:
             yield pa.RecordBatch.from_arrays([pa.array([current], pa.string()), pa.array([h.hexdigest()], pa.string())], names=["g", "digest"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkgauge.functions import text as T
 from sparkgauge.functions.vocab import APPRAISALS, CLUSTERS, EMOTIONS, LABEL_CLUSTER, SEED, cluster_column, count_column, prob_column
 from sparkgauge.operators import checks, components, folds, ingest
-from sparkgauge.session import table
+from sparkgauge.session import Scratch, table
 
 QUERIES = {}
 SQL = {}
@@ -312,26 +312,92 @@ def set_operations(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def _labelled(spark, d):
+    return _generation(spark, d).where(F.col("y_writer").isin(*EMOTIONS)).select("item_id", "writer_id", "y_writer", "hidden_emo_text")
+
+
+def _writer_rows(spark, d):
+    return folds.writer_rows(_labelled(spark, d), T.plain_text(F.col("hidden_emo_text")), EMOTIONS)
+
+
+def _tweet_rows(spark, d):
+    return folds.tweet_rows(_tweets(spark, d), T.plain_text(F.col("text")), [cluster_column(c) for c in CLUSTERS])
+
+
+def _sound(names) -> str:
+    """A report without a violation."""
+    return _rows([f"SELECT '{n}' AS check_name, 0::BIGINT AS violations" for n in names])
+
+
+_OUTER = ("repeated_item", "null_fold", "fold_out_of_range", "fold_unused", "group_crosses_folds", "identity_crosses_folds", "identity_in_two_groups", "item_missing", "item_unexpected")
+_INNER = ("repeated_item", "group_differs", "identity_differs", "test_item_in_training", "group_crosses_folds", "item_missing")
+_EXTERNAL = ("repeated_item", "unknown_role", "test_not_sealed", "writer_on_both_sides", "component_on_both_sides", "other_role", "inner_is_not_training", "inner_fold_out_of_range", "inner_group_crosses_folds")
+
+
 @query()
 def writer_folds(spark, d):
     """Stratified group folds of the writers' items by emotion; the algorithm is iterative."""
-    g = _generation(spark, d).where(F.col("y_writer").isin(*EMOTIONS)).select("item_id", "writer_id", "y_writer", "hidden_emo_text")
-    outer, _ = folds.writer_splits(g, T.plain_text(F.col("hidden_emo_text")), EMOTIONS)
-    return outer
+    return _writer_rows(spark, d).outer()
 
 
 @query()
 def writer_inner_folds(spark, d):
-    g = _generation(spark, d).where(F.col("y_writer").isin(*EMOTIONS)).select("item_id", "writer_id", "y_writer", "hidden_emo_text")
-    _, inner = folds.writer_splits(g, T.plain_text(F.col("hidden_emo_text")), EMOTIONS)
-    return inner
+    return _writer_rows(spark, d).nested()[1]
 
 
 @query()
 def tweet_folds(spark, d):
-    cols = [cluster_column(c) for c in CLUSTERS]
-    outer, _ = folds.tweet_splits(_tweets(spark, d), T.plain_text(F.col("text")), cols)
-    return outer
+    return _tweet_rows(spark, d).outer()
+
+
+@query(_sound(_OUTER))
+def writer_folds_audit(spark, d):
+    """What the folds promise, each breach counted."""
+    return folds.outer_checks(Scratch(spark, "audit").keep(writer_folds(spark, d)), _labelled(spark, d), "writer_id")
+
+
+@query(_sound(_INNER))
+def writer_inner_folds_audit(spark, d):
+    s = Scratch(spark, "audit")
+    o, i = _writer_rows(spark, d).nested()
+    return folds.inner_checks(s.keep(o), s.keep(i), "writer_id")
+
+
+@query(_sound(_OUTER))
+def tweet_folds_audit(spark, d):
+    return folds.outer_checks(Scratch(spark, "audit").keep(tweet_folds(spark, d)), _tweets(spark, d), "conversation_id")
+
+
+@query(f"WITH g AS ({_GEN}) SELECT y_writer AS label, count(*)::BIGINT AS n, true AS even FROM g WHERE y_writer IN ({quoted(EMOTIONS)}) GROUP BY 1")
+def writer_folds_balance(spark, d):
+    """Items of each emotion over all folds, and whether no fold's share is off by more than the largest group's share and a twentieth."""
+    s = Scratch(spark, "audit")
+    f = s.keep(writer_folds(spark, d))
+    shares = folds.fold_shares(f, _labelled(spark, d), "y_writer")
+    per = f.join(_labelled(spark, d).select("item_id", "y_writer"), "item_id").groupBy("y_writer", "group_id").count().groupBy(F.col("y_writer").alias("label")).agg((F.max("count") / F.sum("count")).alias("top"))
+    j = shares.join(per, "label").groupBy("label").agg(F.sum("n").alias("n"), F.max(F.abs(F.col("share") - 0.2)).alias("off"), F.max("top").alias("top"), F.count(F.lit(1)).alias("k"))
+    # a fold without an item of the label has no row and a share of 0
+    off = F.when(F.col("k") < 5, F.greatest("off", F.lit(0.2))).otherwise(F.col("off"))
+    return j.select("label", "n", (off <= F.col("top") + 0.05).alias("even"))
+
+
+def _bundle(spark, d) -> dict:
+    v = table(spark, d, "validation").where(F.col("y_reader_majority").isin(*EMOTIONS)).select("item_id", "y_reader_majority")
+    g = _labelled(spark, d)
+    v = v.join(g.select("item_id"), "item_id", "left_semi")  # the shipped table holds items that were never delivered
+    b = folds.split_bundle(g, v, _tweets(spark, d), T.plain_text(F.col("hidden_emo_text")), T.plain_text(F.col("text")), EMOTIONS, [cluster_column(c) for c in CLUSTERS])
+    s = Scratch(spark, "eight")
+    return {k: s.keep(t) for k, t in b.items()}
+
+
+@query(
+    _rows([f"SELECT '{n}' AS check_name, 0::BIGINT AS violations" for n in ("full_external", "reader_external_test")] + [f"SELECT '{t}.{n}' AS check_name, 0::BIGINT AS violations" for t in ("crowd_full", "crowd_reader", "emotwics") for n in _INNER] + [f"SELECT 'external.{n}' AS check_name, 0::BIGINT AS violations" for n in _EXTERNAL])
+)
+def split_bundle_audit(spark, d):
+    """The eight split tables against each other."""
+    b = _bundle(spark, d)
+    e = folds.external_checks(b["crowd_external"], b["crowd_external_inner"], b["crowd_reader_outer"].select("item_id"))
+    return folds.bundle_checks(b).unionByName(e.withColumn("check_name", F.concat_ws(".", F.lit("external"), "check_name")))
 
 
 _LINE = " || ',' || ".join(f"""'"{c}":' || coalesce('"' || {c} || '"', 'null')""" for c in ("group_id", "item_id", "test_fold", "writer_id"))
