@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgauge.functions import arrays as A
+from sparkgauge.operators.tasks import dense
 from sparkgauge.session import Scratch
 
 #: Sites that go to every task at once.
@@ -119,12 +120,6 @@ def _top(i: np.ndarray, a: np.ndarray, fi: np.ndarray, j: np.ndarray, b: np.ndar
     return pa.table({"i": pa.array(np.concatenate(out[0]), pa.int64()), "j": pa.array(np.concatenate(out[1]), pa.int64()), "d2": pa.array(np.concatenate(out[2]), pa.float64())})
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """Lists of one length as a matrix, without Python objects."""
-    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
 def nearest(test: DataFrame, train: DataFrame, k: int, test_id: str = "test_id", train_id: str = "train_id", apart: str | None = None, block: int = 4096, most: int | None = None) -> DataFrame:
     """(test_id, train_id, d2): the k nearest training rows, ties by training id, exact.
 
@@ -143,22 +138,22 @@ def nearest(test: DataFrame, train: DataFrame, k: int, test_id: str = "test_id",
     best = lambda df: df.withColumn("n", F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))).where(F.col("n") <= k).drop("n")
     if rows * (width + 2) * 8 <= (MOST_POINTS if most is None else most):
         got = r.toArrow()
-        shared = spark.sparkContext.broadcast((got.column("j").to_numpy(), _matrix(got.column("xj"), width or 1), got.column("fj").to_numpy()))
+        shared = spark.sparkContext.broadcast((got.column("j").to_numpy(), dense(got.column("xj"), width or 1), got.column("fj").to_numpy()))
 
         def scan(batches):
             for b in batches:
-                yield from _top(b.column(0).to_numpy(), _matrix(b.column(1), width or 1), b.column(2).to_numpy(), *shared.value, k).to_batches()
+                yield from _top(b.column(0).to_numpy(), dense(b.column(1), width or 1), b.column(2).to_numpy(), *shared.value, k).to_batches()
 
         found = t.mapInArrow(scan, _FOUND)
         return found.select(F.col("i").alias(test_id), F.col("j").alias(train_id), "d2")
     s = Scratch(spark, "nearest")
     pivots = r.orderBy(F.xxhash64("j"), "j").limit(max(1, min(MOST_PIVOTS, rows // block))).toArrow()
-    centre = spark.sparkContext.broadcast(_matrix(pivots.column("xj"), width))
+    centre = spark.sparkContext.broadcast(dense(pivots.column("xj"), width))
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(1), width)
+                x = dense(b.column(1), width)
                 d = np.array([((row - centre.value) ** 2).sum(1) for row in x])
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(d.argmin(1), pa.int32()), pa.array(np.sqrt(d.min(1)), pa.float64())], names=["j", "xj", "fj", "cell", "away"])
 
@@ -180,7 +175,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int, test_id: str = "test_id",
         for b in batches:
             if b.num_rows:
                 out = []
-                for row in _matrix(b.column(1), width):
+                for row in dense(b.column(1), width):
                     d = ((row - centre.value) ** 2).sum(1)
                     order = np.argsort(d, kind="stable")
                     out.append(order[: int(np.searchsorted(np.cumsum(size[order]), k) + 1)].tolist())
@@ -192,7 +187,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int, test_id: str = "test_id",
         for b in batches:
             if b.num_rows:
                 out = []
-                for row, home, far in zip(_matrix(b.column(1), width), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                for row, home, far in zip(dense(b.column(1), width), b.column(3).to_pylist(), b.column(4).to_pylist()):
                     reach = np.inf if far is None else np.sqrt(far) * (1 + 1e-9) + 1e-12
                     d = np.sqrt(((row - centre.value) ** 2).sum(1))
                     may = (size > 0) & (d - radius <= reach)
@@ -206,7 +201,7 @@ def nearest(test: DataFrame, train: DataFrame, k: int, test_id: str = "test_id",
         b = in_blocks(placed.select("j", "xj", "fj", "cell")).withColumn("part", F.pmod(F.xxhash64("j"), many).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            return _top(left.column("i").to_numpy(), _matrix(left.column("xi"), width), left.column("fi").to_numpy(), right.column("j").to_numpy(), _matrix(right.column("xj"), width), right.column("fj").to_numpy(), k)
+            return _top(left.column("i").to_numpy(), dense(left.column("xi"), width), left.column("fi").to_numpy(), right.column("j").to_numpy(), dense(right.column("xj"), width), right.column("fj").to_numpy(), k)
 
         pairs = a.select("i", "xi", "fi", "cell", "part", "salt").groupBy("cell", "part", "salt").cogroup(b.select("j", "xj", "fj", "cell", "part", "salt").groupBy("cell", "part", "salt"))
         return pairs.applyInArrow(run, _FOUND)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkgauge.functions import numeric as N
 from sparkgauge.functions.vocab import C_GRID, MULTIPLIERS, THRESHOLDS
-from sparkgauge.operators.tasks import Matrix, run
+from sparkgauge.operators import big_probes
+from sparkgauge.operators.tasks import MOST_BYTES, Matrix, collect_matrix, fits_driver, run
 
 
 def prepare(train: np.ndarray, blocks: Sequence[int], multiplier: float, pca: dict[int, int] | None = None):
@@ -179,3 +180,12 @@ def nested_multilabel(spark: SparkSession, m: Matrix, labels: int, grid: Sequenc
         return pd.DataFrame({"item_id": m.item[test].astype(str), "outer_fold": t["f"], "threshold": t["t"], "group_id": m.group[test].astype(str), "y": list(m.y[test]), "p": list(p)})
 
     return run(spark, final, m, last, "item_id string, outer_fold int, threshold double, group_id string, y array<int>, p array<double>"), selected
+
+
+def probe_table(df: DataFrame, item: str, features: str, target: str, group: str, outer: str, outer_folds: int, classes: int, grid: Sequence[float] = C_GRID, metric: str = "log_loss", most: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Nested probe of a feature table, by its size: fits as tasks over the broadcast matrix, or fits over the distributed rows."""
+    if fits_driver(df, features, most):
+        return nested_multiclass(df.sparkSession, collect_matrix(df, item, features, target, group, outer, outer_folds, most=most), classes, grid, metric=metric)
+    if metric != "log_loss":
+        raise ValueError("beyond the matrix's bound candidates are chosen by loss")
+    return big_probes.nested_multiclass(df, item, features, target, group, outer, range(outer_folds), classes, grid)

@@ -60,7 +60,7 @@ def _part(m: Matrix, keep: str) -> Matrix:
 @query
 def appraisal_probe(spark, d):
     """Nested probe of the 21 appraisals on the writer's emotion: metrics of its out-of-fold table."""
-    o, _ = P.nested_multiclass(spark, _appraisals(spark, d), len(EMOTIONS))
+    o, _ = P.probe_table(appraisal_points(table(spark, d, "generation")), "item_id", "x", "label", "writer_id", "outer_fold", 5, len(EMOTIONS))
     return M.multiclass(Scratch(spark, "probe").keep(o))
 
 

@@ -125,3 +125,17 @@ def test_absent_classes_get_no_probability():
     for d, a in (("D1", {"gamma": 1.0}), ("D2", {"c": 1.0}), ("D3", {"c": 1.0}), ("D4", {"gamma": 1.0, "m": 2})):
         p = N.softmax(f.scores(d, x, **a))
         assert p[:, 2].max() == 0 and np.allclose(p.sum(1), 1)
+
+
+def test_probes_by_size_agree(spark):
+    x, y = blobs(7, n=180)
+    rows = [(i, v.tolist(), int(k), f"g{i // 3}", (i // 3) % 2) for i, (v, k) in enumerate(zip(x * [1, 10, 0.1] + 3, y))]
+    df = spark.createDataFrame(rows, "item_id bigint, x array<double>, label int, grp string, fold int")
+    grid = (0.01, 1.0)
+    got = {}
+    for most in (1 << 30, 0):
+        o, s = P.probe_table(df, "item_id", "x", "label", "grp", "fold", 2, 3, grid, most=most)
+        got[most] = ({r["item_id"]: r["p"] for r in o.collect()}, sorted((r["outer_fold"], r["c"]) for r in s.collect()))
+    (a, sa), (b, sb) = got.values()
+    assert sa == sb and a.keys() == b.keys() and len(a) == 180
+    assert max(np.abs(np.array(a[k]) - b[k]).max() for k in a) < 5e-3
