@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkgauge.functions import arrays as A
 from sparkgauge.functions.vocab import SEED
 from sparkgauge.session import Scratch
 
@@ -178,3 +179,32 @@ def standardized_regressions(df: DataFrame, outcome: str, predictors: Sequence[s
             yield pd.DataFrame(out, columns=[*by, "n", "matrix_rank", *[f"beta_{x}" for x in predictors], "r_squared", "status"])
 
     return agg.mapInPandas(solve, schema)
+
+
+DIAGNOSTICS = {"f1": True, "loss_bits": False, "brier": False}
+
+
+def class_totals(oof: DataFrame, by: Sequence[str] = (), group: str = "group_id") -> DataFrame:
+    """(by, group, class, n, support, said, tp, loss, square): what a group adds to each class's diagnostics, one against the rest."""
+    d = oof.withColumn("_hat", A.argmax(F.col("p")))
+    long = d.select(*by, F.col(group).alias("g"), "truth", "_hat", F.posexplode("p").alias("class", "s"))
+    y, hat = (F.col("class") == F.col("truth")).cast("int"), (F.col("class") == F.col("_hat")).cast("int")
+    return long.groupBy(*by, "g", "class").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("support"), F.sum(hat).alias("said"), F.sum(y * hat).alias("tp"), F.sum(A.cell_bits(y, F.col("s"))).alias("loss"), F.sum(F.pow(F.col("s") - y, F.lit(2.0))).alias("square"))
+
+
+def class_draws(totals: DataFrame, multiplicities: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, draw, class, diagnostic, value): F1, loss and Brier score of each class in each draw, from the groups' totals alone.
+
+    ``multiplicities`` has draw, g and m; a draw costs its groups times the classes, whatever the number of items.
+    """
+    w = totals.join(multiplicities, "g")
+    add = lambda c: F.sum(F.col("m") * F.col(c)).alias(c)
+    v = w.groupBy(*by, "draw", "class").agg(*[add(c) for c in ("n", "support", "said", "tp", "loss", "square")])
+    f1 = F.when(F.col("support") + F.col("said") > 0, 2 * F.col("tp") / (F.col("support") + F.col("said"))).otherwise(0.0)
+    return v.select(*by, "draw", "class", F.explode(F.create_map(F.lit("f1"), f1, F.lit("loss_bits"), F.col("loss") / F.col("n"), F.lit("brier"), F.col("square") / F.col("n"))).alias("diagnostic", "value"))
+
+
+def diagnostic_ranks(values: DataFrame, by: Sequence[str], digits: int = 9) -> DataFrame:
+    """``values`` with ``rank``, 1 for the best class of each group of ``by``: the greatest F1, the least loss. Ties share their mean rank."""
+    better = F.when(F.col("diagnostic").isin(*[k for k, up in DIAGNOSTICS.items() if up]), -F.col("value")).otherwise(F.col("value"))
+    return with_rank(values.withColumn("_v", F.round(better, digits)), "_v", [*by, "diagnostic"]).drop("_v")

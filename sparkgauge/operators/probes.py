@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,50 @@ from sparkgauge.functions import numeric as N
 from sparkgauge.functions.vocab import C_GRID, MULTIPLIERS, THRESHOLDS
 from sparkgauge.operators import big_probes
 from sparkgauge.operators.tasks import MOST_BYTES, Matrix, collect_matrix, fits_driver, run
+from sparkgauge.session import Scratch
+
+
+#: (C, multiplier) -> fit; fit(x, y, classes) -> predict; predict(new) -> probabilities. Sent to the tasks as it is.
+Predict = Callable[[np.ndarray], np.ndarray]
+Fit = Callable[[np.ndarray, np.ndarray, int], Predict]
+Factory = Callable[[float, float], Fit]
+
+
+def dense_multiclass(c: float, multiplier: float = 1.0) -> Fit:
+    """The default estimator: a multinomial probe with strength 1 / C. The multiplier has gone into the features already."""
+
+    def fit(x: np.ndarray, y: np.ndarray, classes: int) -> Predict:
+        w, b = N.fit_multinomial(x, y, classes, c)
+        return lambda new: N.softmax(new @ w.T + b)
+
+    return fit
+
+
+def dense_multilabel(c: float, multiplier: float = 1.0) -> Fit:
+    """One binary probe for each label; a constant label predicts its share."""
+    return lambda x, y, labels: lambda new: N.predict_labels(x, y, new, c)
+
+
+def of_c(factory: Callable[[float], Fit]) -> Factory:
+    """A factory of C alone as one of C and multiplier."""
+    return lambda c, multiplier: factory(c)
+
+
+def require_targets(m: Matrix, classes: int | None = None, labels: int | None = None) -> None:
+    """Errors for a feature matrix or target that no probe can take: no rows or columns, values that aren't finite, classes out of range, labels that aren't 0 or 1, rows of different number."""
+    n = len(m.item)
+    if m.x.ndim != 2 or not m.x.shape[1] or n < 2 or len(m.x) != n:
+        raise ValueError("features need at least two rows and one column, one row an item")
+    if not np.isfinite(m.x).all():
+        raise ValueError("a feature is missing or not finite")
+    if len(m.y) != n or len(m.outer) != n or len(m.group) != n or len(m.inner) != n:
+        raise ValueError("targets, folds or groups have another number of rows")
+    if len(set(m.item.tolist())) != n:
+        raise ValueError("an item is there twice")
+    if classes is not None and (m.y.ndim != 1 or m.y.min() < 0 or m.y.max() >= classes):
+        raise ValueError("a class is out of range")
+    if labels is not None and (m.y.ndim != 2 or m.y.shape[1] != labels or not np.isin(m.y, (0, 1)).all()):
+        raise ValueError("labels have to be 0 or 1, one column each")
 
 
 def prepare(train: np.ndarray, blocks: Sequence[int], multiplier: float, pca: dict[int, int] | None = None):
@@ -42,7 +86,7 @@ def _selected(scores: DataFrame, order: Sequence) -> DataFrame:
     return scores.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def select_multiclass(spark: SparkSession, m: Matrix, classes: int, grid: Sequence[float] = C_GRID, multipliers: Sequence[float] = MULTIPLIERS, metric: str = "log_loss", pca: dict[int, int] | None = None, folds: Sequence[int] | None = None) -> DataFrame:
+def select_multiclass(spark: SparkSession, m: Matrix, classes: int, grid: Sequence[float] = C_GRID, multipliers: Sequence[float] = MULTIPLIERS, metric: str = "log_loss", pca: dict[int, int] | None = None, folds: Sequence[int] | None = None, factory: Factory = dense_multiclass) -> DataFrame:
     """(outer_fold, c, multiplier, loss, macro_f1): the best candidate of each outer fold by its pooled inner predictions.
 
     By loss, then the smaller C, then the multiplier nearest 1, then the smaller; or by
@@ -58,8 +102,7 @@ def select_multiclass(spark: SparkSession, m: Matrix, classes: int, grid: Sequen
         if not val.any():
             return pd.DataFrame()
         z = prepare(m.x[fit], m.blocks, t["m"], pca)
-        w, b = N.fit_multinomial(z(m.x[fit]), m.y[fit], classes, t["c"])
-        p = N.softmax(z(m.x[val]) @ w.T + b)
+        p = factory(t["c"], t["m"])(z(m.x[fit]), m.y[fit], classes)(z(m.x[val]))
         hat, y = p.argmax(axis=1), m.y[val]
         tp = [int(((hat == k) & (y == k)).sum()) for k in range(classes)]
         return pd.DataFrame([{"outer_fold": t["f"], "c": t["c"], "multiplier": t["m"], "bits": float(N.bits(p, y).sum()), "n": int(val.sum()), "tp": tp, "said": np.bincount(hat, minlength=classes).tolist(), "true": np.bincount(y, minlength=classes).tolist()}])
@@ -77,9 +120,10 @@ def _chosen(selected: DataFrame) -> list[dict]:
     return [r.asDict() for r in selected.orderBy("outer_fold").collect()]  # a row per outer fold
 
 
-def nested_multiclass(spark: SparkSession, m: Matrix, classes: int, grid: Sequence[float] = C_GRID, multipliers: Sequence[float] = MULTIPLIERS, metric: str = "log_loss", pca: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+def nested_multiclass(spark: SparkSession, m: Matrix, classes: int, grid: Sequence[float] = C_GRID, multipliers: Sequence[float] = MULTIPLIERS, metric: str = "log_loss", pca: dict[int, int] | None = None, factory: Factory = dense_multiclass) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold table, selections): each item predicted once, by a fit that saw none of its group."""
-    selected = select_multiclass(spark, m, classes, grid, multipliers, metric, pca).persist()
+    require_targets(m, classes)
+    selected = Scratch(spark, "selected").keep(select_multiclass(spark, m, classes, grid, multipliers, metric, pca, factory=factory))
     tasks = [{"f": r["outer_fold"], "c": r["c"], "m": r["multiplier"]} for r in _chosen(selected)]
 
     def work(t: dict, m: Matrix) -> pd.DataFrame:
@@ -87,8 +131,7 @@ def nested_multiclass(spark: SparkSession, m: Matrix, classes: int, grid: Sequen
         if set(m.group[test]) & set(m.group[~test]):
             raise ValueError("a group is on both sides of an outer fold")
         z = prepare(m.x[~test], m.blocks, t["m"], pca)
-        w, b = N.fit_multinomial(z(m.x[~test]), m.y[~test], classes, t["c"])
-        p = N.softmax(z(m.x[test]) @ w.T + b)
+        p = factory(t["c"], t["m"])(z(m.x[~test]), m.y[~test], classes)(z(m.x[test]))
         return pd.DataFrame({"item_id": m.item[test].astype(str), "outer_fold": t["f"], "group_id": m.group[test].astype(str), "truth": m.y[test], "p": list(p)})
 
     return run(spark, tasks, m, work, "item_id string, outer_fold int, group_id string, truth int, p array<double>"), selected
@@ -142,11 +185,12 @@ def sealed_test(spark: SparkSession, m: Matrix, role: np.ndarray, classes: int,
     return run(spark, [{"c": best["c"], "m": best["multiplier"]}], (one, m, role), work, "item_id string, group_id string, truth int, p array<double>")
 
 
-def nested_multilabel(spark: SparkSession, m: Matrix, labels: int, grid: Sequence[float] = C_GRID, thresholds: Sequence[float] = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
+def nested_multilabel(spark: SparkSession, m: Matrix, labels: int, grid: Sequence[float] = C_GRID, thresholds: Sequence[float] = THRESHOLDS, factory: Factory = dense_multilabel) -> tuple[DataFrame, DataFrame]:
     """(out-of-fold table with y, p and the fold's threshold, selections).
 
     C by pooled inner loss, then the smaller; the threshold by macro F1 at that C, then nearest one half, then the lower.
     """
+    require_targets(m, labels=labels)
     inner = sorted(set(m.inner.ravel().tolist()))
     tasks = [{"f": f, "v": v, "c": c} for f in m.folds for c in sorted(set(grid)) for v in inner]
     ts = sorted(set(thresholds))
@@ -157,7 +201,7 @@ def nested_multilabel(spark: SparkSession, m: Matrix, labels: int, grid: Sequenc
         if not val.any():
             return pd.DataFrame()
         z = N.scaler(m.x[fit])
-        p = N.predict_labels(z(m.x[fit]), m.y[fit], z(m.x[val]), t["c"])
+        p = factory(t["c"], 1.0)(z(m.x[fit]), m.y[fit], labels)(z(m.x[val]))
         y = m.y[val]
         loss = float(-(y * np.log2(p) + (1 - y) * np.log2(1 - p)).mean(axis=1).sum())
         rows = []
@@ -170,13 +214,13 @@ def nested_multilabel(spark: SparkSession, m: Matrix, labels: int, grid: Sequenc
     pooled = got.groupBy("outer_fold", "c", "threshold").agg((F.sum("bits") / F.sum("n")).alias("loss"), *[F.sum(F.col(x)[k]).alias(f"{x}{k}") for x in ("tp", "said", "true") for k in range(labels)])
     f1 = sum((F.when(F.col(f"said{k}") + F.col(f"true{k}") > 0, 2 * F.col(f"tp{k}") / (F.col(f"said{k}") + F.col(f"true{k}"))).otherwise(0.0) for k in range(labels)), F.lit(0.0)) / labels
     pooled = pooled.select("outer_fold", "c", "threshold", "loss", f1.alias("macro_f1"))
-    selected = _selected(pooled, [F.round("loss", 12), "c", F.round(-F.col("macro_f1"), 12), F.round(F.abs(F.col("threshold") - 0.5), 12), "threshold"]).persist()
+    selected = Scratch(spark, "selected").keep(_selected(pooled, [F.round("loss", 12), "c", F.round(-F.col("macro_f1"), 12), F.round(F.abs(F.col("threshold") - 0.5), 12), "threshold"]))
     final = [{"f": r["outer_fold"], "c": r["c"], "t": r["threshold"]} for r in _chosen(selected)]
 
     def last(t: dict, m: Matrix) -> pd.DataFrame:
         test = m.outer == t["f"]
         z = N.scaler(m.x[~test])
-        p = N.predict_labels(z(m.x[~test]), m.y[~test], z(m.x[test]), t["c"])
+        p = factory(t["c"], 1.0)(z(m.x[~test]), m.y[~test], labels)(z(m.x[test]))
         return pd.DataFrame({"item_id": m.item[test].astype(str), "outer_fold": t["f"], "threshold": t["t"], "group_id": m.group[test].astype(str), "y": list(m.y[test]), "p": list(p)})
 
     return run(spark, final, m, last, "item_id string, outer_fold int, threshold double, group_id string, y array<int>, p array<double>"), selected

@@ -10,9 +10,10 @@ from sparkgauge.functions.vocab import CLUSTERS, SEED, cluster_column
 from sparkgauge.operators import bootstrap as B
 from sparkgauge.operators import geometry as G
 from sparkgauge.operators import metrics as M
+from sparkgauge.operators import runs as R
 from sparkgauge.plans import oof
 from sparkgauge.plans.relational import rounded
-from sparkgauge.session import table
+from sparkgauge.session import Scratch, table
 
 QUERIES = {}
 SQL = {}
@@ -291,3 +292,101 @@ SELECT round(-sum(n / t * log2(n / t)), 6) AS entropy_bits, round(-sum(n / t * l
 def support_entropy(spark, d):
     c = table(spark, d, "embeddings").where("label is not null").groupBy("label").count().agg(F.collect_list("count").alias("n"))
     return rounded(c.select(A.entropy_bits(F.col("n")).alias("entropy_bits"), (A.entropy_bits(F.col("n")) / F.log2(F.size("n"))).alias("normalized")))
+
+
+# two representations of the same items: the same centroids at two sharpnesses
+
+
+def _totals_sql(p: str, name: str) -> str:
+    x = "least(greatest(p, 1e-15), 1 - 1e-15)"
+    return f"""SELECT '{name}' AS representation, group_id, k, count(*) AS n, sum(y) AS sup, sum(h) AS said, sum(y * h) AS tp, sum(-(y * log2({x}) + (1 - y) * log2(1 - {x}))) AS l, sum((p - y) ** 2) AS q
+FROM (SELECT *, (k = truth)::INTEGER AS y, (k = arg_min(k, (-p, k)) OVER (PARTITION BY item_id))::INTEGER AS h FROM {p}) GROUP BY ALL"""
+
+
+_RANK_DRAWS = f"""{_BASE}, {_p(GAMMA, "pa")}, {_p(GAMMA_B, "pb")}, ct AS ({_totals_sql("pa", "A")} UNION ALL {_totals_sql("pb", "H")}),
+gk AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS g FROM (SELECT DISTINCT group_id FROM ct)), gn AS (SELECT count(*) AS gn FROM gk),
+pick AS (SELECT draw.draw, ('0x' || substr(sha256('{SEED}|' || draw.draw || '|' || j.j), 1, 7))::BIGINT % gn AS g FROM range({DRAWS}) draw(draw), gn, range((SELECT gn FROM gn)) j(j)),
+mm AS (SELECT draw, group_id, count(*) AS m FROM pick JOIN gk USING (g) GROUP BY ALL),
+cv AS (SELECT representation, draw, k, sum(m * n) AS n, sum(m * sup) AS sup, sum(m * said) AS said, sum(m * tp) AS tp, sum(m * l) AS l, sum(m * q) AS q FROM ct JOIN mm USING (group_id) GROUP BY ALL),
+dv AS (SELECT representation, draw, k, 'f1' AS diagnostic, round(-CASE WHEN sup + said > 0 THEN 2 * tp / (sup + said) ELSE 0 END, 9) AS v FROM cv UNION ALL SELECT representation, draw, k, 'loss_bits', round(l / n, 9) FROM cv UNION ALL SELECT representation, draw, k, 'brier', round(q / n, 9) FROM cv),
+rd AS (SELECT *, rank() OVER (PARTITION BY representation, draw, diagnostic ORDER BY v) + (count(*) OVER (PARTITION BY representation, draw, diagnostic, v) - 1) / 2 AS r FROM dv)"""
+
+
+def _rank_draws(spark, d) -> DataFrame:
+    """(representation, draw, class, diagnostic, rank); both representations take the same groups in a draw."""
+    s = Scratch(spark, "ranks")
+    p = _points(spark, d)
+    both = None
+    for name, gamma in (("A", GAMMA), ("H", GAMMA_B)):
+        o = oof.nearest_centroid(p, gamma).select(F.lit(name).alias("representation"), "group_id", "truth", "p")
+        both = o if both is None else both.unionByName(o)
+    totals = s.keep(B.class_totals(both, ["representation"]))
+    groups = B.numbered(totals.select("g").distinct(), ["g"])
+    m = B.hash_multiplicities(spark, groups.count(), DRAWS, SEED).join(F.broadcast(groups), "k").select("draw", "g", "m")  # 97 groups
+    return s.keep(B.diagnostic_ranks(B.class_draws(totals, m, ["representation"]), ["representation", "draw"]))
+
+
+@query(f"WITH {_RANK_DRAWS} SELECT representation, diagnostic, k AS class, round(avg(r), 6) AS mean_rank, round(var_samp(r), 6) AS rank_variance, round(quantile_cont(r, 0.025), 6) AS ci_low, round(quantile_cont(r, 0.975), 6) AS ci_high, round(1 - var_samp(r) / (99 / 12), 6) AS stability FROM rd GROUP BY ALL")
+def category_rank_stability(spark, d):
+    """Ranks of the classes by each diagnostic over bootstrap draws of groups: mean, variance, interval, stability."""
+    return rounded(B.rank_stability(_rank_draws(spark, d), ["representation", "diagnostic", "class"], classes=10))
+
+
+@query(
+    f"""WITH {_RANK_DRAWS}, jj AS (SELECT a.draw, a.diagnostic, a.k, a.r AS ra, b.r AS rb FROM rd a JOIN rd b ON a.draw = b.draw AND a.diagnostic = b.diagnostic AND a.k = b.k WHERE a.representation = 'A' AND b.representation = 'H'),
+sp AS (SELECT draw, diagnostic, corr(ra, rb) AS spearman FROM jj GROUP BY ALL), kp AS (SELECT x.draw, x.diagnostic, sum(sign(x.ra - y.ra) * sign(x.rb - y.rb)) / sqrt(sum(abs(sign(x.ra - y.ra))) * sum(abs(sign(x.rb - y.rb)))) AS kendall FROM jj x JOIN jj y ON x.draw = y.draw AND x.diagnostic = y.diagnostic AND x.k < y.k GROUP BY ALL)
+SELECT draw::BIGINT AS draw, diagnostic, round(spearman, 6) AS spearman, round(kendall, 6) AS kendall FROM sp JOIN kp USING (draw, diagnostic)"""
+)
+def rank_association_draws(spark, d):
+    """Spearman and Kendall association of the two representations' class ranks by each diagnostic in every draw."""
+    r = _rank_draws(spark, d)
+    side = lambda n, x: r.where(F.col("representation") == n).select("draw", "diagnostic", "class", F.col("rank").alias(x))
+    j = side("A", "ra").join(side("H", "rb"), ["draw", "diagnostic", "class"])
+    return rounded(B.rank_correlations(j, "ra", "rb", ["draw", "diagnostic"]))
+
+
+_RUNS = (("1", None, "H", "h1", "a"), ("1", None, "AH", "ah1", "b"), (None, "8", "H", "h2", "b"), (None, "8", "AH", "ah2", "a"), (None, None, "A", "a3", "a"))
+
+
+def _suite_runs(spark, d) -> DataFrame:
+    """Five runs under three key groups, keys null in places; one group has no pair."""
+    s = Scratch(spark, "runs")
+    tables = {"a": s.keep(_oof(spark, d)), "b": s.keep(_oof(spark, d, GAMMA_B))}
+    out = None
+    for layer, pca, representation, path, which in _RUNS:
+        keys = {"target_scale": "full", "model_key": "m", "layer": layer, "pooling": None, "rater_role": None, "pca_dimension": pca}
+        cols = [F.lit(v).cast("string").alias(k) for k, v in keys.items()]
+        t = tables[which].select(F.lit(path).alias("run_path"), F.lit(representation).alias("representation"), *cols, "item_id", "outer_fold", "group_id", "truth", "p")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+_SUITE = f"""{_PAIRED}, {_DRAWS}, iv AS (SELECT (SELECT avg(la) - avg(lb) FROM pr) AS o, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi, stddev_samp(delta) AS se, count(*) AS draws, (SELECT count(*) FROM pr) AS n FROM dr)"""
+
+
+@query(
+    f"""WITH {_SUITE} SELECT 'full' AS target_scale, 'm' AS model_key, '1' AS layer, NULL::VARCHAR AS pooling, NULL::VARCHAR AS rater_role, NULL::VARCHAR AS pca_dimension, 'h1' AS path_a, 'ah1' AS path_b, round(o, 6) AS observed, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(se, 6) AS se, draws::BIGINT AS draws, n::BIGINT AS n_items FROM iv
+UNION ALL SELECT 'full', 'm', NULL, NULL, NULL, '8', 'h2', 'ah2', round(-o, 6), round(-hi, 6), round(-lo, 6), round(se, 6), draws, n FROM iv"""
+)
+def q2_contrasts(spark, d):
+    """Every paired contrast of a suite of runs, by key group with nulls."""
+    return rounded(R.suite_contrasts(_suite_runs(spark, d), DRAWS))
+
+
+@query(
+    f"""WITH {_SUITE}, la AS (SELECT avg(la) AS a, avg(lb) AS b FROM pr) SELECT * FROM (VALUES {", ".join(f"('{p}', '{r}', {'NULL' if not l else repr(l)}, {'NULL' if not c else repr(c)}, '{w}')" for l, c, r, p, w in _RUNS)}) t(run_path, representation, layer, pca_dimension, which)
+JOIN (SELECT 'a' AS which, round(a, 6) AS log_loss_bits FROM la UNION ALL SELECT 'b', round(b, 6) FROM la) USING (which)
+LEFT JOIN (SELECT '1' AS l2, NULL AS c2, round(o, 6) AS observed FROM iv UNION ALL SELECT NULL, '8', round(-o, 6) FROM iv) ON l2 IS NOT DISTINCT FROM layer AND c2 IS NOT DISTINCT FROM pca_dimension""".replace("SELECT * FROM (VALUES", "SELECT run_path, representation, layer, pca_dimension, log_loss_bits, observed FROM (VALUES")
+)
+def q2_suite(spark, d):
+    """Each run's loss with the contrast of its key group, null keys matched to null keys."""
+    return rounded(R.suite(_suite_runs(spark, d), DRAWS).select("run_path", "representation", "layer", "pca_dimension", "log_loss_bits", "observed"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS check_name, 0::BIGINT AS violations" for n in ("repeated_draw", "draw_not_finite", "ci_low_differs", "ci_high_differs", "se_differs", "draws_differ", "interval_reversed")))
+def bootstrap_audit(spark, d):
+    """A stored bootstrap against its own draws."""
+    s = Scratch(spark, "audit")
+    p = s.keep(_paired(spark, d))
+    draws = s.keep(B.paired_draws(p, "group_id", "la", "lb", DRAWS))
+    return R.draw_checks(draws, s.keep(B.summarise(draws, p, "la", "lb")))

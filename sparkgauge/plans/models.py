@@ -1,8 +1,9 @@
-"""Queries that fit models: nested probes, the decoder ladder, counterfactuals and their tests. SQL can't express them."""
+"""Queries that fit models: nested probes, the decoder ladder, counterfactuals and their tests. SQL can't express them; audits count breaches of what they promise."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +14,23 @@ from sparkgauge.operators import bootstrap as B
 from sparkgauge.operators import counterfactual as C
 from sparkgauge.operators import ladder as L
 from sparkgauge.operators import metrics as M
+from sparkgauge.operators import checks
 from sparkgauge.operators import probes as P
-from sparkgauge.operators.tasks import Matrix, collect_matrix
+from sparkgauge.operators import runs as R
+from sparkgauge.operators.skew import hot_join
+from sparkgauge.operators.tasks import Matrix, collect_matrix, run
 from sparkgauge.plans import oof
 from sparkgauge.session import Scratch, table
 
 QUERIES = {}
 SQL: dict[str, str] = {}
+
+
+def sound(*names: str) -> str:
+    """A report without a violation."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, 0::BIGINT AS violations" for n in names)
+
+
 #: Axes of the appraisal block of the joint probes, which take the embedding's first columns for it.
 A_WIDTH, H_WIDTH = 16, 48
 #: Principal axes of the counterfactual space.
@@ -33,6 +44,16 @@ def query(f):
     return f
 
 
+def audit(sql: str):
+    """A query that counts breaches of what another one promises, with what has to come out."""
+
+    def keep(f):
+        SQL[f.__name__] = sql
+        return query(f)
+
+    return keep
+
+
 def appraisal_points(generation: DataFrame) -> DataFrame:
     """(item_id, writer_id, label, x, outer_fold): items with an emotion and all ratings on the scale; folds by a hash of the writer."""
     ok = " and ".join(f"{a} between 1 and 5" for a in APPRAISALS)
@@ -99,10 +120,19 @@ def representation_gain(spark, d):
 @query
 def probe_geometry(spark, d):
     m = _appraisals(spark, d)
-    selected = P.select_multiclass(spark, m, len(EMOTIONS)).persist()
+    selected = Scratch(spark, "selected").keep(P.select_multiclass(spark, m, len(EMOTIONS)))
     return P.fold_geometry(spark, m, len(EMOTIONS), selected)
 
 
+def sealing(points: DataFrame, validation: DataFrame) -> DataFrame:
+    """(item_id, role): validated items, other items of their writers, and the rest."""
+    test = validation.where("item_id is not null").select("item_id").distinct().withColumn("_t", F.lit(True))
+    p = points.join(test, "item_id", "left")
+    writers = p.where("_t").select("writer_id").distinct().withColumn("_w", F.lit(True))
+    role = F.when(F.col("_t"), "test").when(F.col("_w"), "excluded_test_writer").otherwise("train")
+    return hot_join(p, writers, "writer_id", "left").select("item_id", role.alias("role"))
+
+
 @query
 def sealed_probe(spark, d):
     """Items of the validation table are tested once by a probe that saw none of their writers.
@@ -112,10 +142,9 @@ def sealed_probe(spark, d):
     """
     pts = appraisal_points(table(spark, d, "generation"))
     m = collect_matrix(pts, "item_id", "x", "label", "writer_id", "outer_fold", 5)
-    sealed = {r[0] for r in table(spark, d, "validation").where("item_id is not null").join(pts.select("item_id"), "item_id", "left_semi").select("item_id").distinct().collect()}  # no more than the matrix holds
-    test = np.array([i in sealed for i in m.item])
-    writers = set(m.group[test])
-    role = np.where(test, "test", np.where([g in writers for g in m.group], "excluded_test_writer", "train"))
+    role_of = {r[0]: r[1] for r in sealing(pts, table(spark, d, "validation")).collect()}  # no more than the matrix holds
+    role = np.array([role_of[i] for i in m.item])
+    test = role == "test"
     train = role == "train"
     parts = [train] + [train & (m.inner[:, 0] != v) for v in np.unique(m.inner[:, 0])]
     if any(len(set(m.y[p])) < len(EMOTIONS) for p in parts):
@@ -183,30 +212,149 @@ def matched_nulls(spark, d):
     return C.null_summary(C.observed(spark, m, 10, AXES), C.nulls(spark, m, 10, pca=AXES))
 
 
-@query
-def category_rank_stability(spark, d):
-    """Ranks of the classes by F1 over bootstrap draws of groups: mean, variance, interval, stability."""
-    o = oof.nearest_centroid(oof.embedding_points(table(spark, d, "embeddings")), 10.0).select("item_id", "group_id", "truth", "p")
-    s = Scratch(spark, "ranks")
-    o = s.keep(o)
-    groups = B.numbered(o.select("group_id").distinct(), ["group_id"])
-    draws = B.hash_multiplicities(spark, groups.count(), DRAWS, SEED).join(groups, "k").select("draw", "group_id", "m")
-    weighted = o.join(draws, "group_id")
-    c = s.keep(M.classwise(weighted, ["draw"], "m").select("draw", "class", "f1", "average_precision"))
-    ranked = B.with_rank(c.withColumn("f1", F.round("f1", 12)), "f1", ["draw"], descending=True)
-    return B.rank_stability(ranked, ["class"], classes=10)
+# what SQL can say of fits: their promises
 
 
-@query
-def rank_association_draws(spark, d):
-    """Spearman and Kendall association of two diagnostics' class ranks in every draw."""
-    o = oof.nearest_centroid(oof.embedding_points(table(spark, d, "embeddings")), 10.0).select("item_id", "group_id", "truth", "p")
-    s = Scratch(spark, "ranks")
-    o = s.keep(o)
-    groups = B.numbered(o.select("group_id").distinct(), ["group_id"])
-    draws = B.hash_multiplicities(spark, groups.count(), DRAWS, SEED).join(groups, "k").select("draw", "group_id", "m")
-    c = s.keep(M.classwise(o.join(draws, "group_id"), ["draw"], "m"))
-    r = B.with_rank(B.with_rank(c, "f1", ["draw"], True, "rank_f1"), "average_precision", ["draw"], True, "rank_ap")
-    return B.rank_correlations(r, "rank_f1", "rank_ap", ["draw"])
+_OK = " and ".join(f"{a} BETWEEN 1 AND 5" for a in APPRAISALS)
+_EMOTIONS = ", ".join(f"'{e}'" for e in EMOTIONS)
+_POINTS = f"SELECT DISTINCT ON (item_id) item_id, writer_id, y_writer FROM generation WHERE item_id IS NOT NULL AND writer_id IS NOT NULL AND {_OK}"
+_OOF = ("null_item", "repeated_item", "wrong_width", "not_finite", "outside_unit_interval", "not_unit_sum", "truth_out_of_range", "stored_prediction_differs", "group_crosses_folds", "fold_out_of_range")
+_SELECTED = ("repeated_fold", "fold_without_selection", "c_not_in_grid", "loss_not_finite", "multiplier_not_in_grid")
+
+
+@audit(sound(*_OOF, *_SELECTED, "missing_item"))
+def probe_audit(spark, d):
+    """The appraisal probe's out-of-fold table and selections: every item once, by a fold that its group is not in."""
+    s = Scratch(spark, "audit")
+    points = s.keep(appraisal_points(table(spark, d, "generation")))
+    o, chosen = P.probe_table(points, "item_id", "x", "label", "writer_id", "outer_fold", 5, len(EMOTIONS))
+    o = s.keep(R.with_prediction(o))
+    lost = checks.summary({"missing_item": checks.difference(points, o, ["item_id"])})
+    return R.oof_checks(o, len(EMOTIONS), 5).unionByName(R.selection_checks(chosen, o)).unionByName(lost)
+
 
+@audit("SELECT unnest(['D0', 'D1', 'D1o', 'D2', 'D3', 'D4', 'D4c', 'D4d']) AS decoder, (SELECT count(*)::BIGINT FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL) AS n_items, true AS once, true AS sums_to_one, 5::BIGINT AS folds, true AS all_inner_folds")
+def ladder_audit(spark, d):
+    """Each decoder predicts each item once, with probabilities, from folds whose inner folds could all be scored."""
+    o, chosen = L.ladder(spark, _embeddings(spark, d), 10, pca=LADDER_AXES)
+    s = Scratch(spark, "audit")
+    per = s.keep(o).groupBy("decoder").agg(F.count(F.lit(1)).alias("n_items"), (F.countDistinct("item_id") == F.count(F.lit(1))).alias("once"), (F.max(F.abs(A.total(F.col("p")) - 1)) < 1e-9).alias("sums_to_one"), F.countDistinct("outer_fold").alias("folds"))
+    inner = chosen.groupBy("decoder").agg(F.min(F.coalesce("inner_folds", F.lit(3)) == 3).alias("all_inner_folds"))
+    return per.join(inner, "decoder")
 
+
+@audit(sound("repeated_row", "geometry_differs", "wrong_counts", "unknown_learner", "score_out_of_range", "no_sample"))
+def pilot_audit(spark, d):
+    rows = Scratch(spark, "audit").keep(C.pilot(spark, _embeddings(spark, d), sites=10, pca=AXES))
+    return R.learnability_checks(rows, 200, 10, C.LEARNERS)
+
+
+@audit(sound("repeated_draw", "wrong_supports", "entropy_differs", "no_attempt", *[f"{c}_differs" for c in ("draws", "attempts", "p_contrast", "p_representation", "joint_domination")]))
+def nulls_audit(spark, d):
+    s, m = Scratch(spark, "audit"), _embeddings(spark, d)
+    o, n = s.keep(C.observed(spark, m, 10, AXES)), s.keep(C.nulls(spark, m, 10, pca=AXES))
+    return R.null_checks(n, o, s.keep(C.null_summary(o, n)), 10)
+
+
+@audit(sound("wrong_folds", "wrong_classes", "wrong_shape", "not_finite", "no_gauge", "site_differs", "weight_differs", "transform.wrong_folds", "transform.wrong_shape", "transform.scale_not_positive", "transform.not_orthonormal"))
+def fold_archive_audit(spark, d):
+    """Linear probes and training-only transforms of every fold, stored and checked."""
+    m = _embeddings(spark, d)
+
+    def work(t: dict, m: Matrix):
+        train = m.outer != t["f"]
+        z, axes = N.principal(m.x[train], LADDER_AXES)[0], None
+        x = z(m.x[train])
+        w, b = N.fit_multinomial(x, m.y[train], 10, 1.0)
+        sites, weights = N.power_form(w, b)
+        means = N.class_means(x, m.y[train], 10)
+        axes = z.rotation.T.tolist()
+        return pd.DataFrame([{"outer_fold": t["f"], "class": k, "coefficient": w[k], "intercept": b[k], "site": sites[k], "power_weight": weights[k], "centroid": means[k], "mean": z.mean if not k else None, "scale": z.scale if not k else None, "components": axes if not k else None} for k in range(10)])
+
+    vec = "array<double>"
+    got = Scratch(spark, "archive").keep(run(spark, [{"f": f} for f in m.folds], m, work, f"outer_fold int, class int, coefficient {vec}, intercept double, site {vec}, power_weight double, centroid {vec}, mean {vec}, scale {vec}, components array<{vec}>"))
+    t = R.transform_checks(got.where("mean is not null").select(*R.TRANSFORM_COLUMNS), 5)
+    return R.geometry_checks(got.select(*R.GEOMETRY_COLUMNS), 5, 10).unionByName(t.withColumn("check_name", F.concat_ws(".", F.lit("transform"), "check_name")))
+
+
+@audit("SELECT unnest(['multinomial', 'multinomial_intercept', 'binary', 'offsets', 'learned_sites', 'power_sites']) AS estimator, true AS at_optimum")
+def fit_optimality(spark, d):
+    """Whether each estimator's result can't be bettered: the objective's slope along every axis, by differences of values alone."""
+    m = _embeddings(spark, d)
+    z = N.principal(m.x, 8)[0](m.x)
+    y, n, c = m.y, len(m.y), 1.0
+    hot, means = np.eye(10)[y], N.class_means(z, y, 10)
+
+    def ce(scores: np.ndarray) -> float:
+        return float(-(N.log_softmax(scores) * hot).sum() / n)
+
+    def split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return v[:80].reshape(10, 8), v[80:]
+
+    def linear(both: bool):
+        def f(v: np.ndarray) -> float:
+            w, b = split(v)
+            return ce(z @ w.T + b) + ((w * w).sum() + (b * b).sum() * both) / (2 * c * n)
+
+        return f
+
+    def binary(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, -(2.0 * (y == 0) - 1) * (z @ v[:-1] + v[-1])).mean() + (v[:-1] @ v[:-1]) / (2 * c * n))
+
+    w, b = N.fit_multinomial(z, y, 10, c)
+    wi, bi = N.fit_multinomial(z, y, 10, c, intercept_penalty=True)
+    wb, bb = N.fit_binary(z, (y == 0).astype(int), c)
+    _, o = N.fit_offsets(z, y, 10, 0.1, c)
+    s, _ = N.fit_sites(z, y, means[:, None, :].copy(), np.zeros((10, 1)), c, False, "sites", 5000)
+    sp, op = N.fit_sites(z, y, means[:, None, :].copy(), np.zeros((10, 1)), c, True, "linear", 5000)
+    d2 = lambda mu: -N.squared_distances(z, mu)
+
+    def power(v: np.ndarray) -> float:
+        mu, om = split(v)
+        tilde = om - (mu * mu).sum(axis=1)
+        return ce(d2(mu) + om) + (4 * (mu * mu).sum() + (tilde * tilde).sum()) / (2 * c * n)
+
+    every = {
+        "multinomial": (linear(False), np.concatenate([w.ravel(), b])),
+        "multinomial_intercept": (linear(True), np.concatenate([wi.ravel(), bi])),
+        "binary": (binary, np.append(wb, bb)),
+        "offsets": (lambda v: ce(0.1 * d2(means) + v) + (v @ v) / (2 * c * n), o),
+        "learned_sites": (lambda v: ce(d2(v.reshape(10, 8))) + (v @ v) / (2 * c * n), s.ravel()),
+        "power_sites": (power, np.concatenate([sp.ravel(), op.ravel()])),
+    }
+    rows = []
+    for name, (f, v) in every.items():
+        slopes = []
+        for i in range(len(v)):
+            e = np.zeros(len(v))
+            e[i] = 1e-4
+            slopes.append((f(v + e) - f(v - e)) / 2e-4)
+        rows.append((name, bool(np.abs(slopes).max() < 1e-3)))
+    return spark.createDataFrame(rows, "estimator string, at_optimum boolean")
+
+
+@audit(
+    f"""WITH p AS ({_POINTS}), q AS (SELECT * FROM p WHERE y_writer IN ({_EMOTIONS})), v AS (SELECT DISTINCT item_id FROM validation WHERE item_id IS NOT NULL),
+w AS (SELECT DISTINCT writer_id FROM q WHERE item_id IN (SELECT item_id FROM v))
+SELECT CASE WHEN item_id IN (SELECT item_id FROM v) THEN 'test' WHEN writer_id IN (SELECT writer_id FROM w) THEN 'excluded_test_writer' ELSE 'train' END AS role, count(*)::BIGINT AS n FROM q GROUP BY 1"""
+)
+def sealed_roles(spark, d):
+    """Rows of each role of the sealed probe, from the roles that it trains and tests by."""
+    pts = appraisal_points(table(spark, d, "generation"))
+    return sealing(pts, table(spark, d, "validation")).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def reader_probe(spark, d):
+    """Nested probe of the writers' appraisals on the readers' majority; folds by a hash of the writer.
+
+    One row: the metrics, or none with status ``training_lacks_class`` if an inner training part lacks an emotion.
+    """
+    v = table(spark, d, "validation").where("item_id is not null").dropDuplicates(["item_id"]).select("item_id", ordinal(F.col("y_reader_majority"), EMOTIONS).alias("read")).where("read is not null")
+    pts = appraisal_points(table(spark, d, "generation")).join(v, "item_id")
+    m = collect_matrix(pts, "item_id", "x", "read", "writer_id", "outer_fold", 5)
+    parts = [(m.outer != f) & (m.inner[:, f] != k) for f in m.folds for k in np.unique(m.inner[:, f])]
+    if any(len(set(m.y[p])) < len(EMOTIONS) for p in parts):
+        return spark.createDataFrame([(0, *[None] * 6, "training_lacks_class")], "n bigint, accuracy double, log_loss_bits double, brier double, macro_f1 double, macro_ap double, ece double, status string")
+    o, _ = P.nested_multiclass(spark, m, len(EMOTIONS))
+    return M.multiclass(Scratch(spark, "reader").keep(o)).withColumn("status", F.lit("ok"))

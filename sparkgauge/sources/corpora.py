@@ -72,9 +72,18 @@ def judgment_rows(raw: DataFrame) -> DataFrame:
     )
 
 
+def _work_folder(spark: SparkSession, work: str | None) -> str:
+    """A folder for unzipped files: the one named, which has to be shared; in local mode a temporary one will do."""
+    if work:
+        return work
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ConstraintError("name a shared folder for the unzipped files")
+    return tempfile.mkdtemp(prefix="corpus-")
+
+
 def read_crowd(spark: SparkSession, archive: str | Path, generation: str, validation: str, work: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Writer and reader rows of a zipped corpus. On a cluster ``work`` names a shared folder for the two files."""
-    work = work or tempfile.mkdtemp(prefix="corpus-")
+    work = _work_folder(spark, work)
     g, v = unzip_members(archive, [generation, validation], work)
     return generation_rows(read_tsv(spark, g, GENERATION)), judgment_rows(read_tsv(spark, v, JUDGMENTS))
 
@@ -84,7 +93,7 @@ def read_conversations(spark: SparkSession, path: str | Path) -> DataFrame:
 
 
 def read_zipped_conversations(spark: SparkSession, archive: str | Path, member: str, work: str | None = None) -> DataFrame:
-    work = work or tempfile.mkdtemp(prefix="corpus-")
+    work = _work_folder(spark, work)
     return read_conversations(spark, unzip_members(archive, [member], work)[0])
 
 

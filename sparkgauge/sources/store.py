@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import uuid
 from collections.abc import Sequence
 from pathlib import Path
@@ -22,36 +21,76 @@ def dump_json(path: str | Path, payload: object) -> None:
     Path(path).write_text(json.dumps(payload, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
 
 
+# files of any file system that Spark knows
+
+
+def _file(spark: SparkSession, path: str | Path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str | Path) -> bool:
+    fs, p = _file(spark, path)
+    return bool(fs.exists(p))
+
+
+def read_text(spark: SparkSession, path: str | Path) -> str:
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str | Path, text: str) -> None:
+    fs, p = _file(spark, path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def publish(tables: dict[str, DataFrame], target: str | Path, metadata: dict | None = None, partition_by: dict[str, Sequence[str]] | None = None) -> dict:
     """Writes every table as zstd Parquet and the metadata with their digests below a hidden folder, then renames it to ``target``.
 
-    ``target`` must not exist; a failed write leaves nothing behind. The folder has to
-    lie on a file system that all executors share.
+    ``target`` must not exist; a failed write leaves nothing behind. The folder may lie on any file system
+    that all executors share and that can rename.
     """
-    target = Path(target)
-    if target.exists():
+    spark = next(iter(tables.values())).sparkSession
+    target = str(target).rstrip("/")
+    if exists(spark, target):
         raise FileExistsError(target)
-    hidden = target.parent / f".{target.name}-{uuid.uuid4().hex}"
+    parent, _, name = target.rpartition("/")
+    hidden = f"{parent or '.'}/.{name}-{uuid.uuid4().hex}"
     try:
         meta = {"tables": {}, **(metadata or {})}
-        for name, df in tables.items():
+        for t, df in tables.items():
             w = df.write.option("compression", "zstd")
-            if partition_by and name in partition_by:
-                w = w.partitionBy(*partition_by[name])
-            w.parquet(f"{hidden}/{name}.parquet")
-            got = table_digest(df.sparkSession.read.parquet(f"{hidden}/{name}.parquet"), df.columns).first()
-            meta["tables"][name] = {"sha256": got["digest"], "rows": got["row_count"], "columns": sorted(df.columns)}
-        dump_json(hidden / METADATA, meta)
-        os.rename(hidden, target)
+            if partition_by and t in partition_by:
+                w = w.partitionBy(*partition_by[t])
+            w.parquet(f"{hidden}/{t}.parquet")
+            got = table_digest(spark.read.parquet(f"{hidden}/{t}.parquet"), df.columns).first()
+            meta["tables"][t] = {"sha256": got["digest"], "rows": got["row_count"], "columns": sorted(df.columns)}
+        write_text(spark, f"{hidden}/{METADATA}", json.dumps(meta, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
+        fs, at = _file(spark, hidden)
+        if exists(spark, target) or not fs.rename(at, _file(spark, target)[1]):
+            raise FileExistsError(target)
     except BaseException:
-        shutil.rmtree(hidden, ignore_errors=True)
+        fs, at = _file(spark, hidden)
+        fs.delete(at, True)
         raise
     return meta
 
 
+def metadata(spark: SparkSession, target: str | Path) -> dict:
+    return json.loads(read_text(spark, f"{target}/{METADATA}"))
+
+
 def load(spark: SparkSession, target: str | Path, name: str, needed: Sequence[str] = (), verify: bool = True) -> DataFrame:
     """A table of an artifact, its columns and, unless told not to, its digest checked."""
-    meta = json.loads((Path(target) / METADATA).read_text())
+    meta = metadata(spark, target)
     if name not in meta["tables"]:
         raise ConstraintError(f"no table {name}")
     df = spark.read.parquet(f"{target}/{name}.parquet")
@@ -65,10 +104,9 @@ def load(spark: SparkSession, target: str | Path, name: str, needed: Sequence[st
 
 def resume(spark: SparkSession, target: str | Path, request: dict, build) -> dict:
     """Runs ``build`` unless ``target`` already holds the answer to the same request; another request's artifact is an error."""
-    meta = Path(target) / METADATA
     key = sequence_digest([json.dumps(request, sort_keys=True)])
-    if meta.exists():
-        have = json.loads(meta.read_text())
+    if exists(spark, f"{target}/{METADATA}"):
+        have = metadata(spark, target)
         if have.get("request_sha256") != key:
             raise ConstraintError(f"{target} answers another request")
         return have

@@ -10,6 +10,7 @@ from sparkgauge.operators import counterfactual as C
 from sparkgauge.operators import ladder as L
 from sparkgauge.operators import probes as P
 from sparkgauge.operators.tasks import Matrix
+from sparkgauge.plans import measures
 from sparkgauge.plans import models as Q
 
 
@@ -55,12 +56,12 @@ def test_ladder_and_bootstraps_are_whole(spark, data, monkeypatch):
         raise Seen(a, k)
 
     monkeypatch.setattr(Q.L, "ladder", stop)
-    monkeypatch.setattr(Q.B, "hash_multiplicities", stop)
     for q in (Q.decoder_ladder, Q.ladder_contrasts):
         with pytest.raises(Seen) as e:
             q(spark, data)
         assert e.value.args[1] == {"pca": 64}
-    for q in (Q.category_rank_stability, Q.rank_association_draws):
+    monkeypatch.setattr(measures.B, "hash_multiplicities", stop)
+    for q in (measures.category_rank_stability, measures.rank_association_draws):
         with pytest.raises(Seen) as e:
             q(spark, data)
         assert e.value.args[0][2] == 2000
