@@ -102,9 +102,13 @@ def load(spark: SparkSession, target: str | Path, name: str, needed: Sequence[st
     return df
 
 
+def request_key(request: dict) -> str:
+    return sequence_digest([json.dumps(request, sort_keys=True)])
+
+
 def resume(spark: SparkSession, target: str | Path, request: dict, build) -> dict:
     """Runs ``build`` unless ``target`` already holds the answer to the same request; another request's artifact is an error."""
-    key = sequence_digest([json.dumps(request, sort_keys=True)])
+    key = request_key(request)
     if exists(spark, f"{target}/{METADATA}"):
         have = metadata(spark, target)
         if have.get("request_sha256") != key:
