@@ -24,10 +24,10 @@ from sparkgauge.sources import corpora, models, release, store
 ANALYSES = {
     "probe": "appraisal_probe",
     "tweet-probe": "cluster_probe",
-    "representations": "representation_suite",
+    "representations": "representation_suite_of_slices",
     "sealed": "sealed_probe",
     "reader": "reader_probe",
-    "conditional": "representation_gain",
+    "conditional": "representation_gain_of_slices",
     "category-rank": "category_rank_stability",
     "rank-association": "rank_association_draws",
     "geometry": "probe_geometry",

@@ -121,3 +121,19 @@ def enforce(df: DataFrame, checks: Sequence[Check], keys: Sequence[str], sample:
             said.append(f"{r['check_name']}: {r['violations']} rows, such as {some}")
         raise ConstraintError("; ".join(said))
     return df
+
+
+def label_structure(df: DataFrame, labels: str, clusters: str, names: Sequence[str]) -> DataFrame:
+    """One row of counters over arrays of labels and of their clusters, from one pass over the rows and one over the labels."""
+    repeated = lambda c: F.count_if(F.size(c) != F.size(F.array_distinct(c)))
+    rows = df.agg(
+        F.count_if(F.col(labels).isNull()).alias("missing_labels"),
+        F.count_if(F.col(clusters).isNull()).alias("missing_clusters"),
+        repeated(labels).alias("repeated_labels"),
+        repeated(clusters).alias("repeated_clusters"),
+        F.count_if((F.size(labels) > 0) & (F.size(clusters) == 0)).alias("labels_without_cluster"),
+    )
+    each = df.select(F.explode(labels).alias("l"))
+    known = F.col("l").isin(*names)
+    seen = each.agg(F.count_if(~known).alias("unknown_labels"), (F.lit(len(names)) - F.countDistinct(F.when(known, F.col("l")))).cast("bigint").alias("unobserved_labels"))
+    return rows.crossJoin(F.broadcast(seen))  # one row each

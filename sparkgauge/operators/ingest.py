@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge.functions.text import normalized_text
 from sparkgauge.functions.vocab import APPRAISALS, CLUSTERS, EMOTIONS, LABEL_CLUSTER, SEED, cluster_column, count_column, emotion_key, in_order, ordinal, prob_column
-from sparkgauge.operators.checks import require_columns
+from sparkgauge.operators.checks import require_columns, summary
 
 E = "struct<valence:int,arousal:int,dominance:int,emo_clusters:array<string>,emo_labels:array<string>>"
 CONVERSATIONS = f"id bigint, company string, turns array<struct<is_made_by_customer:boolean,emotions:{E},tweets:array<struct<text:string,emotions:{E}>>>>"
@@ -97,6 +97,13 @@ def aggregate_panels(judgments: DataFrame, appraisal_readers: int = 2, seed: int
     return voted.join(rated, "item_id", "left").join(sizes, "item_id", "left")
 
 
+def panel_checks(split: DataFrame, appraisal_readers: int = 2, emotion_readers: int = 3) -> DataFrame:
+    """Violations of the panels of ``panels``: sizes other than asked, and readers of one item in both."""
+    per = split.groupBy("item_id").agg(F.count_if(F.col("reader_panel") == "appraisal").alias("a"), F.count_if(F.col("reader_panel") == "emotion").alias("e"))
+    both = split.groupBy("item_id", "reader_id").agg(F.countDistinct("reader_panel").alias("k")).where("k > 1")
+    return summary({"appraisal_panel_not_two": per.where(F.col("a") != appraisal_readers), "emotion_panel_not_three": per.where(F.col("e") != emotion_readers), "reader_in_both_panels": both})
+
+
 def diagnostics(generation: DataFrame, judgments: DataFrame) -> DataFrame:
     """One row of counts and rates."""
     g = generation.agg(

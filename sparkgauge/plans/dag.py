@@ -59,8 +59,8 @@ def experiments() -> list[Step]:
         Step("primary", of(models.appraisal_probe), ("splits",)),
         Step("sealed", of(models.sealed_probe), ("splits",)),
         Step("reader", of(models.reader_probe), ("splits", "readers")),
-        Step("representations", of(models.representation_suite), ("splits",)),
-        Step("conditional", of(models.representation_gain), ("representations",)),
+        Step("representations", of(models.representation_suite_of_slices), ("splits",)),
+        Step("conditional", of(models.representation_gain_of_slices), ("representations",)),
         Step("suite", of(measures.q2_suite), ("representations",)),
         Step("category-rank", of(measures.category_rank_stability), ("representations",)),
         Step("geometry", of(models.probe_geometry), ("primary",)),

@@ -91,8 +91,8 @@ def appraisal_probe_selections(spark, d):
 
 
 @query
-def representation_suite(spark, d):
-    """Probes of two feature blocks alone and together, and of the first one's principal axes."""
+def representation_suite_of_slices(spark, d):
+    """Probes of two slices of the embedding, standing for two representations, alone and together, and of the first one's principal axes."""
     m = _embeddings(spark, d, (A_WIDTH, H_WIDTH))
     out = None
     for name, part, pca in (("A", _part(m, "A"), None), ("H", _part(m, "H"), None), ("AH", m, None), ("A-pca8", _part(m, "A"), {0: 8})):
@@ -107,8 +107,8 @@ def _bits(o: DataFrame, name: str) -> DataFrame:
 
 
 @query
-def representation_gain(spark, d):
-    """Paired group bootstrap of the loss of the second block alone less that of both."""
+def representation_gain_of_slices(spark, d):
+    """Paired group bootstrap of the loss of the second slice of the embedding alone less that of both."""
     m = _embeddings(spark, d, (A_WIDTH, H_WIDTH))
     s = Scratch(spark, "gain")
     h, _ = P.nested_multiclass(spark, _part(m, "H"), 10)

@@ -9,6 +9,7 @@ from sparkgauge.functions import text as T
 from sparkgauge.functions.vocab import APPRAISALS, CLUSTERS, EMOTIONS, LABEL_CLUSTER, SEED, cluster_column, count_column, prob_column
 from sparkgauge.operators import checks, components, folds, ingest
 from sparkgauge.session import Scratch, table
+from sparkgauge.sources import digests
 
 QUERIES = {}
 SQL = {}
@@ -270,22 +271,29 @@ def external_roles(spark, d):
     return folds.external_roles(g, table(spark, d, "validation").where("item_id is not null"), "item_id", "writer_id", "group_id")
 
 
-@query(
-    """WITH o AS (SELECT * FROM crowd_full_outer), g AS (SELECT DISTINCT item_id FROM generation WHERE item_id IS NOT NULL)
+def _split_audit_sql(source: str, items: str, identity: str) -> str:
+    return f"""WITH o AS (SELECT * FROM {source}), g AS (SELECT DISTINCT item_id FROM {items} WHERE item_id IS NOT NULL)
 SELECT 'repeated_item' AS check_name, count(*)::BIGINT AS violations FROM (SELECT item_id FROM o GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'null_fold', count(*) FROM o WHERE test_fold IS NULL
 UNION ALL SELECT 'fold_out_of_range', count(*) FROM o WHERE test_fold NOT BETWEEN 0 AND 4
 UNION ALL SELECT 'fold_unused', count(*) FROM range(5) f(x) WHERE x NOT IN (SELECT test_fold FROM o WHERE test_fold IS NOT NULL)
 UNION ALL SELECT 'group_crosses_folds', count(*) FROM (SELECT group_id FROM o WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT test_fold) > 1)
-UNION ALL SELECT 'identity_crosses_folds', count(*) FROM (SELECT writer_id FROM o WHERE writer_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT test_fold) > 1)
-UNION ALL SELECT 'identity_in_two_groups', count(*) FROM (SELECT writer_id FROM o WHERE writer_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT group_id) > 1)
+UNION ALL SELECT 'identity_crosses_folds', count(*) FROM (SELECT {identity} FROM o WHERE {identity} IS NOT NULL GROUP BY 1 HAVING count(DISTINCT test_fold) > 1)
+UNION ALL SELECT 'identity_in_two_groups', count(*) FROM (SELECT {identity} FROM o WHERE {identity} IS NOT NULL GROUP BY 1 HAVING count(DISTINCT group_id) > 1)
 UNION ALL SELECT 'item_missing', count(*) FROM g WHERE item_id NOT IN (SELECT item_id FROM o WHERE item_id IS NOT NULL)
 UNION ALL SELECT 'item_unexpected', count(*) FROM (SELECT DISTINCT item_id FROM o WHERE item_id IS NOT NULL) WHERE item_id NOT IN (SELECT item_id FROM g)"""
-)
+
+
+@query(_split_audit_sql("crowd_full_outer", "generation", "writer_id"))
 def split_audit(spark, d):
     return folds.outer_checks(table(spark, d, "crowd_full_outer"), _generation(spark, d), "writer_id")
 
 
+@query(_split_audit_sql("emotwics_outer", "tweets", "conversation_id"))
+def tweet_split_audit(spark, d):
+    return folds.outer_checks(table(spark, d, "emotwics_outer"), _tweets(spark, d), "conversation_id")
+
+
 @query(
     f"""WITH a AS (SELECT item_id, min(writer_id) AS w FROM generation WHERE item_id IS NOT NULL GROUP BY 1), b AS (SELECT item_id, min(writer_id) AS w FROM crowd_full_outer WHERE item_id IS NOT NULL GROUP BY 1)
 SELECT CASE WHEN b.item_id IS NULL THEN 'left_only' WHEN a.item_id IS NULL THEN 'right_only' WHEN a.w IS DISTINCT FROM b.w THEN 'different' ELSE 'same' END AS side, count(*)::BIGINT AS row_count FROM a FULL JOIN b ON a.item_id = b.item_id GROUP BY 1"""
@@ -400,15 +408,65 @@ def split_bundle_audit(spark, d):
     return folds.bundle_checks(b).unionByName(e.withColumn("check_name", F.concat_ws(".", F.lit("external"), "check_name")))
 
 
-_LINE = " || ',' || ".join(f"""'"{c}":' || coalesce('"' || {c} || '"', 'null')""" for c in ("group_id", "item_id", "test_fold", "writer_id"))
+def _digest_sql(source: str, columns: tuple[str, ...]) -> str:
+    line = " || ',' || ".join(f"""'"{c}":' || coalesce('"' || {c} || '"', 'null')""" for c in sorted(columns))
+    return f"""WITH r AS (SELECT sha256('{{' || {line} || '}}') AS h FROM {source}), b AS (SELECT substr(h, 1, 3) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM r GROUP BY 1)
+SELECT sha256(string_agg(bucket || digest, '' ORDER BY bucket)) AS digest, (SELECT count(*) FROM r)::BIGINT AS row_count FROM b"""
+
 
+_CROWD_SPLIT, _TWEET_SPLIT = ("item_id", "group_id", "writer_id", "test_fold"), ("item_id", "group_id", "conversation_id", "test_fold")
 
-@query(
-    f"""WITH r AS (SELECT sha256('{{' || {_LINE} || '}}') AS h FROM crowd_full_outer), b AS (SELECT substr(h, 1, 3) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM r GROUP BY 1)
-SELECT sha256(string_agg(bucket || digest, '' ORDER BY bucket)) AS digest, (SELECT count(*) FROM r)::BIGINT AS row_count FROM b"""
-)
+
+@query(_digest_sql("crowd_full_outer", _CROWD_SPLIT))
 def table_digest(spark, d):
     """Order-insensitive digest of a split table."""
-    from sparkgauge.sources.digests import table_digest as digest
+    return digests.table_digest(table(spark, d, "crowd_full_outer"), _CROWD_SPLIT)
+
+
+@query(_digest_sql("emotwics_outer", _TWEET_SPLIT))
+def tweet_table_digest(spark, d):
+    return digests.table_digest(table(spark, d, "emotwics_outer"), _TWEET_SPLIT)
 
-    return digest(table(spark, d, "crowd_full_outer"), ["item_id", "group_id", "writer_id", "test_fold"])
+
+_KNOWN = quoted(LABEL_CLUSTER)
+
+
+@query(
+    f"""WITH t AS ({_TWEETS}), l AS (SELECT item_id, unnest(emo_labels) AS l FROM t)
+SELECT (SELECT count_if(emo_labels IS NULL) FROM t)::BIGINT AS missing_labels, (SELECT count_if(emo_clusters IS NULL) FROM t)::BIGINT AS missing_clusters,
+(SELECT count_if(len(emo_labels) <> len(list_distinct(emo_labels))) FROM t)::BIGINT AS repeated_labels, (SELECT count_if(len(emo_clusters) <> len(list_distinct(emo_clusters))) FROM t)::BIGINT AS repeated_clusters,
+(SELECT count_if(l NOT IN ({_KNOWN})) FROM l)::BIGINT AS unknown_labels, (SELECT {len(LABEL_CLUSTER)} - count(DISTINCT l) FILTER (l IN ({_KNOWN})) FROM l)::BIGINT AS unobserved_labels,
+(SELECT count_if(len(emo_labels) > 0 AND emo_clusters IS NOT NULL AND len(emo_clusters) = 0) FROM t)::BIGINT AS labels_without_cluster"""
+)
+def label_structure_audit(spark, d):
+    """Counters over the nested labels: missing, repeated, unknown, never observed, and labels that lead to no cluster."""
+    return checks.label_structure(_tweets(spark, d), "emo_labels", "emo_clusters", tuple(LABEL_CLUSTER))
+
+
+@query(
+    f"""WITH j AS ({_JUDGED}), n AS (SELECT item_id, count(*) AS n FROM j GROUP BY 1)
+SELECT 'appraisal_panel_not_two' AS check_name, count_if(n < 2)::BIGINT AS violations FROM n UNION ALL SELECT 'emotion_panel_not_three', count_if(greatest(n - 2, 0) <> 3) FROM n UNION ALL SELECT 'reader_in_both_panels', 0"""
+)
+def panel_audit(spark, d):
+    """Items whose appraisal panel isn't two readers or whose emotion panel isn't three, and readers in both."""
+    return ingest.panel_checks(ingest.panels(_judgments(spark, d)))
+
+
+@query(
+    f"""WITH g AS ({_GEN}), a AS (SELECT * FROM g WHERE regexp_full_match(hidden_emo_text, '[\\x00-\\x7F]*') AND NOT contains(hidden_emo_text, '&'))
+SELECT (SELECT count(*) FROM g)::BIGINT AS items, (SELECT count(*) FROM a)::BIGINT AS plain_items, 0::BIGINT AS plain_items_differing, (SELECT count_if(hidden_emo_text IS NULL) FROM g)::BIGINT AS without_text"""
+)
+def ingest_audit(spark, d):
+    """Canonical texts against the plain form, which is the same for ASCII texts without entities."""
+    g = _generation(spark, d).select("item_id", "hidden_emo_text", T.normalized_text(F.col("hidden_emo_text")).alias("n"), T.plain_text(F.col("hidden_emo_text")).alias("p"))
+    plain = F.col("hidden_emo_text").rlike(r"^[\x00-\x7F]*$") & ~F.col("hidden_emo_text").contains("&")
+    return g.agg(F.count(F.lit(1)).alias("items"), F.count_if(plain).alias("plain_items"), F.count_if(plain & ~F.col("n").eqNullSafe(F.col("p"))).alias("plain_items_differing"), F.count_if(F.col("n").isNull()).alias("without_text"))
+
+
+@query(_sound(("text_in_two_groups", "writer_in_two_groups", "item_missing", "repeated_item")))
+def duplicate_components_audit(spark, d):
+    """Breaches of what the components of fully normalised texts promise."""
+    g = Scratch(spark, "audit").keep(_generation(spark, d).select("item_id", "writer_id", T.normalized_text(F.col("hidden_emo_text")).alias("t")))
+    c = duplicate_components_full(spark, d)
+    j = g.join(c, "item_id")
+    return checks.summary({"text_in_two_groups": checks.crossing_groups(j, "t", "group_id"), "writer_in_two_groups": checks.crossing_groups(j, "writer_id", "group_id"), "item_missing": checks.difference(g, c, ["item_id"]), "repeated_item": checks.repeated_keys(c, ["item_id"])})

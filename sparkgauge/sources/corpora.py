@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkgauge.functions.vocab import APPRAISALS
 from sparkgauge.operators.checks import ConstraintError, exact_columns, require_columns
 from sparkgauge.operators.ingest import CONVERSATIONS
+from sparkgauge.sources import store
 
 GENERATION = "round_number string, emotion string, text_id string, prolific_id string, generated_text string, hidden_emo_text string, " + ", ".join(f"{a} string" for a in APPRAISALS)
 JUDGMENTS = "original_emotion string, emotion string, text_id string, prolific_id string, confidence string, " + ", ".join(f"{a} string" for a in APPRAISALS)
@@ -118,11 +119,11 @@ def write_splits(tables: dict[str, DataFrame], folder: str | Path) -> None:
     """One CSV folder for each table; an existing one is an error, found before anything is written."""
     for n in tables:
         exact_columns(tables[n], SPLITS[n])
-        if (Path(folder) / f"{n}.csv").exists():
+        if store.exists(tables[n].sparkSession, f"{folder}/{n}.csv"):
             raise FileExistsError(f"{folder}/{n}.csv")
     for n, df in tables.items():
         keys = [c for c in ("outer_fold", "item_id") if c in df.columns]
-        df.repartitionByRange(1, *keys).sortWithinPartitions(*keys).write.mode("errorifexists").csv(str(Path(folder) / f"{n}.csv"), header=True)
+        df.repartitionByRange(1, *keys).sortWithinPartitions(*keys).write.mode("errorifexists").csv(f"{folder}/{n}.csv", header=True)
 
 
 def read_layers(spark: SparkSession, path: str, layer: int, pooling: str, features: str = "features") -> DataFrame:
