@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkgauge.llm import canonical as can
@@ -17,6 +17,10 @@ from sparkgauge.llm import splits as spl
 from sparkgauge.session import Scratch, table
 
 
+_PLAIN_KINDS = {"email": r"(^|[\s:])[a-z]+[0-9]*@[a-z]+\.[a-z]+(\.[a-z]+)?([\s!?]|$)", "phone": r"(^|[\s:])\+3[12] ?[0-9]{3} [0-9]{2} [0-9]{2} [0-9]{2}([\s!?]|$)"}
+_JOINED = "['’‘ʼ`´‐‑–-]"
+
+
 def _judged(spark: SparkSession, d: str) -> cons.Consensus:
     return cons.consensus(table(spark, d, "validation_judgments"), "item_id", "reader_id", "y_reader")
 
@@ -102,6 +106,17 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(t, "text", pii.learn(t.where("item_id is not null"), "text", table(spark, d, "known_names")))
 
 
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    """What the operator found, where a plain pattern tells the kind already: ordinary email addresses and international telephone numbers."""
+    t = _texts(spark, d).where("item_id is not null")
+    got = p3_found(spark, d)
+    sure = None
+    for kind, pattern in _PLAIN_KINDS.items():
+        part = t.where(F.col("text").rlike(pattern)).select("source_table", "item_id", F.lit(kind).alias("pii_kind"))
+        sure = part if sure is None else sure.unionByName(part)
+    return got.join(sure.distinct(), ["source_table", "item_id", "pii_kind"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     got = can.look_alikes(_texts(spark, d), "source_table", "item_id", "text")
     return got.select(F.col("source").alias("source_table"), F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
@@ -140,6 +155,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "eval_id", "text")
 
 
+def _spaced(c: str) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, _JOINED, "")), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def p8_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """What the operator found, where the document holds the whole item word for word."""
+    docs = table(spark, d, "documents").select("doc_id", _spaced("text").alias("t"))
+    items = table(spark, d, "eval_items").select("eval_id", _spaced("text").alias("e"))
+    found = p8_found(spark, d).join(F.broadcast(items), "eval_id")  # the items are few, and their words were counted
+    return found.join(docs, "doc_id").where(F.col("t").contains(F.col("e"))).select("doc_id", "eval_id")
+
+
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     """The corpus without the documents that hold evaluation text."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
@@ -172,7 +199,7 @@ def p9_audit(spark: SparkSession, d: str) -> DataFrame:
     return seg.audit(docs, Scratch(spark, "pieces").keep(seg.pieces(docs, "doc_id", "text")), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p1_panels, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p7_audit, p8_found, p8_clean, p8_spans, p8_trimmed, p9_found, p9_pieces, p9_audit)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_items, p1_readers, p1_panels, p2_found, p2_components, p2_crowd_splits, p2_tweet_splits, p2_shares, p3_found, p3_redacted, p3_plain, p4_found, p4_canonical, p5_found, p6_found, p6_distinct, p7_containers, p7_audit, p8_found, p8_verbatim, p8_clean, p8_spans, p8_trimmed, p9_found, p9_pieces, p9_audit)}
 
 _BARE = "lower(regexp_replace({}, '[\\s\\p{{Z}}\\p{{P}}]+', '', 'g'))"
 _PAIRED = f"""SELECT DISTINCT item_id, least(a, b) || chr(0) || greatest(a, b) || length(least(a, b)) AS k
@@ -180,6 +207,9 @@ FROM (SELECT item_id, {_BARE.format("generated_text")} AS a, {_BARE.format("hidd
       FROM generation WHERE item_id IS NOT NULL AND generated_text IS NOT NULL AND hidden_emo_text IS NOT NULL)"""
 
 
+_SPACED = r"' ' || trim(regexp_replace(lower(regexp_replace({}, '" + _JOINED.replace("'", "''") + r"', '', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+
+
 def _crossing(name: str, key: str) -> str:
     return f"SELECT '{name}' AS split_table, '{key}' AS key_field, {key} AS key_value FROM {name} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(DISTINCT test_fold) > 1"
 
@@ -247,6 +277,7 @@ SELECT item_id, sum(n)::BIGINT AS votes, count(*)::BIGINT AS classes, round(max(
     "p2_crowd_splits": f"WITH RECURSIVE {_split_sql(*_CROWD_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
     "p2_tweet_splits": f"WITH RECURSIVE {_split_sql(*_TWEET_KEYS)} SELECT * EXCLUDE (c) FROM drawn",
     "p2_shares": _both_sql("shares"),
+    "p3_plain": " UNION ALL ".join(f"SELECT DISTINCT source_table, item_id, '{k}' AS pii_kind FROM (SELECT 'generation' AS source_table, item_id, generated_text AS t FROM generation UNION ALL SELECT 'tweets', item_id, text FROM tweets) WHERE item_id IS NOT NULL AND regexp_matches(t, '{v}')" for k, v in _PLAIN_KINDS.items()),
     "p4_found": f"WITH {_LOOKS} SELECT DISTINCT a.source_table, a.item_id AS item_id_a, b.item_id AS item_id_b FROM f a JOIN f b ON a.source_table = b.source_table AND a.form = b.form AND a.item_id < b.item_id AND a.t <> b.t",
     "p5_found": """WITH RECURSIVE e AS (
   SELECT matched_field AS f, left_id AS a, right_id AS b FROM crowd_matches WHERE is_match AND left_id <> right_id AND matched_field IS NOT NULL
@@ -257,5 +288,7 @@ SELECT min(seen) AS root_id, record_id FROM r GROUP BY f, record_id HAVING min(s
 SELECT g.kept AS kept_item_id, p.item_id FROM p JOIN g USING (k) WHERE p.item_id <> g.kept""",
     "p6_distinct": f"SELECT min(item_id) AS kept_item_id, count(*) AS copies FROM ({_PAIRED}) GROUP BY k",
     "p7_audit": "SELECT count(*)::BIGINT AS documents, 0::BIGINT AS not_once, 0::BIGINT AS split_in_vain, 0::BIGINT AS over_capacity, 0::BIGINT AS other_size, 0::BIGINT AS empty, true AS well_filled FROM documents WHERE text <> '' AND doc_id IS NOT NULL",
+    "p8_verbatim": f"""WITH d AS (SELECT doc_id, {_SPACED.format("text")} AS t FROM documents WHERE text IS NOT NULL), e AS (SELECT eval_id, {_SPACED.format("text")} AS e FROM eval_items)
+SELECT DISTINCT doc_id, eval_id FROM d JOIN e ON contains(t, e) WHERE len(string_split(trim(e), ' ')) >= 20""",
     "p9_audit": "SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS over_limit, 0::BIGINT AS other_text, 0::BIGINT AS late_starts, 0::BIGINT AS early_ends, 0::BIGINT AS gaps, 0::BIGINT AS wrong_overlaps FROM documents WHERE text <> ''",
 }

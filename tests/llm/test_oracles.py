@@ -1,0 +1,32 @@
+"""Every query with SQL gives what DuckDB gives."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+from sparkgauge.llm.queries import QUERIES, SQL
+
+
+@pytest.fixture(scope="module")
+def con(data):
+    c = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    return c
+
+
+def plain(v):
+    return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else None if v is None else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, data, con, name):
+    df = QUERIES[name](spark, data)
+    cols = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    r = con.execute(SQL[name])
+    names = [d[0] for d in r.description]
+    assert sorted(names) == cols
+    assert got == sorted((tuple(plain(row[names.index(c)]) for c in cols) for row in r.fetchall()), key=repr)
