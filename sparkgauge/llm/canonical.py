@@ -87,7 +87,7 @@ def _compat() -> dict[int, str]:
                 out[c] = " "
             elif kind in _ORDINARY:
                 out[c] = unicodedata.normalize("NFKC", ch)
-            elif kind in _LETTERS and unicodedata.category(ch)[0] in "LN":
+            elif kind in _LETTERS and unicodedata.category(ch)[0] in "LN" and ch not in _TO_LATIN:
                 plain = unicodedata.normalize("NFKC", ch)
                 if all(unicodedata.category(x)[0] in "LNM" for x in plain):
                     out[c] = plain
