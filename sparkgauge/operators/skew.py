@@ -22,9 +22,9 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT
     """Values of ``key`` that hold more rows than ``hot_bound``.
 
     Counts are exact and combined map-side. At most ``1 / LEAST_SHARE`` values reach the driver.
-    ``rows``, if known, is the number of rows or a bound on it and saves counting a small table.
+    ``rows``, if known, is the number of rows or a bound on it and saves counting them.
     """
-    total = df.count() if rows is None or rows > least else rows
+    total = df.count() if rows is None else rows
     if total <= least:
         return []
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
