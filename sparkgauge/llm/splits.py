@@ -5,7 +5,7 @@ rows so that no cluster has to fit one task. Each round a node sends its cluster
 the cluster's minimum and the minimum to every member, until every node but the
 minimum holds the minimum alone. A round is one shuffle by node, in which repeats go
 and the minimum is found, and one written table; hubs are met by a broadcast of their
-minima instead. A component then takes the split with the greatest weighted rendezvous
+minima instead. Clusters at rest are set aside once few are moving. A component then takes the split with the greatest weighted rendezvous
 score, so its split depends on nothing but its name: adding or removing other
 components moves none. Components differ in size, so the shares of rows that come out
 lie about the proportions, and ``shares`` reports them.
@@ -41,16 +41,47 @@ def _clusters(sent: DataFrame, rows: int) -> DataFrame:
     return out.unionByName(hubs.join(F.broadcast(least), "u"))
 
 
-def hash_to_min(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+#: Clusters that have come to rest are set aside once no more than this share of the rows is unsettled.
+RETIRE = 0.1
+
+
+def _settled(seen: DataFrame) -> DataFrame:
+    """A settled node's rows all carry its component; the least node's carry itself."""
+    return seen.where("v = m").select(F.col("u").alias("node"), F.col("m").alias("component"))
+
+
+def _at_rest(seen: DataFrame, moving: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows still in play, rows of clusters at rest). A cluster is in play if one of its nodes stands in a row of ``moving``.
+
+    A row (u, v) is there with its mirror (v, u) or is moving, so nothing can reach a cluster at rest any more.
+    """
+    nodes = moving.select(F.explode(F.array("u", "v", "m")).alias("u")).distinct().withColumn("_n", F.lit(True))
+    least = hot_join(seen, nodes, "u", rows=rows).groupBy("m").agg(F.lit(True).alias("_p"))
+    flagged = hot_join(seen, least, "m", "left", rows=rows)
+    return flagged.where("_p").drop("_p"), flagged.where("_p is null").drop("_p")
+
+
+def hash_to_min(edges: DataFrame, max_rounds: int = 100, retire: float = RETIRE) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v); component is its least node. A loop declares a node."""
     s = Scratch(edges.sparkSession, "hashmin")
     e = s.keep(edges.select("u", "v").dropna())
     n = s.rows(e)
     seen = s.keep(_clusters(e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v"))).alias("x")).select("x.u", "x.v"), 4 * n))
+    done = []
     for _ in range(max_rounds):
-        if seen.where("u <> m and v <> m").isEmpty():
-            # a settled node's rows all carry its component; the least node's carry itself
-            return s.keep(seen.where("v = m").select(F.col("u").alias("node"), F.col("m").alias("component")))
+        moving = seen.where("u <> m and v <> m")
+        left, rows = moving.count(), s.rows(seen)
+        if not left:
+            out = _settled(seen)
+            for part in done:
+                out = out.unionByName(part)
+            return s.keep(out) if done else out
+        if left <= retire * rows:
+            play, rest = _at_rest(seen, moving, rows)
+            play = s.keep(play.select("u", "v", "m"))
+            done.append(s.keep(_settled(rest)))
+            s.drop(seen)
+            seen = play
         sent = seen.select(F.explode(F.array(F.struct(F.col("m").alias("u"), "v"), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         after = s.keep(_clusters(sent, 2 * s.rows(seen)))
         s.drop(seen)

@@ -60,10 +60,12 @@ def test_matches_of_different_fields_never_meet(spark):
     assert ctr.group_matches(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_hash_to_min_equals_union_find(spark, seed):
+@pytest.mark.parametrize("seed,retire", [(4, 0.1), (5, 1.0), (8, 0.5), (9, 0.0)])
+def test_hash_to_min_equals_union_find(spark, seed, retire):
     e = random_graph(seed)
-    got = {r.node: r.component for r in spl.hash_to_min(spark.createDataFrame(e, "u string, v string")).collect()}
+    rows = spl.hash_to_min(spark.createDataFrame(e, "u string, v string"), retire=retire).collect()
+    got = {r.node: r.component for r in rows}
+    assert len(rows) == len(got)
     assert got == components(e)
 
 
