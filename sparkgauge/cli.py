@@ -42,9 +42,9 @@ ANALYSES = {
 }
 
 
-def _show(df: DataFrame, output: str | None, kind: str) -> None:
+def _show(df: DataFrame, output: str | None, name: str) -> None:
     if output:
-        store.publish({kind: df}, output, {"kind": kind})
+        store.publish({name: df}, output, {"kind": "query", "query": name})
     else:
         df.show(20, truncate=60)
 
@@ -153,7 +153,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = build_session("cli")
     if a.command in ANALYSES:
-        _show(QUERIES[ANALYSES[a.command]](spark, a.data), a.output, a.command)
+        _show(QUERIES[ANALYSES[a.command]](spark, a.data), a.output, ANALYSES[a.command])
     else:
         WITH_SPARK[a.command](spark, a)
     return 0

@@ -22,16 +22,28 @@ def plain(v):
     return str(v)
 
 
-@pytest.fixture(scope="module")
-def con(data):
+# At the smallest size an inner training part lacks an emotion, which a probe refuses.
+LARGER = {"probe_audit"}
+
+
+def connect(data):
     c = duckdb.connect()
     for f in glob.glob(f"{data}/*.parquet"):
         c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     return c
 
 
+@pytest.fixture(scope="module")
+def small(data):
+    return connect(data)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_query_equals_sql(spark, data, con, name):
+def test_query_equals_sql(spark, data, small, name):
+    con = small
+    if name in LARGER:
+        data = data.replace("0.001", "0.01")
+        con = connect(data)
     df = QUERIES[name](spark, data)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
