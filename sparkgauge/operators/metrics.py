@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 
 from sparkgauge.functions import arrays as A
 from sparkgauge.functions.vocab import CLIP
+from sparkgauge.session import Scratch
 
 #: Upper edges of ten equal bins as floating-point steps, the way equal spacing yields them.
 EDGES = tuple(i * 0.1 for i in range(1, 10))
 
 
+def once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of ``df``, written and read back: what is measured several times is worked out once."""
+    return Scratch(df.sparkSession, "measured").keep(df.select(*columns))
+
+
 def wide_to_arrays(df: DataFrame, labels: Sequence[str], truth: str = "y_true") -> DataFrame:
     """prob__<label> columns to ``p``, and ``truth`` to its place in the class axis."""
     p = F.array(*[F.col(f"prob__{x}").cast("double") for x in labels])
@@ -116,7 +122,11 @@ def _classwise(long: DataFrame, key: list[str], weight: str | None = None) -> Da
 
 
 def multiclass(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row: accuracy, macro F1 and average precision over the fixed axis, loss in bits, Brier score, calibration error."""
+    """One row: accuracy, macro F1 and average precision over the fixed axis, loss in bits, Brier score, calibration error.
+
+    The table is read three times, so what is measured is written once.
+    """
+    df = once(df, [*by, "truth", "p"])
     each = items(df)
     head = each.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"), F.avg("loss_bits").alias("log_loss_bits"), F.avg("brier").alias("brier"))
     ece = calibration_error(reliability(each, F.col("confidence"), F.col("correct"), by), by)
@@ -139,6 +149,8 @@ def explode_labels(df: DataFrame, threshold: Column, keep: Sequence[str] = ()) -
 def multilabel(df: DataFrame, threshold: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """One row: exact match, Hamming accuracy, macro F1 and average precision, loss, Brier score over cells, calibration error of all cells."""
     threshold = F.lit(0.5) if threshold is None else threshold
+    df = once(df.withColumn("_threshold", threshold), [*by, "y", "p", "_threshold"])
+    threshold = F.col("_threshold")
     d = df.withColumn("_p", A.over(F.col("p"), threshold))
     right = F.zip_with("_p", F.transform("y", lambda x: x.cast("int")), lambda a, b: (a == b).cast("double"))
     head = d.groupBy(*by).agg(

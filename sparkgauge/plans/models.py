@@ -82,7 +82,7 @@ def _part(m: Matrix, keep: str) -> Matrix:
 def appraisal_probe(spark, d):
     """Nested probe of the 21 appraisals on the writer's emotion: metrics of its out-of-fold table."""
     o, _ = P.probe_table(appraisal_points(table(spark, d, "generation")), "item_id", "x", "label", "writer_id", "outer_fold", 5, len(EMOTIONS))
-    return M.multiclass(Scratch(spark, "probe").keep(o))
+    return M.multiclass(o)
 
 
 @query
@@ -97,7 +97,7 @@ def representation_suite_of_slices(spark, d):
     out = None
     for name, part, pca in (("A", _part(m, "A"), None), ("H", _part(m, "H"), None), ("AH", m, None), ("A-pca8", _part(m, "A"), {0: 8})):
         o, _ = P.nested_multiclass(spark, part, 10, pca=pca)
-        r = M.multiclass(Scratch(spark, "suite").keep(o)).select(F.lit(name).alias("representation"), "*")
+        r = M.multiclass(o).select(F.lit(name).alias("representation"), "*")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -149,7 +149,7 @@ def sealed_probe(spark, d):
     parts = [train] + [train & (m.inner[:, 0] != v) for v in np.unique(m.inner[:, 0])]
     if any(len(set(m.y[p])) < len(EMOTIONS) for p in parts):
         return spark.createDataFrame([(0, *[None] * 6, int(test.sum()), "training_lacks_class")], "n bigint, accuracy double, log_loss_bits double, brier double, macro_f1 double, macro_ap double, ece double, sealed bigint, status string")
-    tested = M.multiclass(Scratch(spark, "sealed").keep(P.sealed_test(spark, m, role, len(EMOTIONS))))
+    tested = M.multiclass(P.sealed_test(spark, m, role, len(EMOTIONS)))
     return tested.select("*", F.lit(int(test.sum())).cast("bigint").alias("sealed"), F.lit("ok").alias("status"))
 
 
@@ -163,7 +163,7 @@ def cluster_probe(spark, d):
     t = t.select("item_id", "conversation_id", F.array(*[F.col(v).cast("double") for v in ("valence", "arousal", "dominance")]).alias("x"), F.array(*cols).alias("y"), fold.alias("outer_fold"))
     m = collect_matrix(t, "item_id", "x", "y", "conversation_id", "outer_fold", 5)
     o, _ = P.nested_multilabel(spark, m, len(CLUSTERS))
-    return M.multilabel(Scratch(spark, "clusters").keep(o), F.col("threshold"))
+    return M.multilabel(o, F.col("threshold"))
 
 
 @query
@@ -357,4 +357,4 @@ def reader_probe(spark, d):
     if any(len(set(m.y[p])) < len(EMOTIONS) for p in parts):
         return spark.createDataFrame([(0, *[None] * 6, "training_lacks_class")], "n bigint, accuracy double, log_loss_bits double, brier double, macro_f1 double, macro_ap double, ece double, status string")
     o, _ = P.nested_multiclass(spark, m, len(EMOTIONS))
-    return M.multiclass(Scratch(spark, "reader").keep(o)).withColumn("status", F.lit("ok"))
+    return M.multiclass(o).withColumn("status", F.lit("ok"))
