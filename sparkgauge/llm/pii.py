@@ -512,7 +512,7 @@ class Finder:
 # learning names from the corpus
 
 
-def beside_names(v: str, low: str, given: frozenset[str], family: frozenset[str]) -> Iterator[tuple[str, int, int]]:
+def beside_names(v: str, low: str, given: frozenset[str], family: frozenset[str], titles: bool = True) -> Iterator[tuple[str, int, int]]:
     """(word, 1 if it stands where a given name stands, 1 where a family name does) of the words of ``v`` that stand so.
 
     A family name stands after a given one, a title or an initial, over particles; a given name before a family name, or after
@@ -535,8 +535,8 @@ def beside_names(v: str, low: str, given: frozenset[str], family: frozenset[str]
         return None
 
     for i, w in enumerate(words):
-        title = w in _TITLE_WORDS
-        if w in given or (w.endswith(".") and v[found[i][0]].isupper()) or title:
+        title = titles and w in _TITLE_WORDS
+        if w in given or (titles and w.endswith(".") and v[found[i][0]].isupper()) or title:
             j = after(i) if not (title and gap(i) == ". ") else i + 1
             if title and j is not None and words[j] in PARTICLES:
                 j = after(j)
@@ -558,11 +558,14 @@ def beside_names(v: str, low: str, given: frozenset[str], family: frozenset[str]
             yield words[i], *of
 
 
-def word_statistics(rows: DataFrame, text: str, names: Iterable[tuple[str, str]]) -> DataFrame:
-    """(word, n, capitals, as_given, as_family) over all texts; counts are added up within a task before they are shuffled."""
+def word_statistics(rows: DataFrame, text: str, names: Iterable[tuple[str, str]], first: bool = True) -> DataFrame:
+    """(word, n, capitals, as_given, as_family) over all texts; counts are added up within a task before they are shuffled.
+
+    Of several parts of a list of names, the ``first`` counts words, titles and initials too, the others only what stands beside their names.
+    """
     seeds = [(x.strip().lower().split()[-1], k) for x, k in names if x and x.strip() and x.strip().lower() not in ORDINARY]
     given, family = frozenset(w for w, k in seeds if k == "given"), frozenset(w for w, k in seeds if k != "given")
-    anchors = given | family | _TITLE_WORDS
+    anchors = given | family | (_TITLE_WORDS if first else frozenset())
 
     def table(seen: Counter, beside: dict[str, list[int]]) -> pa.RecordBatch:
         """Words as they were written become words in lower case; titles and particles are no names."""
@@ -585,13 +588,14 @@ def word_statistics(rows: DataFrame, text: str, names: Iterable[tuple[str, str]]
             for t in b.column(0).to_pylist():
                 v, _ = _view(t)
                 words = _COUNTED.findall(v)
-                seen.update(words)
-                if not anchors.isdisjoint(map(str.lower, words)) or (any(map(_ONE, map(len, words))) and _INITIAL.search(v)):
-                    for w, g, f in beside_names(v, _lower(v), given, family):
+                if first:
+                    seen.update(words)
+                if not anchors.isdisjoint(map(str.lower, words)) or (first and any(map(_ONE, map(len, words))) and _INITIAL.search(v)):
+                    for w, g, f in beside_names(v, _lower(v), given, family, first):
                         of = beside.setdefault(w, [0, 0])
                         of[0] += g
                         of[1] += f
-            if len(seen) > _VOCABULARY:
+            if len(seen) + len(beside) > _VOCABULARY:
                 yield table(seen, beside)
                 seen, beside = Counter(), {}
         yield table(seen, beside)
@@ -619,11 +623,20 @@ def load_names(names: DataFrame, most: int | None = None) -> tuple[tuple[str, st
 def learn(rows: DataFrame, text: str, names: DataFrame) -> Lexicon:
     """The known names with those that all texts of ``rows`` teach, and the corpus's common words.
 
-    A list of known names beyond ``MOST_NAMES`` teaches by its own words and then joins the learned ones.
+    A list of known names beyond ``MOST_NAMES`` teaches in parts, one pass over the texts for each, and then joins the learned ones.
     """
     s = Scratch(rows.sparkSession, "names")
     known = load_names(names)
-    stats = s.keep(word_statistics(rows, text, known if known is not None else names.select("name", "name_type").limit(MOST_NAMES).collect()))
+    if known is not None:
+        stats = s.keep(word_statistics(rows, text, known))
+    else:
+        parts = -(-names.count() // MOST_NAMES) + 1  # by hash, so a part holds fewer than the bound but for a rare excess
+        stats = None
+        for i in range(parts):
+            some = [tuple(r) for r in names.where("name is not null").where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i).select("name", "name_type").distinct().collect()]
+            part = s.keep(word_statistics(rows, text, some, i == 0))
+            stats = part if stats is None else stats.unionByName(part)
+        stats = s.keep(stats.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "capitals", "as_given", "as_family")]))
     beside = F.col("as_given") + F.col("as_family")
     good = (beside >= LEAST_BESIDE) & (beside >= F.lit(LEAST_SHARE) * F.col("n")) & (F.col("capitals") >= F.lit(LEAST_CAPITAL) * F.col("n")) & (F.length("word") > 1)
     learned = stats.where(good & ~F.col("word").isin(*_STOP)).select(F.col("word").alias("name"), F.when(F.col("as_given") > F.col("as_family"), "given").otherwise("family").alias("name_type"))

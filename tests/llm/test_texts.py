@@ -132,6 +132,12 @@ def test_names_are_learned_from_the_corpus(spark, monkeypatch):
     own = pii.learn(df, "text", known)
     assert own.table is not None and own.names == ()
     assert {tuple(r) for r in pii.found(df, ["id"], "text", own).collect()} == want
+    # a list that is itself too long teaches in parts
+    monkeypatch.setattr(pii, "MOST_NAMES", 3)
+    parts = pii.learn(df, "text", known)
+    assert {tuple(r) for r in parts.table.select("name", "name_type").collect()} == {tuple(r) for r in own.table.select("name", "name_type").collect()}
+    assert {tuple(r) for r in pii.found(df, ["id"], "text", parts).collect()} == want
+    monkeypatch.setattr(pii, "MOST_NAMES", 100)
     empty = pii.learn(df.limit(0), "text", known)
     assert pii.found(df.limit(0), ["id"], "text", empty).count() == 0
 
