@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +41,32 @@ def sentence_ends(text: str) -> list[int]:
     return [m.end() for m in _END.finditer(text) if 0 < m.end() < len(text)]
 
 
+class _Buckets(dict):
+    """The bucket of each word, worked out once a document."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = b = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        return b
+
+
 def similarities(sentences: list[str], block: int = BLOCK) -> np.ndarray:
     """Cosine of the words of the blocks before and after each inner boundary; words are counted in hashed buckets."""
     n = len(sentences)
     out = np.zeros(max(n - 1, 0))
+    bucket = _Buckets()
     for a in range(0, n - 1, _CHUNK):
         lo, hi = max(0, a - block), min(n, a + _CHUNK + block + 1)
-        counts = np.zeros((hi - lo + 1, BUCKETS), dtype=np.float32)
-        for i in range(lo, hi):
-            for w in _WORD.findall(sentences[i].lower()):
-                counts[i - lo + 1, zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS] += 1
-        total = np.cumsum(counts, axis=0)
+        words = [_WORD.findall(x.lower()) for x in sentences[lo:hi]]
+        row = np.repeat(np.arange(1, hi - lo + 1), [len(w) for w in words])
+        column = np.fromiter(map(bucket.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=len(row))
+        counts = np.bincount(row * BUCKETS + column, minlength=(hi - lo + 1) * BUCKETS).reshape(-1, BUCKETS)
+        total = np.cumsum(counts, axis=0, dtype=np.float32)
         at = np.arange(a + 1, min(n, a + _CHUNK + 1))
         left = total[at - lo] - total[np.maximum(at - block, lo) - lo]
         right = total[np.minimum(at + block, hi) - lo] - total[at - lo]
-        norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-        out[at - 1] = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0)
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+        norm = np.sqrt(dot(left, left) * dot(right, right))
+        out[at - 1] = np.where(norm > 0, dot(left, right) / np.maximum(norm, 1e-9), 0)
     return out
 
 
