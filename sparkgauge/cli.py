@@ -121,7 +121,7 @@ def _splits(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _bundle(spark: SparkSession, a: argparse.Namespace) -> None:
     v = store.load(spark, a.crowd, "validation")
-    t = folds.split_bundle(store.load(spark, a.crowd, "generation"), v, store.load(spark, a.tweets, "tweets"), normalized_text(F.col("hidden_emo_text")), normalized_text(F.col("text")), EMOTIONS, [cluster_column(c) for c in CLUSTERS])
+    t = folds.split_bundle(store.load(spark, a.crowd, "generation"), v, store.load(spark, a.tweets, "tweets"), normalized_text(F.col("hidden_emo_text")), normalized_text(F.col("text")), EMOTIONS, [cluster_column(c) for c in CLUSTERS], strict=True)
     runs.require(folds.bundle_checks(t))
     corpora.write_splits({k: df.select(*corpora.SPLITS[k]) for k, df in t.items()}, a.output)
 

@@ -174,8 +174,8 @@ def tweet_splits(tweets: DataFrame, text, columns: Sequence[str], outer: int = 5
     return tweet_rows(tweets, text, columns).nested(outer, inner, seed)
 
 
-def split_bundle(generation: DataFrame, validation: DataFrame, tweets: DataFrame, masked, tweet_text, names: Sequence[str], columns: Sequence[str], seed: int = SEED) -> dict[str, DataFrame]:
-    """All eight split tables. The reader split finds its components among the validated items alone; the external one
+def split_bundle(generation: DataFrame, validation: DataFrame, tweets: DataFrame, masked, tweet_text, names: Sequence[str], columns: Sequence[str], seed: int = SEED, strict: bool = False) -> dict[str, DataFrame]:
+    """All eight split tables. ``strict``: a label with fewer groups than folds is an error. The reader split finds its components among the validated items alone; the external one
     seals them and folds what may be trained on in three.
 
     ``validation`` has item_id and y_reader_majority; one without a known item is an error.
@@ -184,6 +184,8 @@ def split_bundle(generation: DataFrame, validation: DataFrame, tweets: DataFrame
     g = s.keep(generation)
     comp = s.keep(duplicate_components(g, "item_id", "writer_id", masked))
     full = writer_rows(g, masked, names, comp)
+    if strict:
+        require_groups(full.by, "group_id", full.classes, 5)
     full_outer, full_inner = full.nested(seed=seed)
     unknown = [r[0] for r in checks.orphans(validation.where("item_id is not null"), g, ["item_id"]).select("item_id").limit(3).collect()]
     if unknown:
@@ -194,7 +196,10 @@ def split_bundle(generation: DataFrame, validation: DataFrame, tweets: DataFrame
     inside, cols = label_columns(roles.where("role = 'train'").join(g.select("item_id", "y_writer"), "item_id"), "y_writer", names)
     inside = s.keep(inside)
     three = group_folds(inside, "group_id", cols, 3, seed).withColumnRenamed("fold", "validation_fold")
-    tweet_outer, tweet_inner = tweet_splits(tweets, tweet_text, columns, seed=seed)
+    by_tweet = tweet_rows(tweets, tweet_text, columns)
+    if strict:
+        require_groups(by_tweet.by, "group_id", by_tweet.classes, 5)
+    tweet_outer, tweet_inner = by_tweet.nested(seed=seed)
     return {
         "crowd_full_outer": full_outer,
         "crowd_full_inner": full_inner,

@@ -391,3 +391,13 @@ def test_numpy_draws_in_parts(spark):
     assert a == sorted(map(tuple, B.numpy_multiplicities(spark, 7, 9, most=20).collect()))
     n = sorted((r["v"], r["k"]) for r in B.numbered(spark.createDataFrame([(f"{i * 7919 % 1000:03d}",) for i in range(1000)], "v string"), ["v"]).collect())
     assert n == [(f"{i:03d}", i) for i in range(1000)]
+
+
+def test_bundle_is_strict_about_rare_labels(spark):
+    from sparkgauge.operators import folds
+
+    g = spark.createDataFrame([(f"i{i}", f"w{i}", "joy" if i else "fear", f"text {i}") for i in range(12)], "item_id string, writer_id string, y_writer string, hidden_emo_text string")
+    v = g.select("item_id", F.col("y_writer").alias("y_reader_majority")).limit(3)
+    t = spark.createDataFrame([(f"t{i}", f"c{i}", f"x {i}", i % 2) for i in range(12)], "item_id string, conversation_id string, text string, y int")
+    with pytest.raises(folds.TooFewGroups):
+        folds.split_bundle(g, v, t, F.col("hidden_emo_text"), F.col("text"), ("joy", "fear"), ["y"], strict=True)
